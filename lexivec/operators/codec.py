@@ -98,8 +98,8 @@ def decode_corpus(
 
 
 def _decode_by_join(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) -> DataFrame:
-    spread = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "id"))
-    named = spread.join(tokenizer.select("id", "token"), "id", "left")
+    spread = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "_id"))
+    named = spread.join(tokenizer.select(F.col("id").alias("_id"), "token"), "_id", "left")
     parts = F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]
     )

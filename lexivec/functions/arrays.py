@@ -43,3 +43,4 @@ def rowwise(fn: Callable[[np.ndarray], np.ndarray], kind: str = "double") -> Cal
         return ragged(fn(matrix) if matrix.size else matrix, missing, arrow)
 
     return F.arrow_udf(apply, f"array<{kind}>")
+

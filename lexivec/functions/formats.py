@@ -122,9 +122,50 @@ def encode_q8(block: int = Q8_BLOCK) -> Callable[[Column], Column]:
     return F.arrow_udf(apply, "struct<q:array<tinyint>,w:array<tinyint>>")
 
 
-def decode_q8(q8: Column, block: int = Q8_BLOCK) -> Column:
+def q8_values(codes: np.ndarray, shared: np.ndarray, block: int = Q8_BLOCK) -> np.ndarray:
     """``q * 2 ** w`` with the exponent of each element's block."""
-    return F.transform(
-        q8["q"],
-        lambda q, i: (q * F.pow(F.lit(2.0), F.get(q8["w"], F.floor(i / block).cast("int")))).cast("float"),
-    )
+    return (codes * np.exp2(np.repeat(shared.astype(np.float64), block, axis=1))).astype(np.float32)
+
+
+def decode_q8(block: int = Q8_BLOCK) -> Callable[[Column], Column]:
+    """Codes back to a float vector column."""
+
+    def apply(coded: pa.Array) -> pa.Array:
+        codes, missing = dense(coded.field("q"))
+        shared, _ = dense(coded.field("w"))
+        values = q8_values(codes, shared, block) if codes.size else codes
+        return ragged(values, missing, pa.float32())
+
+    return F.arrow_udf(apply, "array<float>")
+
+
+def round_trip(name: str, values: np.ndarray) -> np.ndarray:
+    """A matrix encoded and decoded again."""
+    if name == "q8":
+        return q8_values(*q8_matrix(values))
+    fmt = _scalar(name)
+    return fmt.decode(fmt.encode(values)).reshape(values.shape)
+
+
+def audit(names: tuple[str, ...]) -> Callable[[Column], Column]:
+    """Per vector and format: largest and summed absolute round-trip error and finite elements."""
+
+    def apply(vectors: pa.Array) -> pa.Array:
+        matrix, missing = dense(vectors)
+        fields = {"format": [], "worst": [], "total": [], "n": []}
+        for name in names if matrix.size else ():
+            with np.errstate(invalid="ignore"):
+                gap = np.abs(matrix.astype(np.float64) - round_trip(name, matrix))
+            finite = np.isfinite(gap)
+            gap = np.where(finite, gap, 0.0)
+            fields["format"].append(np.full(len(matrix), name))
+            fields["worst"].append(gap.max(axis=1))
+            fields["total"].append(gap.sum(axis=1))
+            fields["n"].append(finite.sum(axis=1))
+        flat = [np.stack(f, axis=1).ravel() if f else np.empty(0) for f in fields.values()]
+        kinds = [pa.string(), pa.float64(), pa.float64(), pa.int64()]
+        rows = pa.StructArray.from_arrays([pa.array(f, k) for f, k in zip(flat, kinds)], list(fields))
+        ends = np.concatenate([[0], np.cumsum(np.where(missing, 0, len(names)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), rows, mask=pa.array(missing))
+
+    return F.arrow_udf(apply, "array<struct<format:string,worst:double,total:double,n:bigint>>")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
-from lexivec.functions.arrays import dense, rowwise
+from lexivec.functions.arrays import dense, ragged, rowwise
 from lexivec.operators.linear import small_matrix
 
 
@@ -70,10 +70,22 @@ def _cells(matrix: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def chain_gradient(table: DataFrame, weights: np.ndarray, delta: str, z: str, into: str = "dz") -> DataFrame:
-    """Adds ``(W^T delta) * silu'(z)``."""
-    back = rowwise(lambda d: d.astype(np.float64) @ weights)(F.col(delta))
-    return table.withColumn(into, F.zip_with(back, F.col(z), lambda b, v: b * vx.silu_prime(v.cast("double"))))
+def chain_gradient(table: DataFrame, weights: np.ndarray, key: str, delta: str, z: str) -> DataFrame:
+    """``(W^T delta) * silu'(z)`` of every row: ``(key, dz)``. A row without either vector is left out."""
+    rows = table.filter(F.col(delta).isNotNull() & F.col(z).isNotNull())
+    kind = pa.list_(pa.float64())
+
+    def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (d, missing), (v, _) = dense(batch.column(1)), dense(batch.column(2))
+            if d.size:
+                gate = 1.0 / (1.0 + np.exp(-v.astype(np.float64)))
+                dz = (d.astype(np.float64) @ weights) * gate * (1.0 + v * (1.0 - gate))
+                out = ragged(dz, missing, pa.float64()).cast(kind)
+                yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[key, "dz"])
+
+    key_kind = table.schema[key].dataType.simpleString()
+    return rows.select(key, delta, z).mapInArrow(back, f"{key} {key_kind}, dz array<double>")
 
 
 def sgd_step(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import formats as fm
@@ -16,45 +16,20 @@ def quantized(table: DataFrame, fmt: str, vec: str = "embedding", into: str = "c
 
 def dequantized(table: DataFrame, fmt: str, code: str = "code", into: str = "vec", block: int = fm.Q8_BLOCK) -> DataFrame:
     """Codes back to float vectors."""
-    decoded = fm.decode_q8(F.col(code), block) if fmt == "q8" else fm.decode_scalar(fmt)(F.col(code))
+    decoded = fm.decode_q8(block)(F.col(code)) if fmt == "q8" else fm.decode_scalar(fmt)(F.col(code))
     return table.withColumn(into, decoded).drop(code)
 
 
-def round_trip_column(vec: Column, fmt: str) -> Column:
-    """Encode and decode in one projection."""
-    if fmt == "q8":
-        return fm.decode_q8(fm.encode_q8()(vec))
-    return fm.decode_scalar(fmt)(fm.encode_scalar(fmt)(vec))
-
-
 def quant_error(table: DataFrame, by: str, vec: str = "embedding", fmts: tuple[str, ...] = (*fm.FORMATS, "q8")) -> DataFrame:
     """Largest and mean absolute round-trip error per format and group, over finite results.
 
-    Each row is reduced to one number pair per format before the shuffle.
+    One scan audits all formats; each vector becomes one small row per format before the shuffle.
     """
-    audits = []
-    for fmt in fmts:
-        gaps = F.transform(
-            F.arrays_zip(F.col(vec).alias("x"), F.col("back").alias("y")),
-            lambda p: F.abs(p["x"].cast("double") - p["y"].cast("double")),
-        )
-        rows = table.select(by, vec, round_trip_column(F.col(vec), fmt).alias("back"))
-        finite = F.filter(gaps, lambda g: g < float("inf"))
-        per_row = rows.select(by, finite.alias("gaps")).select(
-            F.lit(fmt).alias("format"),
-            by,
-            F.array_max("gaps").alias("worst"),
-            F.aggregate("gaps", F.lit(0.0), lambda s, g: s + g).alias("total"),
-            F.size("gaps").alias("count"),
-        )
-        audits.append(per_row)
-    every = audits[0]
-    for rows in audits[1:]:
-        every = every.unionByName(rows)
-    return every.groupBy("format", by).agg(
+    audited = table.select(by, fm.audit(fmts)(F.col(vec)).alias("a")).select(by, F.inline("a"))
+    return audited.groupBy("format", by).agg(
         F.max("worst").alias("max_error"),
-        (F.sum("total") / F.sum("count")).alias("mean_error"),
-        F.sum("count").cast("bigint").alias("n_finite"),
+        (F.sum("total") / F.sum("n")).alias("mean_error"),
+        F.sum("n").alias("n_finite"),
     )
 
 

@@ -56,7 +56,7 @@ def outer_gradient(spark, sf):
 
 def chain_gradient(spark, sf):
     rows = learn.softmax_gradient(predicted(spark, sf))
-    back = learn.chain_gradient(rows, linear.small_matrix(start(spark)), "delta", "embedding")
+    back = learn.chain_gradient(rows, linear.small_matrix(start(spark)), "vec_id", "delta", "embedding")
     return cells(back, "vec_id", "dz")
 
 

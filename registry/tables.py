@@ -36,7 +36,8 @@ def counting_upsert(spark, sf):
 
 def lookup(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "lang")
-    return keyed.lookup(docs, table(spark, sf, "labels"), "doc_id")
+    found = keyed.lookup(docs, table(spark, sf, "labels"), "doc_id")
+    return found.select("doc_id", "lang", *[F.col(c).cast("double").alias(c) for c in ("quality", "toxic")])
 
 
 def lookup_nation(spark, sf):
@@ -210,7 +211,7 @@ ORACLES = {
         f"SELECT word, sum(freq)::BIGINT AS freq FROM ({words_sql('documents')} UNION ALL "
         f"{words_sql('conversations')}) GROUP BY word"
     ),
-    "lookup": "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)",
+    "lookup": "SELECT doc_id, lang, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM documents LEFT JOIN labels USING (doc_id)",
     "lookup_nation": (
         "SELECT c_nationkey, c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey"
     ),

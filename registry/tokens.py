@@ -88,7 +88,8 @@ def tokenizer_table(spark, sf):
     path = Scratch(spark, "tokenizer").path("table")
     tables.save_table(tokenizer_of(spark, sf), path, "tokenizer")
     return tables.load_table(spark, path, "tokenizer").select(
-        "id", "token", "is_special", "rank", r6(F.col("score").cast("double")).alias("score")
+        "id", "token", "is_special", F.col("rank").cast("double").alias("rank"),
+        r6(F.col("score").cast("double")).alias("score"),
     )
 
 
@@ -119,7 +120,8 @@ def token_score(spark, sf):
 
 
 def tokenizer_build(spark, sf):
-    return tokenizer_of(spark, sf).withColumn("score", r6(F.col("score").cast("double")))
+    built = tokenizer_of(spark, sf).withColumn("score", r6(F.col("score").cast("double")))
+    return built.withColumn("rank", F.col("rank").cast("double"))
 
 
 def encode_corpus(spark, sf):
@@ -224,7 +226,7 @@ def encoded_sql(source: str) -> str:
 
 DOCS = encoded_sql("documents")
 TURNS = encoded_sql("conversations")
-TOKENIZER = f"SELECT id, token, id < 4 AS is_special, rank, {SCORE} AS score FROM ids LEFT JOIN ranks USING (token)"
+TOKENIZER = f"SELECT id, token, id < 4 AS is_special, rank::DOUBLE AS rank, {SCORE} AS score FROM ids LEFT JOIN ranks USING (token)"
 
 ORACLES = {
     "word_freq": words_sql("documents"),

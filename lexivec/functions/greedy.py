@@ -7,6 +7,8 @@ import re
 
 CHUNKS = re.compile(rb"[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]")
 MEMO_ENTRIES = 500_000
+SCAN_SYMBOLS = 128  # above this many symbols a heap finds the next merge
+NO_RANK = 1 << 62
 
 
 class GreedyEncoder:
@@ -15,35 +17,52 @@ class GreedyEncoder:
     def __init__(self, tokens: list[tuple[int, bytes, int | None]], unknown: bytes):
         self.ids = {t: i for i, t, _ in tokens}
         self.ranks = {t: r for _, t, r in tokens if r is not None}
-        self.unknown = unknown
-        self.by_chunk = not any(CHUNKS.fullmatch(t) is None for t in self.ranks)
+        singles = (bytes([b]) for b in range(256))
+        self.symbols = [s if s in self.ids else unknown for s in singles]
+        self.by_chunk = all(CHUNKS.fullmatch(t) for t in self.ranks)
         self.memo: dict[bytes, list[int]] = {}
 
     def text(self, data: bytes) -> list[int]:
-        """Ids of a text. No ranked token spans whitespace, so the runs are independent."""
+        """Ids of a text. When no ranked token spans whitespace, the runs are independent."""
         if not self.by_chunk:
             return self.merge(data)
         out: list[int] = []
+        memo = self.memo
         for chunk in CHUNKS.findall(data):
-            ids = self.memo.get(chunk)
+            ids = memo.get(chunk)
             if ids is None:
-                if len(self.memo) >= MEMO_ENTRIES:
-                    self.memo.clear()
-                ids = self.memo[chunk] = self.merge(chunk)
+                if len(memo) >= MEMO_ENTRIES:
+                    memo.clear()
+                ids = memo[chunk] = self.merge(chunk)
             out += ids
         return out
 
     def merge(self, data: bytes) -> list[int]:
-        """Best rank first, leftmost on ties; a heap of candidates over a linked list."""
-        parts = [p if p in self.ids else self.unknown for p in (data[i : i + 1] for i in range(len(data)))]
-        after = list(range(1, len(parts) + 1))
-        before = list(range(-1, len(parts) - 1))
-        end, ranks = len(parts), self.ranks
-        heap = []
-        for i in range(end - 1):
-            rank = ranks.get(parts[i] + parts[i + 1])
-            if rank is not None:
-                heap.append((rank, i, parts[i], parts[i + 1]))
+        """Best rank first, leftmost on ties."""
+        symbols = self.symbols
+        parts = [symbols[b] for b in data]
+        if len(parts) > SCAN_SYMBOLS:
+            parts = self._merge_long(parts)
+        else:
+            rank_of = self.ranks.get
+            ranks = [rank_of(a + b, NO_RANK) for a, b in zip(parts, parts[1:])]
+            while ranks and (best := min(ranks)) != NO_RANK:
+                i = ranks.index(best)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del ranks[i]
+                if i:
+                    ranks[i - 1] = rank_of(parts[i - 1] + parts[i], NO_RANK)
+                if i < len(ranks):
+                    ranks[i] = rank_of(parts[i] + parts[i + 1], NO_RANK)
+        ids = self.ids
+        return [ids[p] for p in parts]
+
+    def _merge_long(self, parts: list[bytes]) -> list[bytes]:
+        """The same order of merges over a linked list, with a heap of candidates."""
+        end, rank_of = len(parts), self.ranks.get
+        after, before = list(range(1, end + 1)), list(range(-1, end - 1))
+        pairs = ((rank_of(parts[i] + parts[i + 1]), i, parts[i], parts[i + 1]) for i in range(end - 1))
+        heap = [p for p in pairs if p[0] is not None]
         heapq.heapify(heap)
         while heap:
             _, i, left, right = heapq.heappop(heap)
@@ -56,7 +75,7 @@ class GreedyEncoder:
                 before[after[i]] = i
             for k in (before[i], i):
                 if k >= 0 and after[k] < end:
-                    rank = ranks.get(parts[k] + parts[after[k]])
+                    rank = rank_of(parts[k] + parts[after[k]])
                     if rank is not None:
                         heapq.heappush(heap, (rank, k, parts[k], parts[after[k]]))
-        return [self.ids[p] for p in parts if p]
+        return [p for p in parts if p]

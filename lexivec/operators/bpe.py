@@ -29,14 +29,18 @@ def spelled_pairs(pairs: DataFrame, table: Sequence[str]) -> DataFrame:
     )
 
 
-def best_pair(pairs: DataFrame, table: Sequence[str]) -> DataFrame:
-    """The most frequent pair; ties go to the pair whose spelling ``a b`` is first in byte order."""
+def _in_order(pairs: DataFrame, table: Sequence[str]) -> DataFrame:
     spelling = F.concat(
         sy.symbol_hex(F.substring("pair", 1, 1), table),
         F.lit("20"),
         sy.symbol_hex(F.substring("pair", 2, 1), table),
     )
-    return pairs.orderBy(F.desc("n"), spelling).limit(1)
+    return pairs.orderBy(F.desc("n"), spelling)
+
+
+def best_pair(pairs: DataFrame, table: Sequence[str]) -> DataFrame:
+    """The most frequent pair; ties go to the pair whose spelling ``a b`` is first in byte order."""
+    return _in_order(pairs, table).limit(1)
 
 
 def apply_merge(symbols: DataFrame, pair: str, into: str) -> DataFrame:
@@ -49,7 +53,11 @@ def apply_merge(symbols: DataFrame, pair: str, into: str) -> DataFrame:
 
 
 def _changes(words: DataFrame, pair: str, into: str) -> DataFrame:
-    """Signed pair rows of the words that contain the merged pair, and of no others."""
+    """Net change of every pair count when one pair merges; reads only words that contain it.
+
+    Only pairs that touch the merged symbols change, so there are at most a few per symbol of the
+    vocabulary, whatever the size of the corpus.
+    """
     touched = words.filter(F.contains("syms", F.lit(pair)))
     both = touched.select(
         F.inline(
@@ -59,16 +67,68 @@ def _changes(words: DataFrame, pair: str, into: str) -> DataFrame:
             )
         )
     )
-    return sy.pair_rows(both, "n")
+    return sy.pair_rows(both, "n").groupBy("pair").agg(F.sum("n").alias("n")).filter("n <> 0")
+
 
+class _Leaders:
+    """The most frequent pairs, kept exact between full counts.
+
+    A full count yields the leading pairs in their final order. Every pair left out is at most as
+    frequent as the last leader, and later merges can only lower it unless it contains a symbol
+    that a merge produces. So a leader above that mark is the best pair of all; when none is above
+    it, or a left-out pair may have grown, the pairs are counted again.
+    """
 
-def bpe_train(symbols: DataFrame, merges: int = DEFAULT_MERGES, cut_every: int = 5) -> DataFrame:
+    def __init__(self, table: Sequence[str], size: int):
+        self.table, self.size = table, size
+        self.counts: dict[str, int] = {}
+        self.mark, self.first, self.fresh = 0, "", set()
+
+    def recount(self, words: DataFrame) -> None:
+        ordered = _in_order(pair_counts(words), self.table).limit(self.size).collect()
+        self.counts = {r["pair"]: r["n"] for r in ordered}
+        self.mark = ordered[-1]["n"] if len(ordered) == self.size else 0
+        self.first = ordered[0]["pair"] if ordered else ""
+        self.fresh = set()
+
+    def best(self) -> str | None:
+        """The best pair, or None when only a new count can tell."""
+        if self.first:
+            return self.first
+        if not self.counts:
+            return None
+        pair = min(self.counts, key=lambda p: (-self.counts[p], self.spelling(p)))
+        return pair if self.counts[pair] > self.mark else None
+
+    def spelling(self, pair: str) -> str:
+        return "20".join(self.table[sy.symbol_index(c)] for c in pair)
+
+    def apply(self, changes: list, into: str, is_new: bool) -> bool:
+        """Take in the changes of one merge; False when a new count is needed."""
+        self.first = ""
+        if is_new:
+            self.fresh.add(into)
+        for row in changes:
+            pair, change = row["pair"], row["n"]
+            if pair in self.counts or not self.fresh.isdisjoint(pair) or not self.mark:
+                self.counts[pair] = self.counts.get(pair, 0) + change
+                if self.counts[pair] <= 0:
+                    del self.counts[pair]
+            elif change > 0:
+                return False
+        return True
+
+
+def bpe_train(
+    symbols: DataFrame, merges: int = DEFAULT_MERGES, cut_every: int = 20, leaders: int = 4096
+) -> DataFrame:
     """Learn up to ``merges`` ranked merges from a ``(syms, freq)`` table of distinct words.
 
-    Each step is one job: the signed pair rows of the touched words are added to the standing
-    pair counts and the best pair comes back, the only row that reaches the driver. Words and
-    pair counts of the last step stay cached; every ``cut_every`` steps they are written out, so
-    lineage and plans stay bounded and a lost executor costs a few narrow steps.
+    The words stay on the executors, cached and rewritten by a narrow projection per step. A step
+    is one job over the words that contain the merged pair; it returns the few pair counts that
+    changed, from which the driver knows the next pair exactly (see ``_Leaders``). Every
+    ``cut_every`` steps the words are written out, so lineage and plans stay bounded and a lost
+    executor costs a few narrow steps.
     """
     spark = symbols.sparkSession
     merges = merges if merges >= 1 else DEFAULT_MERGES
@@ -76,42 +136,44 @@ def bpe_train(symbols: DataFrame, merges: int = DEFAULT_MERGES, cut_every: int =
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = StorageLevel.MEMORY_AND_DISK
 
-    words = scratch.write(symbols.select("syms", "freq").repartition(spread, "syms"), "words-0")
-    words = words.persist(level)
-    pairs = pair_counts(words).persist(level)
+    start = symbols.filter(F.length("syms") > 1).select("syms", "freq").repartition(spread, "syms")
+    words = scratch.write(start, "words-0").persist(level)
     learned: list[tuple[int, str, str, int]] = []
-    table, cut, superseded = sy.hex_table(), 0, []
+    table, cut = sy.hex_table(), 0
+    lead, source = _Leaders(table, leaders), None
+    lead.recount(words)
     for rank in range(merges):
-        top = best_pair(pairs, table).collect()
-        for frame in superseded:
-            frame.unpersist()
-        if not top:
+        pair = lead.best()
+        if pair is None and lead.mark:
+            lead.recount(words)
+            pair = lead.best()
+        if pair is None:
             break
-        pair, into = top[0]["pair"], sy.symbol_char(sy.BYTES + rank)
         a, b = (table[sy.symbol_index(c)] for c in pair)
-        learned.append((rank, a, b, top[0]["n"]))
-        table.append(a + b)
+        learned.append((rank, a, b, lead.counts[pair]))
         if rank + 1 == merges:
             break
-        superseded = [words, pairs]
-        pairs = (
-            pairs.unionByName(_changes(words, pair, into))
-            .groupBy("pair")
-            .agg(F.sum("n").alias("n"))
-            .filter("n > 0")
-        )
+        is_new = a + b not in table[sy.BYTES :]
+        if is_new:
+            table.append(a + b)
+        into = sy.symbol_char(sy.BYTES + table[sy.BYTES :].index(a + b))
+        exact = lead.apply(_changes(words, pair, into).collect(), into, is_new)
+        if source is not None:
+            source.unpersist()
+        source = words
         words = words.select(sy.merged(F.col("syms"), pair, into).alias("syms"), "freq")
         if (rank + 1) % cut_every == 0:
             cut += 1
-            words, pairs = scratch.write(words, f"words-{cut}"), scratch.write(pairs, f"pairs-{cut}")
-            for frame in superseded:
-                frame.unpersist()
-            superseded = []
+            words = scratch.write(words, f"words-{cut}")
+            source.unpersist()
+            source = None
             scratch.drop(f"words-{cut - 1}")
-            scratch.drop(f"pairs-{cut - 1}")
-        words, pairs = words.persist(level), pairs.persist(level)
-    for frame in [words, pairs, *superseded]:
-        frame.unpersist()
+        words = words.persist(level)
+        if not exact:
+            lead.recount(words)
+    for frame in (words, source):
+        if frame is not None:
+            frame.unpersist()
     scratch.drop("")
     return spark.createDataFrame(learned, MERGE_SCHEMA)
 

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.functions import text as tx
 from lexivec.functions.greedy import GreedyEncoder
+from lexivec.operators.keyed import lookup
+from lexivec.sources.sizing import spread
 
 BROADCAST_TOKENS = 2_000_000  # the most tokens a task holds in memory for encoding
 INLINE_TOKENS = 100_000  # the most tokens a decode plan carries as a constant
@@ -68,7 +69,7 @@ def _task_encoder(shared, unknown: bytes) -> GreedyEncoder:
 def encode_corpus(docs: DataFrame, tokenizer: DataFrame, text: str = "text") -> DataFrame:
     """Documents with their token ids in ``ids``; the text itself is not carried along."""
     kept = [c for c in docs.columns if c != text]
-    return docs.select(*kept, encoder(tokenizer)(F.col(text)).alias("ids"))
+    return spread(docs).select(*kept, encoder(tokenizer)(F.col(text)).alias("ids"))
 
 
 def with_bos_eos(encoded: DataFrame, bos: bool = True, eos: bool = True) -> DataFrame:
@@ -98,8 +99,8 @@ def decode_corpus(
 
 
 def _decode_by_join(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) -> DataFrame:
-    spread = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "_id"))
-    named = spread.join(tokenizer.select(F.col("id").alias("_id"), "token"), "_id", "left")
+    spread_ids = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "_id"))
+    named = lookup(spread_ids, tokenizer.select(F.col("id").alias("_id"), "token"), "_id")
     parts = F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]
     )
@@ -110,9 +111,13 @@ def _decode_by_join(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) ->
 
 
 def token_listing(encoded: DataFrame, tokenizer: DataFrame, by: str) -> DataFrame:
-    """How often each token occurs per group, named after counting."""
+    """How often each token occurs per group, named after counting.
+
+    The outer explode keeps the optimizer from filtering on the ids first, which would encode twice.
+    """
     counts = (
-        encoded.select(by, F.explode("ids").alias("id"))
+        encoded.select(by, F.explode_outer("ids").alias("id"))
+        .filter("id is not null")
         .groupBy(by, "id")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -131,5 +136,5 @@ def next_token_pairs(encoded: DataFrame) -> DataFrame:
 
 def embedding_lookup(encoded: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """Rows of an embedding table ``(id, vec)`` in token order: ``(key, pos, id, vec)``."""
-    spread = encoded.select(*key, F.posexplode("ids").alias("pos", "id"))
-    return spread.join(table.select("id", "vec"), "id").select(*key, "pos", "id", "vec")
+    rows = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "id")).filter("id is not null")
+    return lookup(rows, table.select("id", "vec"), "id").select(*key, "pos", "id", "vec")

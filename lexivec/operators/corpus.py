@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as tx
+from lexivec.sources.sizing import spread
 
 
 def corpus_scan(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -35,14 +36,14 @@ def byte_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     raw = docs.select(F.encode(tx.before_nul(F.col(text)), "UTF-8").alias("raw"))
-    partial = raw.mapInArrow(count_bytes, "byte int, n bigint")
+    partial = spread(raw).mapInArrow(count_bytes, "byte int, n bigint")
     return partial.groupBy("byte").agg(F.sum("n").alias("n"))
 
 
 def word_rows(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per whitespace token."""
     fields = F.explode(tx.fields_by_whitespace(F.col(text))).alias("word")
-    return docs.select(*keep, fields).filter(F.col("word") != "")
+    return spread(docs.select(*keep, text)).select(*keep, fields).filter(F.col("word") != "")
 
 
 def field_counts(docs: DataFrame, column: str, delimiter: str) -> DataFrame:

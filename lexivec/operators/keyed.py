@@ -20,20 +20,25 @@ def first_wins_upsert(existing: DataFrame, batch: DataFrame, key: str, value: st
     return first.select(key, F.col(f"r.{value}").alias(value))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Point lookup of every row, NULL where the key is absent.
+def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, salts: int = SALTS) -> DataFrame:
+    """Join rows with a table that holds each key once, safe for keys with very many rows.
 
-    ``table`` holds each key once. Its rows are repeated per salt so that a hot key in ``rows``
-    is shared by several tasks; Spark broadcasts it instead when its size allows.
+    The rows of a key spread over several salts and the table's row is repeated per salt, so a hot
+    key is shared by several tasks. Spark broadcasts the table instead when its size allows.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], "left").drop("_salt")
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Point lookup of every row, NULL where the key is absent."""
+    return salted_join(rows, table, key, "left")
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the given keys."""
-    return table.join(keys.select(key).distinct(), key, "left_anti")
+    return salted_join(table, keys.select(key).distinct(), key, "left_anti")
 
 
 def keys_not_found(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -65,11 +70,12 @@ def set_union(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def set_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.intersect(b)
+    """Both sides are made distinct map-side first, so repeated elements never meet in one task."""
+    return a.distinct().intersect(b.distinct())
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.subtract(b)
+    return a.distinct().subtract(b.distinct())
 
 
 def set_add(members: DataFrame, more: DataFrame) -> DataFrame:

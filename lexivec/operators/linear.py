@@ -12,14 +12,10 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
 from lexivec.functions.arrays import dense, rowwise
+from lexivec.operators.keyed import lookup
 from lexivec.operators.ordering import global_rank
 
-MODEL_CELLS = 16_000_000  # the largest matrix that a task holds whole
-
-
-def long_form(table: DataFrame, key: str, vec: Column, value: str = "val") -> DataFrame:
-    """``(key, j, value)``, one row per element."""
-    return table.select(key, F.posexplode(vec).alias("j", value))
+MODEL_CELLS = 4_000_000  # the largest matrix that a task holds whole
 
 
 def shape_check(table: DataFrame, vec: str, width: int) -> DataFrame:
@@ -63,7 +59,8 @@ def matmul(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
     if weights is None:
         return matmul_by_join(table, cells, key, vec)
     apply = rowwise(lambda x: x.astype(np.float64) @ weights.T)
-    return table.select(key, F.posexplode(apply(F.col(vec))).alias("row", "val"))
+    rows = table.select(key, F.posexplode_outer(apply(F.col(vec))).alias("row", "val"))
+    return rows.filter("row is not null")
 
 
 def matmul_by_join(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
@@ -85,14 +82,14 @@ def softmax_by_group(table: DataFrame, group: str, key: str, value: str) -> Data
     """Softmax over all rows of a group.
 
     The largest value and the sum of powers per group come from map-side combined aggregations
-    and are joined back, so the rows of a large group stay where they are.
+    and are looked up per row, so no task receives a whole group.
     """
     peak = table.groupBy(group).agg(F.max(value).alias("_peak"))
-    powers = table.join(peak, group).select(
+    powers = lookup(table.select(group, key, value), peak, group).select(
         group, key, F.exp(F.col(value) - F.col("_peak")).alias("_power")
     )
     sums = powers.groupBy(group).agg(F.sum("_power").alias("_sum"))
-    return powers.join(sums, group).select(group, key, (F.col("_power") / F.col("_sum")).alias("p"))
+    return lookup(powers, sums, group).select(group, key, (F.col("_power") / F.col("_sum")).alias("p"))
 
 
 def top_k(table: DataFrame, key: str, vec: str, k: int) -> DataFrame:
@@ -266,11 +263,11 @@ def _scores_by_blocks(table: DataFrame, normal: DataFrame, key: str, vec: str, q
     t_blocks = max(1, -(-table.count() // BLOCK_ROWS))
     q_side = normal.select(
         query, "_q", F.pmod(F.xxhash64(query), F.lit(q_blocks)).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1))).cast("bigint").alias("_tb"),
+        F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)).cast("array<bigint>")).alias("_tb"),
     )
     t_side = table.select(
         F.col(key).cast("bigint").alias(key), vec, F.pmod(F.xxhash64(key), F.lit(t_blocks)).alias("_tb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("_qb"),
+        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")).alias("_qb"),
     )
     kind = normal.schema[query].dataType.simpleString()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +18,18 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Regular files directly in a directory: ``(dirname, basename, size)``; contents are not read."""
+    """Regular files directly in a directory: ``(dirname, basename, size)``; contents are not read.
+
+    A scan skips files without bytes, so the names come from the file index of the same source.
+    """
     files = spark.read.format("binaryFile").load(directory)
-    return files.select(
+    names = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")
+    base = tx.path_basename(F.col("path")).alias("basename")
+    sizes = names.select("path", base).join(files.select(base, "length"), "basename", "left")
+    return sizes.select(
         tx.path_dirname(F.col("path")).alias("dirname"),
-        tx.path_basename(F.col("path")).alias("basename"),
-        F.col("length").alias("size"),
+        "basename",
+        F.coalesce("length", F.lit(0)).cast("bigint").alias("size"),
     )
 
 

@@ -22,7 +22,7 @@ def q6(expression: str) -> str:
 
 def cells(df: DataFrame, key: str, vec: str, value: str = "val", rounded: bool = True) -> DataFrame:
     """A vector column in long form."""
-    out = df.select(key, F.posexplode(vec).alias("j", value))
+    out = df.select(key, F.posexplode_outer(vec).alias("j", value)).filter("j is not null")
     return out.withColumn(value, r6(value)) if rounded else out
 
 

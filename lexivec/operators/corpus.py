@@ -28,8 +28,13 @@ def byte_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
     def count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, dtype=np.int64)
         for batch in batches:
-            joined = b"".join(v for v in batch.column(0).to_pylist() if v is not None)
-            total += np.bincount(np.frombuffer(joined, dtype=np.uint8), minlength=256)
+            column = batch.column(0)
+            _, ends, data = column.buffers()
+            width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+            ends = np.frombuffer(ends, dtype=width)[column.offset : column.offset + len(column) + 1]
+            if data is not None and len(ends):
+                used = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]]
+                total += np.bincount(used, minlength=256)
         present = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict(
             {"byte": pa.array(present, pa.int32()), "n": pa.array(total[present], pa.int64())}

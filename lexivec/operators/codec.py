@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +17,7 @@ from lexivec.sources.sizing import spread
 BROADCAST_TOKENS = 2_000_000  # the most tokens a task holds in memory for encoding
 INLINE_TOKENS = 100_000  # the most tokens a decode plan carries as a constant
 BOS, EOS, UNK = 0, 1, 3
+_ENCODERS: dict[str, GreedyEncoder] = {}  # per Python worker: the encoder last used, with its memo
 
 
 def _bounded(tokenizer: DataFrame, limit: int) -> list | None:
@@ -35,9 +37,13 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     tokens = [(r["id"], bytes.fromhex(r["token"]), r["rank"]) for r in rows]
     shared = tokenizer.sparkSession.sparkContext.broadcast(tokens)
     unknown = next(t for i, t, _ in tokens if i == UNK)
+    name = uuid.uuid4().hex
 
     def encode(texts: pa.Array) -> pa.Array:
-        greedy = _task_encoder(shared, unknown)
+        greedy = _ENCODERS.get(name)
+        if greedy is None:
+            _ENCODERS.clear()
+            greedy = _ENCODERS[name] = GreedyEncoder(shared.value, unknown)
         ids: list[int] = []
         ends = np.zeros(len(texts) + 1, dtype=np.int32)
         missing = np.zeros(len(texts), dtype=bool)
@@ -54,18 +60,6 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     return F.arrow_udf(encode, "array<int>")
 
 
-_ENCODERS: dict[int, GreedyEncoder] = {}
-
-
-def _task_encoder(shared, unknown: bytes) -> GreedyEncoder:
-    """One encoder, with its memo, per Python worker and token table."""
-    key = id(shared.value)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = GreedyEncoder(shared.value, unknown)
-    return _ENCODERS[key]
-
-
 def encode_corpus(docs: DataFrame, tokenizer: DataFrame, text: str = "text") -> DataFrame:
     """Documents with their token ids in ``ids``; the text itself is not carried along."""
     kept = [c for c in docs.columns if c != text]

@@ -21,9 +21,9 @@ def first_wins_upsert(existing: DataFrame, batch: DataFrame, key: str, value: st
 
 
 def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, salts: int = SALTS) -> DataFrame:
-    """Join rows with a table that holds each key once, safe for keys with very many rows.
+    """Join rows with a keyed table, safe for keys with very many rows.
 
-    The rows of a key spread over several salts and the table's row is repeated per salt, so a hot
+    The rows of a key spread over several salts and the table is repeated per salt, so a hot
     key is shared by several tasks. Spark broadcasts the table instead when its size allows.
     """
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))

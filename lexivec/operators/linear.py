@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
 from lexivec.functions.arrays import dense, rowwise
-from lexivec.operators.keyed import lookup
+from lexivec.operators.keyed import lookup, salted_join
 from lexivec.operators.ordering import global_rank
 
 MODEL_CELLS = 4_000_000  # the largest matrix that a task holds whole
@@ -64,9 +64,9 @@ def matmul(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
 
 
 def matmul_by_join(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
-    """The same product in long form: equi-join on the column, partial sums before the shuffle."""
+    """The same product in long form: salted equi-join on the column, partial sums before the shuffle."""
     x = table.select(key, F.posexplode(vec).alias("col", "x"))
-    products = x.join(cells.select("row", "col", "val"), "col").select(
+    products = salted_join(x, cells.select("row", "col", "val"), "col", "inner").select(
         key, "row", (F.col("x").cast("double") * F.col("val")).alias("p")
     )
     return products.groupBy(key, "row").agg(F.sum("p").alias("val"))

@@ -16,14 +16,18 @@ TOP_WORDS = 50
 LEARNED: dict[tuple[str, str], str] = {}
 
 
+def learned(spark, sf):
+    """Learn the merges of the documents and store them for the queries that use a model."""
+    path = Scratch(spark, "model").path("merges")
+    tables.save_table(plan.learn_merges(table(spark, sf, "documents"), MERGES), path, "merges")
+    LEARNED[(spark.sparkContext.applicationId, sf)] = path
+    return tables.load_table(spark, path, "merges")
+
+
 def merges_of(spark, sf):
-    """Merges of the documents, learned once per session and stored as a table."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in LEARNED:
-        path = Scratch(spark, "model").path("merges")
-        tables.save_table(plan.learn_merges(table(spark, sf, "documents"), MERGES), path, "merges")
-        LEARNED[key] = path
-    return tables.load_table(spark, LEARNED[key], "merges")
+    """The stored merges of the documents, learned once per session."""
+    path = LEARNED.get((spark.sparkContext.applicationId, sf))
+    return tables.load_table(spark, path, "merges") if path else learned(spark, sf)
 
 
 def tokenizer_of(spark, sf):
@@ -73,7 +77,7 @@ def apply_merge(spark, sf):
 
 
 def bpe_train(spark, sf):
-    return plan.learn_merges(table(spark, sf, "documents"), MERGES)
+    return learned(spark, sf)
 
 
 def merge_log(spark, sf):

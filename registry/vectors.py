@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import formats as fm
 from lexivec.functions import vectors as vx
-from lexivec.functions.arrays import rowwise
 from lexivec.operators import codec, linear, quant
 from lexivec.operators import random as rd
 from registry.common import CELLS_SQL, cells, lehmer_sql, q6, r6, table, xavier_sql

@@ -25,6 +25,14 @@ def dense(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.reshape(len(rows), span["max"]), missing
 
 
+def dense_pair(first: pa.Array, second: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two columns as matrices over the rows that have both vectors, and the mask of the others."""
+    missing = pc.or_(first.is_null(), second.is_null())
+    kept = pc.invert(missing)
+    rows = [dense(column.filter(kept))[0] for column in (first, second)]
+    return rows[0], rows[1], np.asarray(missing.to_numpy(zero_copy_only=False))
+
+
 def ragged(matrix: np.ndarray, missing: np.ndarray, kind: pa.DataType) -> pa.Array:
     """Inverse of ``dense``."""
     width = matrix.shape[1] if matrix.size else 0

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
-from lexivec.functions.arrays import dense, ragged, rowwise
+from lexivec.functions.arrays import dense, dense_pair, ragged, rowwise
 from lexivec.operators.linear import small_matrix
 
 
@@ -48,14 +48,14 @@ def outer_gradient(table: DataFrame, delta: str, x: str) -> DataFrame:
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            (d, _), (v, _) = dense(batch.column(0)), dense(batch.column(1))
-            if d.size and v.size:
+            d, v, _ = dense_pair(batch.column(0), batch.column(1))
+            if d.size:
                 product = d.astype(np.float64).T @ v.astype(np.float64)
                 total = product if total is None else total + product
         if total is not None:
             yield _cells(total)
 
-    rows = table.select(delta, x).filter(F.col(delta).isNotNull() & F.col(x).isNotNull())
+    rows = table.select(delta, x)
     return rows.mapInArrow(partial, "i int, j int, g double").groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
@@ -71,21 +71,19 @@ def _cells(matrix: np.ndarray) -> pa.RecordBatch:
 
 
 def chain_gradient(table: DataFrame, weights: np.ndarray, key: str, delta: str, z: str) -> DataFrame:
-    """``(W^T delta) * silu'(z)`` of every row: ``(key, dz)``. A row without either vector is left out."""
-    rows = table.filter(F.col(delta).isNotNull() & F.col(z).isNotNull())
-    kind = pa.list_(pa.float64())
+    """``(W^T delta) * silu'(z)`` of every row: ``(key, dz)``. NULL where either vector is missing."""
 
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (d, missing), (v, _) = dense(batch.column(1)), dense(batch.column(2))
+            d, v, missing = dense_pair(batch.column(1), batch.column(2))
             if d.size:
                 gate = 1.0 / (1.0 + np.exp(-v.astype(np.float64)))
-                dz = (d.astype(np.float64) @ weights) * gate * (1.0 + v * (1.0 - gate))
-                out = ragged(dz, missing, pa.float64()).cast(kind)
-                yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[key, "dz"])
+                d = (d.astype(np.float64) @ weights) * gate * (1.0 + v * (1.0 - gate))
+            out = ragged(d, missing, pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[key, "dz"])
 
     key_kind = table.schema[key].dataType.simpleString()
-    return rows.select(key, delta, z).mapInArrow(back, f"{key} {key_kind}, dz array<double>")
+    return table.select(key, delta, z).mapInArrow(back, f"{key} {key_kind}, dz array<double>")
 
 
 def sgd_step(

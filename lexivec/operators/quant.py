@@ -24,9 +24,10 @@ def quant_error(table: DataFrame, by: str, vec: str = "embedding", fmts: tuple[s
     """Largest and mean absolute round-trip error per format and group, over finite results.
 
     One scan audits all formats; each vector becomes one small row per format before the shuffle.
+    (The outer form keeps the optimizer from filtering on the audit first, which would run it twice.)
     """
-    audited = table.select(by, fm.audit(fmts)(F.col(vec)).alias("a")).select(by, F.inline("a"))
-    return audited.groupBy("format", by).agg(
+    audited = table.select(by, fm.audit(fmts)(F.col(vec)).alias("a")).select(by, F.inline_outer("a"))
+    return audited.filter("format is not null").groupBy("format", by).agg(
         F.max("worst").alias("max_error"),
         (F.sum("total") / F.sum("n")).alias("mean_error"),
         F.sum("n").alias("n_finite"),

@@ -33,14 +33,14 @@ def scaled(df):
 def _codes(fmt):
     def query(spark, sf):
         coded = quant.quantized(vectors_of(spark, sf), fmt)
-        return coded.select("vec_id", F.posexplode("code").alias("j", "code"))
+        return coded.select("vec_id", F.posexplode_outer("code").alias("j", "code")).filter("j is not null")
 
     return query
 
 
 def quant_q8(spark, sf):
     coded = quant.quantized(scaled(vectors_of(spark, sf)), "q8")
-    parts = coded.select("vec_id", "code.w", F.posexplode("code.q").alias("j", "q"))
+    parts = coded.select("vec_id", "code.w", F.posexplode_outer("code.q").alias("j", "q")).filter("j is not null")
     return parts.select(
         "vec_id", "j", F.col("q").cast("int").alias("q"),
         F.get("w", F.floor(F.col("j") / fm.Q8_BLOCK).cast("int")).cast("int").alias("w"),
@@ -53,18 +53,18 @@ def dequant_q8(spark, sf):
 
 
 def quant_matrix(spark, sf):
-    """Every format over the whole table, as one checksum of codes per row."""
-    base = vectors_of(spark, sf)
-    sums = []
-    for fmt in (*fm.FORMATS, "q8"):
-        codes = F.col("code.q") if fmt == "q8" else F.col("code")
-        total = F.aggregate(codes, F.lit(0).cast("bigint"), lambda s, c: s + c)
-        coded = quant.quantized(base, fmt)
-        sums.append(coded.select("vec_id", F.lit(fmt).alias("format"), total.alias("code_sum")))
-    out = sums[0]
-    for s in sums[1:]:
-        out = out.unionByName(s)
-    return out
+    """Every format over the whole table in one scan, as one checksum of codes per row."""
+    vec = F.col("embedding")
+    codes = {fmt: fm.encode_scalar(fmt)(vec).alias(fmt) for fmt in fm.FORMATS} | {"q8": fm.encode_q8()(vec).alias("q8")}
+    coded = vectors_of(spark, sf).select("vec_id", *codes.values())
+    sums = [
+        F.struct(
+            F.lit(fmt).alias("format"),
+            F.aggregate("q8.q" if fmt == "q8" else fmt, F.lit(0).cast("bigint"), lambda s, c: s + c).alias("code_sum"),
+        )
+        for fmt in codes
+    ]
+    return coded.select("vec_id", F.inline(F.array(*sums)))
 
 
 def quant_error(spark, sf):

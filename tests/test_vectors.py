@@ -177,3 +177,14 @@ def test_shape_and_clamp(spark):
     assert shapes == {2: True, 1: False, None: False}
     row = linear.clamp_report(spark.createDataFrame([(1.0,), (9.0,)], "x double"), {"x": (5, 2)}).first()
     assert (row["n_changed"], row["min_after"], row["max_after"], row["midpoint"]) == (2, 2.0, 5.0, 3.5)
+
+
+def test_gradients_skip_missing_vectors(spark):
+    rows = [(1, [1.0, 2.0], [3.0]), (2, None, [4.0]), (3, [5.0, 6.0], None), (4, [0.5, 0.5], [2.0])]
+    frame = spark.createDataFrame(rows, "k int, d array<double>, x array<double>")
+    cells = {(r["i"], r["j"]): r["g"] for r in learn.outer_gradient(frame, "d", "x").collect()}
+    assert cells == {(0, 0): 4.0, (1, 0): 7.0}
+    back = {r["k"]: r["dz"] for r in learn.chain_gradient(frame, np.array([[1.0], [2.0]]), "k", "d", "x").collect()}
+    assert back[2] is None and back[3] is None
+    gate = 1 / (1 + math.exp(-3.0))
+    assert abs(back[1][0] - 5.0 * gate * (1 + 3.0 * (1 - gate))) < 1e-12

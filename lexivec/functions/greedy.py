@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 
 CHUNKS = re.compile(rb"[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]")
-MEMO_ENTRIES = 500_000
+MEMO_ENTRIES, MEMO_BYTES = 500_000, 64
 SCAN_SYMBOLS = 128  # above this many symbols a heap finds the next merge
 NO_RANK = 1 << 62
 
@@ -20,22 +21,27 @@ class GreedyEncoder:
         singles = (bytes([b]) for b in range(256))
         self.symbols = [s if s in self.ids else unknown for s in singles]
         self.by_chunk = all(CHUNKS.fullmatch(t) for t in self.ranks)
-        self.memo: dict[bytes, list[int]] = {}
+        self.memo: dict[bytes, bytes] = {}
 
-    def text(self, data: bytes) -> list[int]:
-        """Ids of a text. When no ranked token spans whitespace, the runs are independent."""
+    def text(self, data: bytes) -> bytes:
+        """Ids of a text as packed 32-bit integers.
+
+        When no ranked token spans whitespace, the runs of a text are independent, and each
+        distinct short run is merged once.
+        """
         if not self.by_chunk:
-            return self.merge(data)
-        out: list[int] = []
-        memo = self.memo
-        for chunk in CHUNKS.findall(data):
-            ids = memo.get(chunk)
-            if ids is None:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                ids = memo[chunk] = self.merge(chunk)
-            out += ids
-        return out
+            return self.packed(data)
+        known = self.memo.get
+        return b"".join([known(chunk) or self.packed(chunk) for chunk in CHUNKS.findall(data)])
+
+    def packed(self, chunk: bytes) -> bytes:
+        """Merge a chunk; the result of a short one is remembered."""
+        ids = array("i", self.merge(chunk)).tobytes()
+        if len(chunk) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO_ENTRIES:
+                self.memo.clear()
+            self.memo[chunk] = ids
+        return ids
 
     def merge(self, data: bytes) -> list[int]:
         """Best rank first, leftmost on ties."""

@@ -17,6 +17,7 @@ from lexivec.sources.sizing import spread
 BROADCAST_TOKENS = 2_000_000  # the most tokens a task holds in memory for encoding
 INLINE_TOKENS = 100_000  # the most tokens a decode plan carries as a constant
 BOS, EOS, UNK = 0, 1, 3
+ID_BYTES = 4
 _ENCODERS: dict[str, GreedyEncoder] = {}  # per Python worker: the encoder last used, with its memo
 
 
@@ -44,18 +45,11 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
         if greedy is None:
             _ENCODERS.clear()
             greedy = _ENCODERS[name] = GreedyEncoder(shared.value, unknown)
-        ids: list[int] = []
-        ends = np.zeros(len(texts) + 1, dtype=np.int32)
-        missing = np.zeros(len(texts), dtype=bool)
-        for n, text in enumerate(texts.to_pylist()):
-            if text is None:
-                missing[n] = True
-            else:
-                ids += greedy.text(text.encode().split(b"\0", 1)[0])
-            ends[n + 1] = len(ids)
-        return pa.ListArray.from_arrays(
-            pa.array(ends), pa.array(ids, pa.int32()), mask=pa.array(missing)
-        )
+        missing = np.asarray(texts.is_null().to_numpy(zero_copy_only=False))
+        coded = [greedy.text(t.encode().split(b"\0", 1)[0]) if t else b"" for t in texts.to_pylist()]
+        ends = np.concatenate([[0], np.cumsum([len(c) // ID_BYTES for c in coded])]).astype(np.int32)
+        ids = np.frombuffer(b"".join(coded), dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array(missing))
 
     return F.arrow_udf(encode, "array<int>")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import decontaminate, neardup
+from lexivec.llm import decontaminate, neardup, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP3_SQL = f"""
@@ -43,5 +47,6 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 ORACLES = {"op3_benchmark_decontamination": _OP3_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import decontaminate, neardup, suffix
+from lexivec.llm import decontaminate, lmscore, neardup, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op10_lattice_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lattice_scores(_table(spark, sf_dir, "documents"), lmscore.one_in(7, 2))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP3_SQL = f"""
@@ -48,5 +52,6 @@ QUERIES = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_lattice_lm_score": op10_lattice_lm_score,
 }
 ORACLES = {"op3_benchmark_decontamination": _OP3_SQL}

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import decontaminate, lmscore, neardup, suffix
+from lexivec.llm import decontaminate, language, lmscore, neardup, suffix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_table(spark, sf_dir, "documents"), lmscore.one_in(5, 0))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -49,6 +53,7 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_neardup": op5_minhash_neardup,
     "op8_suffix_dedup": op8_suffix_dedup,

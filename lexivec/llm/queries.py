@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import decontaminate, language, lmscore, neardup, suffix
+from lexivec.llm import decontaminate, language, lmscore, matroska, neardup, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(_table(spark, sf_dir, "documents"), lmscore.one_in(5, 0))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.score_texts(docs, labels, lmscore.one_in(4, 2))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return decontaminate.digest(found)
@@ -24,6 +29,10 @@ def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op7_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.features(matroska.as_media(_table(spark, sf_dir, "documents")))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
 
@@ -54,8 +63,10 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_toxicity": op2_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op7_media_matroska": op7_media_matroska,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_lattice_lm_score": op10_lattice_lm_score,
 }

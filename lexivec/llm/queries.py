@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import decontaminate, language, lmscore, matroska, neardup, suffix, toxicity
+from lexivec.llm import decontaminate, language, licences, lines, lmscore, matroska, neardup, packing, suffix, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,10 +25,18 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.digest(found)
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.measured(_table(spark, sf_dir, "documents")))
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_media_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.as_media(_table(spark, sf_dir, "documents")))
 
@@ -37,6 +45,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(suffix.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.remove_repeated_units(_table(spark, sf_dir, "documents")))
+
+
 def op10_lattice_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.lattice_scores(_table(spark, sf_dir, "documents"), lmscore.one_in(7, 2))
 
@@ -61,13 +73,59 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)
 """
 
+
+
+def _op6_sql() -> str:
+    known = ", ".join(f"({k}, '{s}')" for k, s in licences.SENTENCES.items())
+
+    def matches(needed: tuple[int, ...]) -> str:
+        return "regexp_matches(ids, '(^|,)" + "(,|,.*,)".join(map(str, needed)) + "(,|$)')"
+
+    ranked = sorted(licences.RULES, key=lambda rule: -len(rule[1]))
+    main = " ".join(f"WHEN {matches(needed)} THEN '{name}'" for name, needed in ranked)
+    every = ", ".join(f"CASE WHEN {matches(needed)} THEN '{name}' END" for name, needed in licences.RULES)
+    return f"""
+WITH known(id, s) AS (VALUES {known}),
+d AS (SELECT row_number() OVER () AS r, doc_id,
+      string_split(regexp_replace(text, '([.!?;:])[ \t\n\x0B\f\r]+', '\\1' || chr(10), 'g'), chr(10)) AS lines FROM documents),
+u AS (SELECT r, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS position FROM d),
+m AS (SELECT r, position, id FROM u
+      JOIN known ON trim(regexp_replace(lower(line), '[^a-z0-9]+', ' ', 'g')) = s),
+g AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY position) AS ids, min(position) AS first FROM m GROUP BY r),
+f AS (SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS ids, first FROM d LEFT JOIN g USING (r))
+SELECT doc_id, n_known::BIGINT AS n_known, ids AS sentence_ids, CASE {main} END AS licence,
+       array_to_string(list_sort(list_distinct(list_filter([{every}], x -> x IS NOT NULL))), ',') AS licences,
+       first::BIGINT AS first_position FROM f
+"""
+
+
+_OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT r, doc_id, t, string_split(CASE WHEN t LIKE '%' || chr(10) THEN t[:-2] ELSE t END, chr(10)) AS ls FROM d),
+u AS (SELECT r, doc_id, t, len(ls) AS n, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM a WHERE t <> ''),
+w AS (SELECT r, doc_id, n, k, l || CASE WHEN k < n OR t LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS raw,
+      trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	
+]+', ' ', 'g')) AS s FROM u),
+p AS (SELECT *, len(s) - len(replace(s, ' ', '')) + 1 >= 5 AS long FROM w),
+q AS (SELECT *, long AND row_number() OVER (PARTITION BY s, long ORDER BY doc_id, k) > 1 AS gone FROM p),
+g AS (SELECT r, max(n) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
+      sum(strlen(raw)) FILTER (WHERE gone) AS bytes_removed, string_agg(raw, '' ORDER BY k) FILTER (WHERE NOT gone) AS kept
+      FROM q GROUP BY r)
+SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(bytes_removed, 0)::BIGINT AS bytes_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (r)
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_minhash_neardup": op5_minhash_neardup,
+    "op6_license_scan": op6_license_scan,
     "op7_media_matroska": op7_media_matroska,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_lattice_lm_score": op10_lattice_lm_score,
 }
-ORACLES = {"op3_benchmark_decontamination": _OP3_SQL}
+ORACLES = {"op3_benchmark_decontamination": _OP3_SQL, "op6_license_scan": _op6_sql(), "op9_line_dedup": _OP9_SQL}

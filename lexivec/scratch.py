@@ -35,6 +35,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/lexivec/{job}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -42,10 +43,19 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a frame that reads it back with a cut lineage."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         """Delete a superseded table that no live frame reads any more."""
+        self.names.discard(name)
         jvm = self.spark._jvm
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+    def finish(self, df: DataFrame, name: str = "result") -> DataFrame:
+        """Write the result of the job and drop every other table of it."""
+        out = self.write(df, name)
+        for other in self.names - {name}:
+            self.drop(other)
+        return out

@@ -89,7 +89,7 @@ def contamination(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
     item_text: str = "text", window: int = WINDOW,
 ) -> DataFrame:
-    """Per document: doc_id, n_words, spans (hit ranges of words, merged), n_hit, items (sorted strings)."""
+    """Per document: doc_id, row (hash of the text), n_words, spans (hit ranges of words, merged), n_hit, items (sorted strings)."""
     windows = benchmark_windows(items, item_id, item_text, window)
     vocabulary = windows.select(F.explode("words").alias("word")).distinct()
     kept = Scratch(docs.sparkSession, "decontaminate")  # the prefixes serve three joins; they are found once
@@ -155,7 +155,7 @@ def contamination(
         )
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
         .select(
-            "doc_id", F.col("n_words").cast("bigint").alias("n_words"), merged.alias("spans"),
+            "doc_id", "row", F.col("n_words").cast("bigint").alias("n_words"), merged.alias("spans"),
             F.array_sort("items").alias("items"),
         )
         .withColumn(
@@ -168,6 +168,14 @@ def contamination(
 _NEAR = "array<struct<pos:int,token:string,near:array<string>>>"
 
 
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **columns) -> DataFrame:
+    """The documents without a window of an item."""
+    found = contamination(docs, items, doc_id, text, **columns).filter("n_hit > 0")
+    found = found.select(F.col("doc_id").alias("k"), F.col("row").alias("r"))
+    same = docs[doc_id].eqNullSafe(found["k"]) & (F.xxhash64(docs[text]) == found["r"])
+    return docs.join(found, same, "left_anti")
+
+
 def digest(result: DataFrame) -> DataFrame:
     """The result of ``contamination`` with a digest in place of the lists."""
     return result.select(

@@ -93,7 +93,7 @@ def scan(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sentences: dict[int, str] | None = None,
     rules: list[tuple[str, tuple[int, ...]]] | None = None,
 ) -> DataFrame:
-    """(doc_id, n_known, sentence_ids, licence, licences, first_position) for every row."""
+    """(doc_id, n_known, sentence_ids, licence, licences, first_position) for every row; -1 is no position."""
     rules = RULES if rules is None else rules
     found = docs.select(F.col(doc_id).alias("doc_id"), sentence_ids(F.col(text), sentences).alias("found"))
     listed = F.concat_ws(",", F.transform("found", lambda m: m.id.cast("string"))).alias("sentence_ids")
@@ -111,5 +111,5 @@ def scan(
     return found.select(
         "doc_id", F.size("found").cast("bigint").alias("n_known"), "sentence_ids", main.alias("licence"),
         F.concat_ws(",", F.array_sort(F.array_distinct(matched))).alias("licences"),
-        F.try_element_at("found", F.lit(1)).position.cast("bigint").alias("first_position"),
+        F.coalesce(F.try_element_at("found", F.lit(1)).position, F.lit(-1)).cast("bigint").alias("first_position"),
     )

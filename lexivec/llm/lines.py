@@ -111,6 +111,7 @@ def remove_repeated_units(
         .groupBy(F.col("doc_id").alias("k"), F.col("row").alias("r"))
         .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     )
+    removed = scratch.finish(removed)
     same = texts["doc_id"].eqNullSafe(removed["k"]) & (texts["row"] == removed["r"])
     spans = F.coalesce("spans", F.array().cast("array<struct<begin:int,end:int>>"))
     return texts.join(removed, same, "left").select("doc_id", "text", spans.alias("spans")).mapInArrow(

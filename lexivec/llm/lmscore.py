@@ -255,13 +255,14 @@ def lattice_scores(
     )
     below = float(np.log10(tokens + distinct + 1))
     base = F.col("seen_base") + F.coalesce("rare_base", F.lit(0.0)) + float(np.log10(n_texts + 1))
-    return scored.drop("rare").join(sums, "uid", "left").select(
+    result = scored.drop("rare").join(sums, "uid", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_seen") + F.coalesce("n_rare", F.lit(0)) + (1 if n_texts else 0)).alias("n_known"),
         F.lit(tokens).cast("bigint").alias("train_tokens"),
         (base - F.col("n_tokens") * below).alias("base_score"),
         "score",
     )
+    return scratch.finish(result)
 
 
 def one_in(divisor: int, remainder: int, doc_id: str = "doc_id") -> Column:

@@ -295,12 +295,13 @@ def near_duplicates(
     by_key = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "key", F.coalesce("component", "id").alias("component")
     )
-    return rows.select("id", "n", "key").join(by_key, "key", "left").select(
+    result = rows.select("id", "n", "key").join(by_key, "key", "left").select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("component", "id"), F.lit(True)).alias("kept"),
     )
+    return scratch.finish(result)
 
 
 def _across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:

@@ -94,8 +94,8 @@ m AS (SELECT r, position, id FROM u
 g AS (SELECT r, count(*) AS n, string_agg(id, ',' ORDER BY position) AS ids, min(position) AS first FROM m GROUP BY r),
 f AS (SELECT doc_id, coalesce(n, 0) AS n_known, coalesce(ids, '') AS ids, first FROM d LEFT JOIN g USING (r))
 SELECT doc_id, n_known::BIGINT AS n_known, ids AS sentence_ids, CASE {main} END AS licence,
-       array_to_string(list_sort(list_distinct(list_filter([{every}], x -> x IS NOT NULL))), ',') AS licences,
-       first::BIGINT AS first_position FROM f
+       array_to_string(list_sort(list_distinct([{every}])), ',') AS licences,
+       coalesce(first, -1)::BIGINT AS first_position FROM f
 """
 
 
@@ -105,7 +105,8 @@ a AS (SELECT r, doc_id, t, string_split(CASE WHEN t LIKE '%' || chr(10) THEN t[:
 u AS (SELECT r, doc_id, t, len(ls) AS n, unnest(ls) AS l, generate_subscripts(ls, 1) AS k FROM a WHERE t <> ''),
 w AS (SELECT r, doc_id, n, k, l || CASE WHEN k < n OR t LIKE '%' || chr(10) THEN chr(10) ELSE '' END AS raw,
       trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	
-]+', ' ', 'g')) AS s FROM u),
+
+]+', ' ', 'g')) AS s FROM u),
 p AS (SELECT *, len(s) - len(replace(s, ' ', '')) + 1 >= 5 AS long FROM w),
 q AS (SELECT *, long AND row_number() OVER (PARTITION BY s, long ORDER BY doc_id, k) > 1 AS gone FROM p),
 g AS (SELECT r, max(n) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,

@@ -222,6 +222,7 @@ def repeated_spans(
         .select("name", (F.col("again") | (F.col("low") != F.col("high"))).alias("mixed"))
     )
     found = scratch.write(found.join(names, "name"), "named")
+    scratch.drop("segments")
     mixed = found.filter("mixed")
     place = F.struct("doc_id", "row", "begin", "end").alias("at")
     bodies = scratch.write(mixed.groupBy("name", "body").agg(F.count("*").alias("copies"), F.min(place).alias("at")), "bodies")
@@ -260,41 +261,85 @@ def repeated_spans(
     for part in parts[1:]:
         spans = spans.unionByName(part)
     span = F.struct(F.col("begin"), (F.col("end") + (length - 1)).alias("end"))
-    return spans.groupBy("doc_id", "row").agg(F.collect_set(span).alias("spans"))
+    return scratch.finish(spans.groupBy("doc_id", "row").agg(F.collect_set(span).alias("spans")), "spans")
+
+
+def _without(data: np.ndarray, begin: np.ndarray, end: np.ndarray, characters: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What is left of a text without the ranges, and the merged ranges."""
+    cover = np.zeros(len(data) + 1, np.int32)
+    np.add.at(cover, begin, 1)
+    np.add.at(cover, end, -1)
+    gone = np.cumsum(cover[:-1]) > 0
+    if characters:  # a character goes only as a whole
+        lead = np.cumsum((data & 0xC0) != 0x80)
+        whole = np.ones(int(lead[-1]) + 1 if len(lead) else 1, bool)
+        whole[lead[~gone]] = False
+        gone &= whole[lead]
+    return data[~gone], *runs_of(gone)
+
+
+def _ranges(spans: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds of the rows of a list column of ranges, and the ranges."""
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy()
+    flat = spans.flatten()
+    begin, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("begin", "end"))
+    return np.concatenate([[0], np.cumsum(sizes)]), begin, end
 
 
 def _remover(characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
-            spans = batch.column(2)
-            flat, bounds = spans.flatten(), np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(spans), 0).to_numpy())])
-            begin, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("begin", "end"))
-            kept, merged = [], []
-            for row in range(len(batch)):
-                body = data[offsets[row] : offsets[row + 1]]
-                lo, hi = begin[bounds[row] : bounds[row + 1]], end[bounds[row] : bounds[row + 1]]
-                if len(lo):
-                    cover = np.zeros(len(body) + 1, np.int32)
-                    np.add.at(cover, lo, 1)
-                    np.add.at(cover, hi, -1)
-                    gone = np.cumsum(cover[:-1]) > 0
-                    if characters:  # a character goes only as a whole
-                        lead = np.cumsum((body & 0xC0) != 0x80)
-                        gone &= ~np.isin(lead, lead[~gone])
-                    lo, hi = runs_of(gone)
-                    body = body[~gone]
-                kept.append(body.tobytes())
-                merged.append([{"begin": a, "end": b} for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.diff(offsets)), pa.array(kept, pa.binary()),
-                 pa.array(merged, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
-                ["doc_id", "n_bytes", "kept", "spans"],
-            )
+            bounds, begin, end = _ranges(batch.column(2))
+            for lo, hi in slices(offsets):
+                kept, merged = [], []
+                for row in range(lo, hi):
+                    body, part = data[offsets[row] : offsets[row + 1]], slice(bounds[row], bounds[row + 1])
+                    if part.start == part.stop:
+                        kept.append(body.tobytes())
+                        merged.append([])
+                        continue
+                    body, first, last = _without(body, begin[part], end[part], characters)
+                    kept.append(body.tobytes())
+                    merged.append([{"begin": a, "end": b} for a, b in zip(first.tolist(), last.tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(kept, pa.binary()),
+                     pa.array(merged, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))],
+                    ["doc_id", "n_bytes", "kept", "spans"],
+                )
+
+    return run
+
+
+def _text_cutter(place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows whose text, at ``place``, loses its ranges; the ranges are the last column."""
+        for batch in batches:
+            columns, names = batch.columns[:-1], batch.schema.names[:-1]
+            data, offsets = text_bytes(columns[place])
+            bounds, begin, end = _ranges(batch.column(len(columns)))
+            for lo, hi in slices(offsets):
+                out = columns[place].slice(lo, hi - lo).to_pylist()
+                for row in range(lo, hi):
+                    part = slice(bounds[row], bounds[row + 1])
+                    if part.start < part.stop:
+                        body = data[offsets[row] : offsets[row + 1]]
+                        out[row - lo] = _without(body, begin[part], end[part], True)[0].tobytes().decode()
+                parts = [c.slice(lo, hi - lo) for c in columns]
+                parts[place] = pa.array(out, columns[place].type)
+                yield pa.RecordBatch.from_arrays(parts, names)
 
     return run
 
 
+def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, **limits) -> DataFrame:
+    """``docs`` with every text cut; a character goes only if all of its bytes do, so texts stay valid."""
+    spans = repeated_spans(docs, doc_id, text, length, **limits).select(F.col("doc_id").alias("k"), F.col("row").alias("r"), "spans")
+    same = docs[doc_id].eqNullSafe(spans["k"]) & (F.xxhash64(docs[text]) == spans["r"])
+    rows = docs.join(spans, same, "left").select(*(docs[c] for c in docs.columns), "spans")
+    return rows.mapInArrow(_text_cutter(docs.columns.index(text)), docs.schema)
+
+
 def remove_repeats(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, characters: bool = False, **limits
 ) -> DataFrame:

@@ -182,6 +182,9 @@ class Classifier(NamedTuple):
     ratios: Ratios
     weights: np.ndarray  # of the features, the constant last
 
+    def score(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x @ self.weights[:-1] + self.weights[-1], -30, 30)))
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 30) -> np.ndarray:
     """Weights by Newton's method; the constant comes last."""
@@ -259,8 +262,7 @@ def _predictor(model):
                 score, mean = np.zeros(hi - lo), np.zeros(hi - lo)
                 if scorer:
                     x = scorer.features(data[part[0] : part[-1]], part - part[0])
-                    mean = x[:, 0]
-                    score = 1 / (1 + np.exp(-np.clip(x @ m.weights[:-1] + m.weights[-1], -30, 30)))
+                    mean, score = x[:, 0], m.score(x)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(score),
                      pa.array((score >= THRESHOLD).astype(np.int32)), pa.array(mean)],
@@ -284,3 +286,31 @@ def score_texts(
     return texts.select("doc_id", "held_out", "text").mapInArrow(
         _predictor(shared), f"doc_id {kind}, held_out boolean, score double, predicted int, log_ratio double"
     )
+
+
+def _sieve(model, place: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows whose text, at ``place``, is not predicted to be toxic."""
+        m: Classifier | None = model.value
+        scorer = Scorer(m.ratios) if m else None
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(place))
+            for lo, hi in slices(offsets):
+                rows = batch.slice(lo, hi - lo)
+                if scorer:
+                    part = offsets[lo : hi + 1]
+                    x = scorer.features(data[part[0] : part[-1]], part - part[0])
+                    rows = rows.filter(pa.array(m.score(x) < THRESHOLD))
+                yield rows
+
+    return run
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", labelled: int = LABELLED
+) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, learned from all labels."""
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    model = learn(texts, labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("toxic")), labelled)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_sieve(shared, docs.columns.index(text)), docs.schema)

@@ -69,6 +69,7 @@ FORMATS = {
     "e8m7": Scalar(8, 7, 0x40, True, 2),
     "e4m3": Scalar(4, 3, 0x7, False, 1),
 }
+CODE_TYPES = {1: ("tinyint", np.int8), 2: ("smallint", np.int16), 4: ("int", np.int32)}
 Q8_BLOCK, Q8_MAX, Q8_LOW, Q8_HIGH, Q8_SHIFT = 8, 127, -7, 8, 7
 
 
@@ -79,15 +80,21 @@ def _scalar(name: str) -> Scalar:
 
 
 def encode_scalar(name: str) -> Callable[[Column], Column]:
-    """Vector column to ``array<bigint>`` of codes (unsigned)."""
+    """Vector column to codes as bit patterns in the narrowest integer: tinyint, smallint or int."""
     fmt = _scalar(name)
+    kind, code = CODE_TYPES[fmt.bytes]
 
     def apply(vectors: pa.Array) -> pa.Array:
         matrix, missing = dense(vectors)
         codes = fmt.encode(matrix) if matrix.size else matrix
-        return ragged(codes.astype(np.int64), missing, pa.int64())
+        return ragged(codes.astype(np.int64).astype(code), missing, pa.from_numpy_dtype(code))
 
-    return F.arrow_udf(apply, "array<bigint>")
+    return F.arrow_udf(apply, f"array<{kind}>")
+
+
+def unsigned(code: Column, name: str) -> Column:
+    """A stored code as the unsigned integer of its bit pattern."""
+    return F.pmod(code.cast("bigint"), F.lit(1 << (8 * _scalar(name).bytes)))
 
 
 def decode_scalar(name: str) -> Callable[[Column], Column]:
@@ -97,16 +104,20 @@ def decode_scalar(name: str) -> Callable[[Column], Column]:
 
 
 def q8_matrix(values: np.ndarray, block: int = Q8_BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Blocked 8-bit codes and shared exponents of each row."""
+    """Blocked 8-bit codes and shared exponents of each row.
+
+    The exponent comes from the largest number of the block; NaN has no part in it and takes code 0,
+    an infinity takes the largest exponent and the largest code of its sign.
+    """
     rows, width = values.shape
     if width == 0 or width % block:
         raise ValueError(f"{width} elements are not a positive multiple of the block {block}")
     blocks = values.astype(np.float64).reshape(rows, width // block, block)
-    largest = np.abs(blocks).max(axis=2)
-    exponent = np.where(largest == 0, 0, np.frexp(largest)[1] - 1 - Q8_SHIFT)
+    largest = np.fmax.reduce(np.abs(blocks), axis=2, initial=0.0)
+    exponent = np.where(np.isinf(largest), Q8_HIGH, np.frexp(largest)[1] - 1 - Q8_SHIFT)
     shared = np.where(largest == 0, 0, np.clip(exponent, Q8_LOW, Q8_HIGH))
     scaled = np.rint(blocks / np.exp2(shared)[:, :, None])
-    codes = np.clip(scaled, -Q8_MAX, Q8_MAX)
+    codes = np.nan_to_num(np.clip(scaled, -Q8_MAX, Q8_MAX), nan=0.0)
     return codes.reshape(rows, width).astype(np.int8), shared.astype(np.int8)
 
 

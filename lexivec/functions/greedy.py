@@ -10,13 +10,17 @@ CHUNKS = re.compile(rb"[^ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]")
 MEMO_ENTRIES, MEMO_BYTES = 500_000, 64
 SCAN_SYMBOLS = 128  # above this many symbols a heap finds the next merge
 NO_RANK = 1 << 62
+NO_ID = -1  # fixed value: of a byte that no token covers
 
 
 class GreedyEncoder:
     """Encodes bytes with a token table: the best-ranked neighbouring pair merges first."""
 
-    def __init__(self, tokens: list[tuple[int, bytes, int | None]], unknown: bytes):
+    def __init__(self, tokens: list[tuple[int, bytes, int | None]], unknown: bytes | None):
         self.ids = {t: i for i, t, _ in tokens}
+        if unknown is None:  # a NUL is in no text and no token
+            unknown = b"\0"
+            self.ids[unknown] = NO_ID
         self.ranks = {t: r for _, t, r in tokens if r is not None}
         singles = (bytes([b]) for b in range(256))
         self.symbols = [s if s in self.ids else unknown for s in singles]

@@ -32,6 +32,11 @@ def lehmer_uniform(k: Column, seed: int = DEFAULT_SEED) -> Column:
     return lehmer_int(k, seed) / F.lit(float(MODULUS))
 
 
+def lehmer_uniform_single(k: Column, seed: int = DEFAULT_SEED) -> Column:
+    """Draw ``k`` rounded to single precision."""
+    return lehmer_uniform(k, seed).cast("float")
+
+
 def xavier(k: Column, fan_out: int, fan_in: int, seed: int = DEFAULT_SEED) -> Column:
     """Uniform draw in plus or minus the square root of 6 / (fan_in + fan_out)."""
     return (2.0 * lehmer_uniform(k, seed) - 1.0) * math.sqrt(6.0 / (fan_in + fan_out))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 BYTES = 256
 SURROGATES = range(0xD800, 0xE000)
 SEGMENT = 512
+MOST_MERGES = 0x110000 - len(SURROGATES) - BYTES  # one code point each
 
 
 def symbol_char(index: int) -> str:
@@ -52,17 +53,18 @@ def merged(symbols: Column, pair: str, into: str) -> Column:
     return F.replace(symbols, F.lit(pair), F.lit(into))
 
 
-def pair_rows(words: DataFrame, weight: str) -> DataFrame:
-    """One ``(pair, weight)`` row per two neighbouring symbols, overlapping ones included.
+def pair_rows(words: DataFrame, weight: str, *keep: str) -> DataFrame:
+    """One ``(pair, weight)`` row, with the kept columns, per two neighbouring symbols, overlapping ones included.
 
     Long words are first cut into segments that overlap by one symbol, because reaching into a
     string costs its length; the pairs are the same and every word stays linear.
     """
     segments = words.filter(F.length("syms") > 1).select(
         weight,
+        *keep,
         "syms",
         F.explode(F.sequence(F.lit(0), F.floor((F.length("syms") - 2) / SEGMENT).cast("int"))).alias("seg"),
-    ).select(weight, F.substring("syms", F.col("seg") * SEGMENT + 1, F.lit(SEGMENT + 1)).alias("part"))
+    ).select(weight, *keep, F.substring("syms", F.col("seg") * SEGMENT + 1, F.lit(SEGMENT + 1)).alias("part"))
     return segments.select(
-        weight, "part", F.explode(F.sequence(F.lit(1), F.length("part") - 1)).alias("i")
-    ).select(F.substring("part", F.col("i"), F.lit(2)).alias("pair"), weight)
+        weight, *keep, "part", F.explode(F.sequence(F.lit(1), F.length("part") - 1)).alias("i")
+    ).select(F.substring("part", F.col("i"), F.lit(2)).alias("pair"), weight, *keep)

@@ -27,8 +27,14 @@ def byte_hex(text: Column) -> Column:
 
 
 def fields_by_whitespace(text: Column) -> Column:
-    """Split on runs of whitespace bytes; the ends may leave empty fields that the caller drops."""
-    return F.split(before_nul(text), f"[{WHITESPACE}]+")
+    """Split on runs of whitespace bytes; the ends may leave empty fields that the caller drops.
+
+    Splitting reads characters, so bytes that are not UTF-8 are split in their one-character-per-byte
+    view, whose parts are turned back to the same bytes.
+    """
+    text, pattern = before_nul(text), f"[{WHITESPACE}]+"
+    parts = F.transform(F.split(byte_chars(text), pattern), from_byte_chars)
+    return F.when(F.is_valid_utf8(text), F.split(text, pattern)).otherwise(parts)
 
 
 def ws_tokens(text: Column) -> Column:
@@ -56,9 +62,9 @@ def byte_list(text: Column) -> Column:
 
 
 def regex_matches(text: Column, pattern: str, unicode_classes: bool = True) -> Column:
-    """All non-empty matches of a pattern, in order."""
+    """All non-empty matches of a pattern before the first NUL, in order."""
     prefix = "(?U)" if unicode_classes else ""
-    found = F.regexp_extract_all(text, F.lit(prefix + pattern), 0)
+    found = F.regexp_extract_all(before_nul(text), F.lit(prefix + pattern), 0)
     return F.filter(found, lambda m: m != "")
 
 
@@ -74,12 +80,17 @@ def byte_prefix(text: Column, n: int) -> Column:
 
 def byte_chars(text: Column) -> Column:
     """One character per byte: byte ``b`` becomes code point ``b``. Keeps byte order."""
-    return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.decode(text.cast("binary"), "ISO-8859-1")
+
+
+def from_byte_chars(text: Column) -> Column:
+    """Inverse of ``byte_chars``, whatever the bytes."""
+    return F.encode(text, "ISO-8859-1").cast("string")
 
 
 def unprintable_removed(text: Column) -> Column:
     """The text without the bytes outside the base alphabet."""
-    return F.regexp_replace(text, "[^ -~]+", "")
+    return F.regexp_replace(byte_chars(text), "[^ -~]+", "")
 
 
 def path_dirname(path: Column) -> Column:

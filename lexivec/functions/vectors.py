@@ -16,12 +16,18 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def same_size(a: Column, b: Column, value: Column) -> Column:
+    """``value`` where both vectors have one length, NULL where one is NULL; other lengths fail."""
+    unequal = F.raise_error(F.concat(F.lit("vectors of "), F.size(a), F.lit(" and "), F.size(b), F.lit(" elements")))
+    return F.when(F.size(a) == F.size(b), value).when(a.isNotNull() & b.isNotNull(), unequal)
+
+
 def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
 
 
 def residual_add(y: Column, x: Column) -> Column:
-    return F.zip_with(y, x, lambda a, b: a.cast("double") + b.cast("double"))
+    return same_size(y, x, F.zip_with(y, x, lambda a, b: a.cast("double") + b.cast("double")))
 
 
 def inverse_rms(x: Column, epsilon: float = RMS_EPSILON) -> Column:
@@ -31,12 +37,13 @@ def inverse_rms(x: Column, epsilon: float = RMS_EPSILON) -> Column:
 def rmsnorm(x: Column, weight: Column, epsilon: float = RMS_EPSILON) -> Column:
     """``weight * x`` over the root mean square of ``x``."""
     pair = F.struct(x.alias("x"), inverse_rms(x, epsilon).alias("inv"))
-    return F.flatten(
+    scaled = F.flatten(
         F.transform(
             F.array(pair),
             lambda p: F.zip_with(p["x"], weight, lambda a, w: w * (a.cast("double") * p["inv"])),
         )
     )
+    return same_size(x, weight, scaled)
 
 
 def _let(value: Column, body) -> Column:
@@ -109,9 +116,14 @@ def silu_prime(x: Column) -> Column:
     return swish_prime(x)
 
 
-def rotary(x: Column, pos: Column, head_dim: int, heads: int, base: float = ROTARY_BASE) -> Column:
-    """Rotate the halves of every head by ``pos * base ** (-j / head_dim)``."""
-    half = head_dim // 2
+def rotary(
+    x: Column, pos: Column, head_dim: int, heads: int, base: float = ROTARY_BASE, inverse: bool = False
+) -> Column:
+    """Rotate the halves of every head by ``pos * base ** (-j / head_dim)``, or back.
+
+    A vector that is not ``heads`` times ``head_dim`` long fails.
+    """
+    half, pos = head_dim // 2, -pos if inverse else pos
     rates = F.array(*[F.lit(base ** (-j / head_dim)) for j in range(half)])
 
     def turned(i: Column) -> Column:
@@ -123,7 +135,9 @@ def rotary(x: Column, pos: Column, head_dim: int, heads: int, base: float = ROTA
         other = F.get(x, F.when(first, i + half).otherwise(i - half)).cast("double")
         return here * F.cos(angle) + F.when(first, -other).otherwise(other) * F.sin(angle)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(head_dim * heads - 1)), turned)
+    out = F.transform(F.sequence(F.lit(0), F.lit(head_dim * heads - 1)), turned)
+    wrong = F.raise_error(F.lit(f"a vector does not have {head_dim * heads} elements"))
+    return F.when(F.size(x) == head_dim * heads, out).when(x.isNotNull(), wrong)
 
 
 def one_hot(label: Column, classes: int) -> Column:

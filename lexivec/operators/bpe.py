@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions import symbols as sy
 from lexivec.scratch import Scratch
 
 DEFAULT_MERGES = 10  # fixed value: what a request below one merge falls back to
+AHEAD = 16  # merges that one pass plans
 MERGE_SCHEMA = "rank int, a string, b string, freq bigint"
 
 
@@ -52,22 +56,32 @@ def apply_merge(symbols: DataFrame, pair: str, into: str) -> DataFrame:
     )
 
 
-def _changes(words: DataFrame, pair: str, into: str) -> DataFrame:
-    """Net change of every pair count when one pair merges; reads only words that contain it.
+class _Step(NamedTuple):
+    """One planned merge: the pair, the symbol it becomes, and whether that symbol is new."""
 
-    Only pairs that touch the merged symbols change, so there are at most a few per symbol of the
-    vocabulary, whatever the size of the corpus.
+    pair: str
+    into: str
+    whole: str
+    is_new: bool
+
+
+def _changes(words: DataFrame, steps: list[_Step]) -> DataFrame:
+    """Net change of every pair count at each of several merges, one after the other.
+
+    Reads only words that contain one of the pairs: a merge leaves no new neighbours of old symbols,
+    so the others stay untouched. Only pairs that touch the merged symbols change, so there are at most
+    a few per symbol of the vocabulary and step, whatever the size of the corpus.
     """
-    touched = words.filter(F.contains("syms", F.lit(pair)))
-    both = touched.select(
-        F.inline(
-            F.array(
-                F.struct(F.col("syms"), (-F.col("freq")).alias("n")),
-                F.struct(sy.merged(F.col("syms"), pair, into).alias("syms"), F.col("freq").alias("n")),
-            )
-        )
-    )
-    return sy.pair_rows(both, "n").groupBy("pair").agg(F.sum("n").alias("n")).filter("n <> 0")
+    touched = words.filter(reduce(Column.__or__, [F.contains("syms", F.lit(s.pair)) for s in steps]))
+    touched = touched.select("freq", F.col("syms").alias("w0"))
+    rows = []
+    for k, step in enumerate(steps):
+        touched = touched.withColumn(f"w{k + 1}", sy.merged(F.col(f"w{k}"), step.pair, step.into))
+        for word, weight in ((f"w{k}", -F.col("freq")), (f"w{k + 1}", F.col("freq"))):
+            hit = F.contains(f"w{k}", F.lit(step.pair))
+            rows.append(F.when(hit, F.struct(F.lit(k).alias("step"), F.col(word).alias("syms"), weight.alias("n"))))
+    both = touched.select(F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+    return sy.pair_rows(both, "n", "step").groupBy("step", "pair").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
 class _Leaders:
@@ -91,6 +105,21 @@ class _Leaders:
         self.first = ordered[0]["pair"] if ordered else ""
         self.fresh = set()
 
+    def plan(self, most: int) -> list[str]:
+        """The best pair and those expected after it: by count, none sharing a symbol with an earlier one."""
+        pair = self.best()
+        if pair is None:
+            return []
+        chosen, used = [pair], set(pair)
+        order = heapq.nsmallest(4 * most, self.counts, key=lambda p: (-self.counts[p], self.spelling(p)))
+        for pair in order:
+            if len(chosen) >= most or self.counts[pair] <= self.mark:
+                break
+            if used.isdisjoint(pair):
+                chosen.append(pair)
+                used |= set(pair)
+        return chosen
+
     def best(self) -> str | None:
         """The best pair, or None when only a new count can tell."""
         if self.first:
@@ -119,62 +148,100 @@ class _Leaders:
         return True
 
 
+def _planned(pairs: list[str], table: list[str], known: dict[str, int]) -> list[_Step]:
+    """The steps of some pairs; new symbols take the next places of the table."""
+    steps, new = [], {}
+    for pair in pairs:
+        whole = "".join(table[sy.symbol_index(c)] for c in pair)
+        place = known.get(whole, new.get(whole))
+        if is_new := place is None:
+            place = new[whole] = len(table) + len(new)
+        steps.append(_Step(pair, sy.symbol_char(place), whole, is_new))
+    return steps
+
+
 def bpe_train(
-    symbols: DataFrame, merges: int = DEFAULT_MERGES, cut_every: int = 20, leaders: int = 4096
+    symbols: DataFrame, merges: int = DEFAULT_MERGES, cut_every: int = 20, leaders: int = 4096, ahead: int = AHEAD,
+    trace: list[int] | None = None,
 ) -> DataFrame:
     """Learn up to ``merges`` ranked merges from a ``(syms, freq)`` table of distinct words.
 
-    The words stay on the executors, cached and rewritten by a narrow projection per step. A step
-    is one job over the words that contain the merged pair; it returns the few pair counts that
-    changed, from which the driver knows the next pair exactly (see ``_Leaders``). Every
-    ``cut_every`` steps the words are written out, so lineage and plans stay bounded and a lost
-    executor costs a few narrow steps.
+    The words stay on the executors, cached and rewritten by a narrow projection per pass. A pass plans
+    up to ``ahead`` merges (as many as lately came true) and is one job over the words that contain one of the pairs; it returns the few
+    pair counts that change at each merge. The driver replays them: as long as the planned pair is the
+    best of all by the counts at its turn (see ``_Leaders``), its merge is taken; the first that is not
+    ends the pass. The result is that of one merge at a time. Every ``cut_every`` passes the words are
+    written out, so lineage and plans stay bounded and a lost executor costs a few narrow steps.
+
+    ``trace`` receives the number of merges that each pass took.
     """
     spark = symbols.sparkSession
     merges = merges if merges >= 1 else DEFAULT_MERGES
+    if merges > sy.MOST_MERGES:
+        raise ValueError(f"at most {sy.MOST_MERGES} merges have a symbol")
     scratch = Scratch(spark, "bpe")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = StorageLevel.MEMORY_AND_DISK
-
-    start = symbols.filter(F.length("syms") > 1).select("syms", "freq").repartition(spread, "syms")
-    words = scratch.write(start, "words-0").persist(level)
     learned: list[tuple[int, str, str, int]] = []
-    table, cut = sy.hex_table(), 0
-    lead, source = _Leaders(table, leaders), None
-    lead.recount(words)
-    for rank in range(merges):
-        pair = lead.best()
-        if pair is None and lead.mark:
-            lead.recount(words)
-            pair = lead.best()
-        if pair is None:
-            break
-        a, b = (table[sy.symbol_index(c)] for c in pair)
-        learned.append((rank, a, b, lead.counts[pair]))
-        if rank + 1 == merges:
-            break
-        is_new = a + b not in table[sy.BYTES :]
-        if is_new:
-            table.append(a + b)
-        into = sy.symbol_char(sy.BYTES + table[sy.BYTES :].index(a + b))
-        exact = lead.apply(_changes(words, pair, into).collect(), into, is_new)
-        if source is not None:
-            source.unpersist()
-        source = words
-        words = words.select(sy.merged(F.col("syms"), pair, into).alias("syms"), "freq")
-        if (rank + 1) % cut_every == 0:
-            cut += 1
-            words = scratch.write(words, f"words-{cut}")
-            source.unpersist()
-            source = None
-            scratch.drop(f"words-{cut - 1}")
-        words = words.persist(level)
-        if not exact:
-            lead.recount(words)
-    for frame in (words, source):
-        if frame is not None:
+    held: list[DataFrame] = []
+    try:
+        start = symbols.filter(F.length("syms") > 1).select("syms", "freq").repartition(spread, "syms")
+        words = scratch.write(start, "words-0").persist(level)
+        held.append(words)
+        table, passes, cut, most = sy.hex_table(), 0, 0, min(4, ahead)
+        known: dict[str, int] = {}
+        lead = _Leaders(table, leaders)
+        lead.recount(words)
+        while len(learned) < merges:
+            pairs = lead.plan(min(most, merges - len(learned)))
+            if not pairs and lead.mark:
+                lead.recount(words)
+                pairs = lead.plan(min(most, merges - len(learned)))
+            if not pairs:
+                break
+            steps = _planned(pairs, table, known)
+            found: dict[int, list] = {}
+            if len(learned) + 1 < merges:
+                for row in _changes(words, steps).collect():
+                    found.setdefault(row["step"], []).append(row)
+            taken, exact = 0, True
+            for k, step in enumerate(steps):
+                if k and (not exact or lead.best() != step.pair):
+                    break
+                a, b = (table[sy.symbol_index(c)] for c in step.pair)
+                learned.append((len(learned), a, b, lead.counts[step.pair]))
+                if step.is_new:
+                    known[step.whole] = len(table)
+                    table.append(step.whole)
+                exact = lead.apply(found.get(k, []), step.into, step.is_new)
+                taken += 1
+            if trace is not None:
+                trace.append(taken)
+            if taken == most:  # plan as far as plans come true
+                most = min(2 * most, ahead)
+            elif 2 * taken < most:
+                most = max(most // 2, min(2, ahead))
+            if len(learned) == merges:
+                break
+            passes += 1
+            merged = reduce(lambda c, s: sy.merged(c, s.pair, s.into), steps[:taken], F.col("syms"))
+            words = words.select(merged.alias("syms"), "freq")
+            if passes % cut_every == 0:
+                cut += 1
+                words = scratch.write(words, f"words-{cut}")
+                while held:
+                    held.pop().unpersist()
+                scratch.drop(f"words-{cut - 1}")
+            words = words.persist(level)
+            held.append(words)
+            if len(held) > 2:  # the parent is read while its child is not yet stored
+                held.pop(0).unpersist()
+            if not exact:
+                lead.recount(words)
+    finally:
+        for frame in held:
             frame.unpersist()
-    scratch.drop("")
+        scratch.drop("")
     return spark.createDataFrame(learned, MERGE_SCHEMA)
 
 

@@ -14,10 +14,11 @@ from lexivec.functions.greedy import GreedyEncoder
 from lexivec.operators.keyed import lookup
 from lexivec.sources.sizing import spread
 
-BROADCAST_TOKENS = 2_000_000  # the most tokens a task holds in memory for encoding
+BROADCAST_TOKENS = 2_000_000  # above any table of this package: merges are limited by their symbols
 INLINE_TOKENS = 100_000  # the most tokens a decode plan carries as a constant
-BOS, EOS, UNK = 0, 1, 3
+BOS, EOS, UNKNOWN = 0, 1, "<|unk|>"
 ID_BYTES = 4
+DECODE_SEGMENT = 4096  # ids of a row that one list holds
 _ENCODERS: dict[str, GreedyEncoder] = {}  # per Python worker: the encoder last used, with its memo
 
 
@@ -29,6 +30,9 @@ def _bounded(tokenizer: DataFrame, limit: int) -> list | None:
 def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     """A column function from text to token ids.
 
+    The bytes of the text are read as they are, up to the first NUL. A byte that no token covers takes
+    the id of the unknown token, or -1 when the table has none.
+
     Encoding is narrow: the token table, whose size is checked, goes to every task once, and
     texts are never exploded or shuffled.
     """
@@ -37,7 +41,7 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
         raise ValueError(f"the token table exceeds {BROADCAST_TOKENS} rows")
     tokens = [(r["id"], bytes.fromhex(r["token"]), r["rank"]) for r in rows]
     shared = tokenizer.sparkSession.sparkContext.broadcast(tokens)
-    unknown = next(t for i, t, _ in tokens if i == UNK)
+    unknown = UNKNOWN.encode() if any(t == UNKNOWN.encode() for _, t, _ in tokens) else None
     name = uuid.uuid4().hex
 
     def encode(texts: pa.Array) -> pa.Array:
@@ -46,12 +50,13 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
             _ENCODERS.clear()
             greedy = _ENCODERS[name] = GreedyEncoder(shared.value, unknown)
         missing = np.asarray(texts.is_null().to_numpy(zero_copy_only=False))
-        coded = [greedy.text(t.encode().split(b"\0", 1)[0]) if t else b"" for t in texts.to_pylist()]
+        coded = [greedy.text(t.split(b"\0", 1)[0]) if t else b"" for t in texts.to_pylist()]
         ends = np.concatenate([[0], np.cumsum([len(c) // ID_BYTES for c in coded])]).astype(np.int32)
         ids = np.frombuffer(b"".join(coded), dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array(missing))
 
-    return F.arrow_udf(encode, "array<int>")
+    ids = F.arrow_udf(encode, "array<int>")
+    return lambda text: ids(text.cast("binary"))
 
 
 def encode_corpus(docs: DataFrame, tokenizer: DataFrame, text: str = "text") -> DataFrame:
@@ -73,28 +78,37 @@ def decode_corpus(
 ) -> DataFrame:
     """Token ids back to text, as the hex of the bytes.
 
-    An id outside the table or an empty sequence gives NULL. A table of checked size becomes a
-    constant of the plan and decoding is a projection; beyond that, ids are joined.
+    One row per row of ``encoded``; an id that the table does not hold, or an empty sequence, gives
+    NULL. A table of checked size becomes a constant of the plan and decoding is a projection; beyond
+    that, ids are joined, with the same result.
     """
     rows = _bounded(tokenizer, inline_tokens)
-    if rows is None:
+    top = max((r["id"] for r in rows or ()), default=-1)
+    if rows is None or top >= 2 * inline_tokens:
         return _decode_by_join(encoded, tokenizer, key)
-    table = [r["token"] for r in sorted(rows, key=lambda r: r["id"])]
+    table = [""] * (top + 1)  # an id in a gap has no bytes
+    for r in rows:
+        table[r["id"]] = r["token"]
     lookup = F.split(F.lit(",".join(table)), ",")
-    bad = F.exists("ids", lambda i: i.isNull() | (i < 0) | (i >= len(table)))
+    bad = F.exists("ids", lambda i: i.isNull() | (i < 0) | (i > top) | (F.get(lookup, i) == ""))
     spelled = F.array_join(F.transform("ids", lambda i: F.get(lookup, i)), "")
     return encoded.select(*key, F.when((F.size("ids") > 0) & ~bad, spelled).alias("decoded"))
 
 
 def _decode_by_join(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) -> DataFrame:
-    spread_ids = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "_id"))
+    """Ids go by segments of a row, so a long row is put together from short sorted lists."""
+    rows = encoded.select(*key, "ids").withColumn("_row", F.monotonically_increasing_id())
+    spread_ids = rows.select(*key, "_row", F.posexplode_outer("ids").alias("pos", "_id"))
     named = lookup(spread_ids, tokenizer.select(F.col("id").alias("_id"), "token"), "_id")
-    parts = F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda p: p["token"]
-    )
-    whole = named.groupBy(*key).agg(
-        F.max(F.col("token").isNull()).alias("bad"), F.array_join(parts, "").alias("text")
-    )
+    segment = F.floor(F.coalesce("pos", F.lit(0)) / DECODE_SEGMENT).alias("_segment")
+
+    def joined(order: str, text: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.struct(order, text)))
+        return F.array_join(F.transform(parts, lambda p: p[text]), "").alias("text")
+
+    bad = F.max(F.col("token").isNull()).alias("bad")
+    parts = named.groupBy(*key, "_row", segment).agg(bad, joined("pos", "token"))
+    whole = parts.groupBy(*key, "_row").agg(F.max("bad").alias("bad"), joined("_segment", "text"))
     return whole.select(*key, F.when(~F.col("bad"), F.col("text")).alias("decoded"))
 
 
@@ -112,6 +126,12 @@ def token_listing(encoded: DataFrame, tokenizer: DataFrame, by: str) -> DataFram
     return counts.join(tokenizer.select("id", "token"), "id").select(by, "id", "token", "n")
 
 
+def token_sequences(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) -> DataFrame:
+    """Every token of every sequence: ``(key, pos, id, token)``; an id without a token has NULL."""
+    rows = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "id")).filter("id is not null")
+    return lookup(rows, tokenizer.select("id", "token"), "id").select(*key, "pos", "id", "token")
+
+
 def next_token_pairs(encoded: DataFrame) -> DataFrame:
     """Training pairs: how often each token is followed by each other token in a document."""
     ids = F.col("ids")

@@ -40,7 +40,7 @@ def byte_histogram(docs: DataFrame, text: str = "text") -> DataFrame:
             {"byte": pa.array(present, pa.int32()), "n": pa.array(total[present], pa.int64())}
         )
 
-    raw = docs.select(F.encode(tx.before_nul(F.col(text)), "UTF-8").alias("raw"))
+    raw = docs.select(tx.before_nul(F.col(text)).cast("binary").alias("raw"))
     partial = spread(raw).mapInArrow(count_bytes, "byte int, n bigint")
     return partial.groupBy("byte").agg(F.sum("n").alias("n"))
 
@@ -74,11 +74,12 @@ def prefix_histogram(words: DataFrame, n: int, word: str = "word", freq: Column
 
 
 def alphabet_coverage(docs: DataFrame, by: str, text: str = "text") -> DataFrame:
-    """Bytes inside and outside the base alphabet per group, without a row per byte."""
+    """Bytes before the first NUL inside and outside the base alphabet per group, without a row per byte."""
+    read = tx.before_nul(F.col(text))
     kept = docs.select(
         by,
-        F.octet_length(text).cast("bigint").alias("size"),
-        F.octet_length(tx.unprintable_removed(F.col(text))).cast("bigint").alias("known"),
+        F.octet_length(read).cast("bigint").alias("size"),
+        F.octet_length(tx.unprintable_removed(read)).cast("bigint").alias("known"),
     )
     return (
         kept.groupBy(by)

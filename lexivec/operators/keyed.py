@@ -5,40 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
-
-
 def first_wins_upsert(existing: DataFrame, batch: DataFrame, key: str, value: str, arrival: str) -> DataFrame:
     """Insert a batch; a key that exists keeps its value, a new key takes its earliest row.
 
-    One aggregation over both tables, combined map-side, so a key with very many rows in the
+    The arrival is compared in its own type; equal arrivals go to the smaller value. One aggregation over both tables, combined map-side, so a key with very many rows in the
     batch arrives as one row per task.
     """
-    old = existing.select(key, F.struct(F.lit(0).alias("late"), F.lit(None).cast("bigint").alias("at"), value).alias("r"))
-    new = batch.select(key, F.struct(F.lit(1).alias("late"), F.col(arrival).cast("bigint").alias("at"), value).alias("r"))
+    none = F.lit(None).cast(batch.schema[arrival].dataType)
+    old = existing.select(key, F.struct(F.lit(0).alias("late"), none.alias("at"), value).alias("r"))
+    new = batch.select(key, F.struct(F.lit(1).alias("late"), F.col(arrival).alias("at"), value).alias("r"))
     first = old.unionByName(new).groupBy(key).agg(F.min("r").alias("r"))
     return first.select(key, F.col(f"r.{value}").alias(value))
 
 
-def salted_join(rows: DataFrame, table: DataFrame, key: str, how: str, salts: int = SALTS) -> DataFrame:
-    """Join rows with a keyed table, safe for keys with very many rows.
+def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Point lookup of every row, NULL where the key is absent.
 
-    The rows of a key spread over several salts and the table is repeated per salt, so a hot
-    key is shared by several tasks. Spark broadcasts the table instead when its size allows.
+    A plain join: the table is moved once. Adaptive execution splits the rows of a hot key, also equal
+    ones, over several tasks that read the same part of the table.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(copies, [key, "_salt"], how).drop("_salt")
-
-
-def lookup(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
-    """Point lookup of every row, NULL where the key is absent."""
-    return salted_join(rows, table, key, "left")
+    return rows.join(table, key, "left")
 
 
 def delete_keys(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """The table without the given keys."""
-    return salted_join(table, keys.select(key).distinct(), key, "left_anti")
+    return table.join(keys.select(key).distinct(), key, "left_anti")
 
 
 def keys_not_found(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -90,12 +81,17 @@ def set_clear(members: DataFrame) -> DataFrame:
     return members.limit(0)
 
 
+def _sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Each distinct element with the sides that hold it: one aggregation, combined map-side."""
+    marked = [s.withColumns({"in_a": F.lit(k == 0), "in_b": F.lit(k == 1)}) for k, s in enumerate((a, b))]
+    return marked[0].union(marked[1]).groupBy(*a.columns).agg(F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+
+
 def set_subset(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: is every element of ``a`` in ``b``? Stops at the first counterexample."""
-    return set_difference(a, b).limit(1).agg((F.count(F.lit(1)) == 0).alias("holds"))
+    """One row: is every element of ``a`` in ``b``?"""
+    return _sides(a, b).agg((F.count_if(F.col("in_a") & ~F.col("in_b")) == 0).alias("holds"))
 
 
 def set_equal(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: do both sets hold the same elements?"""
-    only = set_difference(a, b).limit(1).union(set_difference(b, a).limit(1))
-    return only.agg((F.count(F.lit(1)) == 0).alias("holds"))
+    return _sides(a, b).agg((F.count_if(F.col("in_a") != F.col("in_b")) == 0).alias("holds"))

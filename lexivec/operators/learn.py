@@ -133,12 +133,18 @@ def require_finite(table: DataFrame, vecs: list[str]) -> None:
         raise ValueError(f"{row['column']}: {row['n_nan']} NaN, {row['n_inf']} infinite elements")
 
 
+def _of_width(vec: str, width: int) -> Column:
+    wrong = F.raise_error(F.lit(f"{vec} holds a vector without {width} elements"))
+    return F.when(F.size(vec) == width, F.col(vec)).when(F.col(vec).isNotNull(), wrong)
+
+
 def scatter_add(table: DataFrame, row_id: str, vec: str, width: int) -> DataFrame:
     """Add gradient vectors into the rows of a table by id: ``(id, j, g)``.
 
     The vector is summed column by column in one map-side combined aggregation; it is spread to
-    rows only after the sum.
+    rows only after the sum. A vector that is not ``width`` long fails, a NULL vector adds nothing.
     """
+    vec = _of_width(vec, width)
     sums = table.groupBy(row_id).agg(
         F.array(*[F.sum(F.get(vec, F.lit(j)).cast("double")) for j in range(width)]).alias("g")
     )
@@ -146,7 +152,8 @@ def scatter_add(table: DataFrame, row_id: str, vec: str, width: int) -> DataFram
 
 
 def column_sums(table: DataFrame, vec: str, width: int, into: str) -> DataFrame:
-    """Sum of a vector column over the whole table: ``(j, into)``."""
+    """Sum of a vector column over the whole table: ``(j, into)``; lengths as in ``scatter_add``."""
+    vec = _of_width(vec, width)
     sums = table.agg(F.array(*[F.sum(F.get(vec, F.lit(j)).cast("double")) for j in range(width)]).alias("s"))
     return sums.select(F.posexplode("s").alias("j", into))
 

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
-from lexivec.functions.arrays import dense, rowwise
-from lexivec.operators.keyed import lookup, salted_join
+from lexivec.functions.arrays import dense, ragged, rowwise
 from lexivec.operators.ordering import global_rank
 
 MODEL_CELLS = 4_000_000  # the largest matrix that a task holds whole
@@ -38,36 +38,67 @@ def fill_like(table: DataFrame, key: str, vec: str, value: float) -> DataFrame:
     return table.select(key, F.array_repeat(F.lit(value), F.size(vec)).alias(vec))
 
 
+def matrix_shape(cells: DataFrame) -> tuple[int, int]:
+    """Rows and columns of a ``(row, col, val)`` matrix; a row without cells counts."""
+    top = cells.agg(F.max("row"), F.max("col")).first()
+    if top[0] is None:
+        raise ValueError("the matrix has no cells")
+    return int(top[0]) + 1, int(top[1]) + 1
+
+
 def small_matrix(cells: DataFrame) -> np.ndarray | None:
     """A ``(row, col, val)`` matrix as an array, or None when it exceeds the size a task may hold."""
-    rows = cells.select("row", "col", "val").limit(MODEL_CELLS + 1).collect()
-    if len(rows) > MODEL_CELLS:
-        return None
-    shape = (max(r["row"] for r in rows) + 1, max(r["col"] for r in rows) + 1)
-    matrix = np.zeros(shape)
-    for r in rows:
-        matrix[r["row"], r["col"]] = r["val"]
+    shape = matrix_shape(cells)
+    return _block(cells, 0, *shape) if shape[0] * shape[1] <= MODEL_CELLS else None
+
+
+def _block(cells: DataFrame, first: int, rows: int, cols: int) -> np.ndarray:
+    """Some rows of a matrix; absent cells are 0."""
+    wanted = cells.filter((F.col("row") >= first) & (F.col("row") < first + rows))
+    found = wanted.select(F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col("val").cast("double")).toArrow()
+    matrix = np.zeros((rows, cols))
+    at = [found.column(k).to_numpy() for k in range(3)]
+    matrix[at[0] - first, at[1]] = at[2]
     return matrix
 
 
-def matmul(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
-    """``W x`` for the vector of every row: ``(key, row, val)``.
+def matmul(table: DataFrame, cells: DataFrame, key: str, vec: str, block_cells: int = MODEL_CELLS) -> DataFrame:
+    """Product of a ``(row, col, val)`` matrix with every vector, in long form ``(key, row, val)``.
 
-    A matrix of checked size goes to every task; a larger one is joined by column and summed.
+    The matrix is taken in blocks of whole rows of at most ``block_cells`` cells (one row at least),
+    and every block goes to the tasks of one narrow scan; the vectors are never shuffled. A row
+    without cells gives 0, a NULL vector no rows, a NULL element NaN; a vector whose length is not
+    the number of columns fails.
     """
-    weights = small_matrix(cells)
-    if weights is None:
-        return matmul_by_join(table, cells, key, vec)
-    apply = rowwise(lambda x: x.astype(np.float64) @ weights.T)
-    rows = table.select(key, F.posexplode_outer(apply(F.col(vec))).alias("row", "val"))
-    return rows.filter("row is not null")
+    rows, cols = matrix_shape(cells)
+    step = max(1, block_cells // cols)
+    parts = []
+    for first in range(0, rows, step):
+        weights = _block(cells, first, min(step, rows - first), cols)
+
+        def apply(x: np.ndarray, weights: np.ndarray = weights) -> np.ndarray:
+            if x.shape[1] != weights.shape[1]:
+                raise ValueError(f"a vector of {x.shape[1]} elements meets a matrix of {weights.shape[1]} columns")
+            return x.astype(np.float64) @ weights.T
+
+        part = table.select(key, F.posexplode_outer(rowwise(apply)(F.col(vec))).alias("row", "val"))
+        parts.append(part.filter("row is not null").withColumn("row", F.col("row") + first))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def matmul_by_join(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
-    """The same product in long form: salted equi-join on the column, partial sums before the shuffle."""
-    x = table.select(key, F.posexplode(vec).alias("col", "x"))
-    products = salted_join(x, cells.select("row", "col", "val"), "col", "inner").select(
-        key, "row", (F.col("x").cast("double") * F.col("val")).alias("p")
+    """The product with a sparse matrix in long form: equi-join on the column, partial sums before the shuffle.
+
+    Only rows with cells appear, and an absent cell has no part in a sum, also where the element is not
+    finite. A vector whose length is not the number of columns fails, a NULL element counts as NaN.
+    """
+    _, cols = matrix_shape(cells)
+    checked = F.when(F.size(vec) == cols, F.col(vec)).when(
+        F.col(vec).isNotNull(), F.raise_error(F.lit(f"a vector does not have {cols} elements"))
+    )
+    x = table.select(key, F.posexplode(checked).alias("col", "x"))
+    products = x.join(cells.select("row", "col", "val"), "col").select(
+        key, F.col("row").cast("int").alias("row"), (F.coalesce(F.col("x").cast("double"), F.lit(float("nan"))) * F.col("val")).alias("p")
     )
     return products.groupBy(key, "row").agg(F.sum("p").alias("val"))
 
@@ -78,18 +109,26 @@ def residual_add(a: DataFrame, b: DataFrame, key: str, vec: str) -> DataFrame:
     return a.join(other, key).select(key, vx.residual_add(F.col(vec), F.col("_other")).alias(vec))
 
 
+STEP = 256.0  # values of one step share a power, so no power leaves the range of a double
+
+
 def softmax_by_group(table: DataFrame, group: str, key: str, value: str) -> DataFrame:
-    """Softmax over all rows of a group.
+    """Softmax over all rows of a group, NULL being a group like any other.
 
-    The largest value and the sum of powers per group come from map-side combined aggregations
-    and are looked up per row, so no task receives a whole group.
+    One aggregation sums the powers per group and step of ``STEP`` values, combined map-side; the
+    few sums of a group are put together at its highest step and looked up per row. Two scans, and no
+    task receives a whole group. A NULL value has no power.
     """
-    peak = table.groupBy(group).agg(F.max(value).alias("_peak"))
-    powers = lookup(table.select(group, key, value), peak, group).select(
-        group, key, F.exp(F.col(value) - F.col("_peak")).alias("_power")
-    )
-    sums = powers.groupBy(group).agg(F.sum("_power").alias("_sum"))
-    return lookup(powers, sums, group).select(group, key, (F.col("_power") / F.col("_sum")).alias("p"))
+    x = F.col(value).cast("double")
+    finite = ~F.isnan(x) & (F.abs(x) != float("inf"))
+    step = F.when(finite, F.floor(x / STEP)).otherwise(F.when(x.isNotNull(), F.lit(0)))
+    sums = table.groupBy(F.col(group).alias("_group"), step.alias("_step")).agg(F.sum(F.exp(x - step * STEP)).alias("_sum"))
+    whole = sums.filter("_step is not null").groupBy("_group").agg(F.max("_step").alias("_top"), F.collect_list(F.struct("_step", "_sum")).alias("_sums"))
+    total = F.aggregate("_sums", F.lit(0.0), lambda s, p: s + p["_sum"] * F.exp((p["_step"] - F.col("_top")) * STEP))
+    whole = whole.select("_group", "_top", total.alias("_total"))
+    rows = table.select(group, key, value)
+    placed = rows.join(whole, rows[group].eqNullSafe(whole["_group"]), "left")
+    return placed.select(group, key, (F.exp(x - F.col("_top") * STEP) / F.col("_total")).alias("p"))
 
 
 def top_k(table: DataFrame, key: str, vec: str, k: int) -> DataFrame:
@@ -114,6 +153,7 @@ def activation_profile(table: DataFrame, by: str, vec: str, curves: dict[str, Co
 def swiglu(a: DataFrame, g: DataFrame, key: str, vec: str, beta: float) -> DataFrame:
     """``swish(a) * g`` of two vector tables and both partial derivatives, per element."""
     both = a.select(key, F.col(vec).alias("a")).join(g.select(key, F.col(vec).alias("g")), key)
+    both = both.withColumn("g", vx.same_size(F.col("a"), F.col("g"), F.col("g")))
     cells = both.select(key, F.posexplode(F.arrays_zip("a", "g")).alias("j", "e")).select(
         key, "j", F.col("e.a").cast("double").alias("a"), F.col("e.g").cast("double").alias("g")
     )
@@ -126,18 +166,9 @@ def swiglu(a: DataFrame, g: DataFrame, key: str, vec: str, beta: float) -> DataF
     )
 
 
-def sequence_windows(table: DataFrame, group: str, order: str, context: int) -> DataFrame:
-    """Place rows in sequences: ``window`` and ``pos`` below ``context`` within it.
-
-    A sequence holds at most ``context`` rows, so a group of any size becomes many sequences.
-    """
-    at = F.col("_rank") - 1
-    return (
-        global_rank(table, [order], [group], into="_rank")
-        .withColumn("window", F.floor(at / context))
-        .withColumn("pos", (at % context).cast("int"))
-        .drop("_rank")
-    )
+def sequence_positions(table: DataFrame, group: str, order: str) -> DataFrame:
+    """Place every row in the sequence of its group: ``pos`` from 0, whatever the length."""
+    return global_rank(table, [order], [group], into="_rank").withColumn("pos", F.col("_rank") - 1).drop("_rank")
 
 
 def _turn(x: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
@@ -152,33 +183,89 @@ def _turn(x: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
     )
 
 
+ATTENTION_BLOCK = 256  # positions of a block
+
+
+class _Query:
+    """A block of query positions with its running softmax over blocks of keys."""
+
+    def __init__(self, rows: pa.Array, heads: int, share: int, base: float):
+        self.keys, self.pos, (q,) = _block_parts(rows, ("q",))
+        self.heads, self.share, self.base = heads, share, base
+        q = _turn(q.reshape(len(q), heads, -1), self.pos, base)
+        self.q = q / np.sqrt(q.shape[2])
+        self.peak = np.full((len(q), heads), -np.inf)
+        self.sum = np.zeros((len(q), heads))
+        self.out: np.ndarray | None = None
+
+    def meet(self, rows: pa.Array) -> None:
+        """Take in one block of keys and values."""
+        _, pos, (k, v) = _block_parts(rows, ("k", "v"))
+        k = np.repeat(_turn(k.reshape(len(k), self.heads // self.share, -1), pos, self.base), self.share, axis=1)
+        v = np.repeat(v.reshape(len(v), self.heads // self.share, -1), self.share, axis=1)
+        scores = np.einsum("ihd,jhd->ihj", self.q, k)
+        scores = np.where((pos[None, :] <= self.pos[:, None])[:, None, :], scores, -np.inf)
+        peak = np.maximum(self.peak, scores.max(axis=2))
+        with np.errstate(invalid="ignore"):
+            keep = np.where(np.isneginf(self.peak), 0.0, np.exp(self.peak - peak))
+            power = np.where(np.isneginf(scores), 0.0, np.exp(scores - peak[:, :, None]))
+        gain = np.einsum("ihj,jhd->ihd", power, v)
+        self.sum = self.sum * keep + power.sum(axis=2)
+        self.out = gain if self.out is None else self.out * keep[:, :, None] + gain
+        self.peak = peak
+
+    def rows(self, key: str) -> pa.RecordBatch:
+        out = (self.out / self.sum[:, :, None]).reshape(len(self.pos), -1)
+        return pa.RecordBatch.from_arrays([self.keys, ragged(out, np.zeros(len(out), bool), pa.float64())], [key, "out"])
+
+
+def _block_parts(rows: pa.Array, names: tuple[str, ...]) -> tuple[pa.Array, np.ndarray, list[np.ndarray]]:
+    """Keys, positions and matrices of a block, a list of structs."""
+    pos = rows.field("pos").to_numpy().astype(np.float64)
+    return rows.field("key"), pos, [dense(rows.field(n))[0].astype(np.float64) for n in names]
+
+
 def causal_attention(
-    table: DataFrame, sequence: list[str], key: str, heads: int, kv_heads: int, base: float = vx.ROTARY_BASE
+    table: DataFrame, sequence: list[str], key: str, heads: int, kv_heads: int, base: float = vx.ROTARY_BASE,
+    block: int = ATTENTION_BLOCK,
 ) -> DataFrame:
     """Grouped causal attention within each sequence: ``(key, out)``.
 
-    ``table`` has the sequence columns, ``pos``, the key and vectors ``q``, ``k``, ``v``. One group
-    is one sequence, whose length ``sequence_windows`` bounds; its scores are a dense matrix in the
-    task, so no pair of positions ever becomes a row.
+    ``table`` has the sequence columns, ``pos`` from 0, the key and vectors ``q``, ``k``, ``v``. A sequence
+    of any length is cut into blocks of ``block`` positions; every block of queries meets every block of
+    keys not after it. Its rows arrive sorted, and a running maximum, sum and weighted sum per position
+    and head are all that stays, so a task holds two blocks. The work is quadratic in the length, as
+    attention is; a long sequence is spread over as many tasks as it has blocks of queries.
     """
-
-    def attend(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        n, pos = len(rows), rows["pos"].to_numpy(dtype=np.float64)
-        q = np.stack(rows["q"].to_numpy()).astype(np.float64).reshape(n, heads, -1)
-        k = np.stack(rows["k"].to_numpy()).astype(np.float64).reshape(n, kv_heads, -1)
-        v = np.stack(rows["v"].to_numpy()).astype(np.float64).reshape(n, kv_heads, -1)
-        share = heads // kv_heads
-        q, k = _turn(q, pos, base), np.repeat(_turn(k, pos, base), share, axis=1)
-        scores = np.einsum("ihd,jhd->hij", q, k) / np.sqrt(q.shape[2])
-        scores = np.where(np.tril(np.ones((n, n), dtype=bool)), scores, -np.inf)
-        scores = np.exp(scores - scores.max(axis=2, keepdims=True))
-        scores /= scores.sum(axis=2, keepdims=True)
-        out = np.einsum("hij,jhd->ihd", scores, np.repeat(v, share, axis=1)).reshape(n, -1)
-        return pd.DataFrame({key: rows[key].to_numpy(), "out": list(out)})
-
+    part = F.floor(F.col("pos") / block).cast("bigint")
+    items = table.select(*sequence, part.alias("_block"), F.struct("pos", F.col(key).alias("key"), "q", "k", "v").alias("r"))
+    blocks = items.groupBy(*sequence, "_block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    last = F.max("_block").over(Window.partitionBy(*sequence))  # one row per block, not per position
+    queries = blocks.select(*sequence, "_block", F.transform("rows", lambda r: F.struct(r.pos, r.key, r.q)).alias("queries"))
+    keys = blocks.select(
+        *sequence, F.col("_block").alias("_keys"), last.alias("_last"),
+        F.transform("rows", lambda r: F.struct(r.pos, r.key, r.k, r.v)).alias("keys"),
+    ).withColumn("_block", F.explode(F.sequence("_keys", "_last"))).drop("_last")
     kind = table.schema[key].dataType.simpleString()
-    return table.groupBy(*sequence).applyInPandas(attend, f"{key} {kind}, out array<double>")
+    names = [f"s{n}" for n in range(len(sequence))]
+    met = keys.join(queries, [*sequence, "_block"]).select(*(F.col(c).alias(n) for c, n in zip(sequence, names)), "_block", "_keys", "queries", "keys")
+    order = [*names, "_block"]
+    met = met.repartition(*order).sortWithinPartitions(*order, "_keys")
+
+    def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, state = None, None
+        for batch in batches:
+            for n in range(len(batch)):
+                here = tuple(batch.column(c)[n].as_py() for c in range(len(order)))
+                if here != at:
+                    if state is not None:
+                        yield state.rows(key)
+                    at, state = here, _Query(batch.column(len(order) + 1)[n].values, heads, heads // kv_heads, base)
+                state.meet(batch.column(len(order) + 2)[n].values)
+        if state is not None:
+            yield state.rows(key)
+
+    return met.mapInArrow(attend, f"{key} {kind}, out array<double>")
 
 
 def gated_ffn(
@@ -195,99 +282,63 @@ def gated_ffn(
     return table.select(key, rowwise(block)(F.col(vec)).alias(vec))
 
 
-def _best_rows(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` best scores, smaller ids first on ties."""
-    if len(scores) > k:
-        floor = np.partition(scores, len(scores) - k)[len(scores) - k]
-        kept = np.flatnonzero(scores >= floor)
-    else:
-        kept = np.arange(len(scores))
-    return kept[np.lexsort((ids[kept], -scores[kept]))][:k]
+def _best(held: pa.Table, key: str, k: int) -> pa.Table:
+    """The ``k`` best rows, smaller keys first on ties."""
+    return held.take(pc.sort_indices(held, [("score", "descending"), (key, "ascending")])[:k])
 
 
-def tied_scoring(table: DataFrame, queries: DataFrame, key: str, vec: str, query: str, k: int) -> DataFrame:
+def tied_scoring(
+    table: DataFrame, queries: DataFrame, key: str, vec: str, query: str, k: int, block_cells: int = MODEL_CELLS // 16
+) -> DataFrame:
     """The ``k`` rows with the largest inner product for each normalised query vector.
 
-    A query block of checked size goes to every task, which keeps its own ``k`` best rows per
-    query; only those are shuffled. Larger query sets are cut into blocks that meet blocks of the
-    table in separate groups. Ties go to the smaller key.
+    The queries are cut into blocks of about ``block_cells`` numbers. A block goes to every task of one narrow
+    scan, which keeps its own ``k`` best rows per query; only those are shuffled, the table never is.
+    Keys and queries may have any type; ties go to the smaller key. NULL vectors are left out.
     """
-    normal = queries.select(query, vx.rmsnorm(F.col(vec), F.transform(vec, lambda _: F.lit(1.0))).alias("_q"))
-    rows = normal.limit(MODEL_CELLS // 1024 + 1).collect()
-    if len(rows) > MODEL_CELLS // 1024:
-        best = _scores_by_blocks(table, normal, key, vec, query, k)
-    else:
-        names = [r[query] for r in rows]
-        wanted = np.array([r["_q"] for r in rows])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids = np.empty(0, dtype=np.int64)
-            held = [(ids, np.empty(0)) for _ in names]
+    normal = queries.filter(F.col(vec).isNotNull()).select(
+        F.col(query).alias("_query"), vx.rmsnorm(F.col(vec), F.transform(vec, lambda _: F.lit(1.0))).alias("_q")
+    )
+    total = normal.agg(F.coalesce(F.sum(F.size("_q")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // block_cells))
+    kind, query_kind = (d.schema[c].dataType.simpleString() for d, c in ((table, key), (queries, query)))
+    parts = []
+    for number in range(blocks):
+        mine = normal.filter(F.pmod(F.xxhash64("_query"), F.lit(blocks)) == number) if blocks > 1 else normal
+        rows = mine.toArrow().combine_chunks()
+        wanted, _ = dense(rows.column("_q").combine_chunks()) if len(rows) else (np.empty((0, 0)), None)
+        names = rows.column("_query").combine_chunks() if len(rows) else pa.array([])
+
+        def scan(
+            batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted, names: pa.Array = names
+        ) -> Iterator[pa.RecordBatch]:
+            held: list[pa.Table | None] = [None] * len(names)
             for batch in batches:
                 matrix, missing = dense(batch.column(1))
-                if not matrix.size:
+                if not matrix.size or not len(names):
                     continue
-                ids = batch.column(0).to_numpy(zero_copy_only=False)[~missing]
+                if matrix.shape[1] != wanted.shape[1]:
+                    raise ValueError(f"vectors of {matrix.shape[1]} elements meet queries of {wanted.shape[1]}")
+                ids = batch.column(0).filter(pa.array(~missing))
                 scores = matrix.astype(np.float64) @ wanted.T
-                for n, (old_ids, old_scores) in enumerate(held):
-                    all_ids = np.concatenate([old_ids, ids])
-                    all_scores = np.concatenate([old_scores, scores[:, n]])
-                    top = _best_rows(all_ids, all_scores, k)
-                    held[n] = (all_ids[top], all_scores[top])
-            for name, (top_ids, top_scores) in zip(names, held):
-                if len(top_ids):
+                for n in range(len(names)):
+                    mark = np.partition(scores[:, n], len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
+                    at = np.flatnonzero(scores[:, n] >= mark)
+                    new = pa.table({key: ids.take(pa.array(at)), "score": scores[at, n]})
+                    held[n] = _best(new if held[n] is None else pa.concat_tables([held[n], new]), key, k)
+            for n, best in enumerate(held):
+                if best is not None:
+                    best = best.combine_chunks()
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(top_ids), name_type), pa.array(top_ids), pa.array(top_scores)],
-                        names=[query, key, "score"],
+                        [names.take(pa.array([n] * len(best))), *(c.combine_chunks() for c in best.columns)], [query, key, "score"]
                     )
 
-        kind = queries.schema[query].dataType.simpleString()
-        name_type = pa.int32() if kind == "int" else pa.int64() if kind == "bigint" else pa.string()
-        best = table.select(F.col(key).cast("bigint"), vec).mapInArrow(
-            scan, f"{query} {kind}, {key} bigint, score double"
-        )
-    return _ranked(best, key, query, k)
-
-
-def _ranked(best: DataFrame, key: str, query: str, k: int) -> DataFrame:
+        parts.append(table.select(key, vec).mapInArrow(scan, f"{query} {query_kind}, {key} {kind}, score double"))
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
+    best = reduce(DataFrame.unionByName, parts)
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-BLOCK_ROWS = 8192
-
-
-def _scores_by_blocks(table: DataFrame, normal: DataFrame, key: str, vec: str, query: str, k: int) -> DataFrame:
-    """Block matrix product: every block of queries meets every block of the table once."""
-    q_blocks = max(1, -(-normal.count() // BLOCK_ROWS))
-    t_blocks = max(1, -(-table.count() // BLOCK_ROWS))
-    q_side = normal.select(
-        query, "_q", F.pmod(F.xxhash64(query), F.lit(q_blocks)).alias("_qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(t_blocks - 1)).cast("array<bigint>")).alias("_tb"),
-    )
-    t_side = table.select(
-        F.col(key).cast("bigint").alias(key), vec, F.pmod(F.xxhash64(key), F.lit(t_blocks)).alias("_tb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)).cast("array<bigint>")).alias("_qb"),
-    )
-    kind = normal.schema[query].dataType.simpleString()
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({query: [], key: [], "score": []})
-        scores = np.stack(left["_q"].to_numpy()) @ np.stack(right[vec].to_numpy()).astype(np.float64).T
-        ids, out = right[key].to_numpy(), []
-        for name, line in zip(left[query], scores):
-            top = _best_rows(ids, line, k)
-            out.append(pd.DataFrame({query: name, key: ids[top], "score": line[top]}))
-        return pd.concat(out)
-
-    return (
-        q_side.groupBy("_qb", "_tb")
-        .cogroup(t_side.groupBy("_qb", "_tb"))
-        .applyInPandas(score, f"{query} {kind}, {key} bigint, score double")
-    )
-
-
 def table_reconcile(a: DataFrame, b: DataFrame, key: str, value: str, significand: int, single: bool = False) -> DataFrame:
     """Compare two keyed tables: rows per outcome (close, differs, left_only, right_only)."""
     left = a.select(key, F.col(value).alias("_a"), F.lit(True).alias("_in_a"))

@@ -49,6 +49,5 @@ def sorted_rank(table: DataFrame, key: str, tie: str) -> DataFrame:
 
 
 def sorted_rank_bytes(table: DataFrame, key: str, tie: str) -> DataFrame:
-    """Ascending byte-order sort of strings with its ranks."""
-    keyed = table.select(key, tie, F.hex(key).alias("_hex"))
-    return global_rank(keyed, ["_hex", tie]).drop("_hex")
+    """Ascending byte-order sort of strings with its ranks; strings compare by their bytes."""
+    return global_rank(table.select(key, tie), [key, tie])

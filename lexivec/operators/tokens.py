@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import text as tx
-from lexivec.operators.ordering import global_rank
 
 # The special tokens in id order.
 SPECIALS = ("<|bos|>", "<|eos|>", "<|pad|>", "<|unk|>")
-ONE_TASK_TOKENS = 1_000_000  # up to here one task numbers the tokens, above it a range sort does
 
 
 def special_tokens(spark: SparkSession, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
@@ -35,12 +33,12 @@ def token_set(merges: DataFrame) -> DataFrame:
 
 
 def id_to_token(merges: DataFrame, specials: tuple[str, ...] = SPECIALS) -> DataFrame:
-    """Specials first, then the core tokens in byte order; the id is the position."""
+    """Specials first, then the core tokens in byte order; the id is the position.
+
+    One task numbers the tokens: merges are limited by their symbols (``symbols.MOST_MERGES``).
+    """
     core = token_set(merges)
-    if merges.count() <= ONE_TASK_TOKENS:
-        numbered = core.withColumn("rn", F.row_number().over(Window.orderBy("token")))
-    else:
-        numbered = global_rank(core, ["token"], into="rn")
+    numbered = core.withColumn("rn", F.row_number().over(Window.orderBy("token")))
     numbered = numbered.select((F.col("rn") - 1 + len(specials)).cast("int").alias("id"), "token")
     return special_tokens(merges.sparkSession, specials).union(numbered)
 
@@ -80,7 +78,7 @@ def special_usage(docs: DataFrame, merges: DataFrame, text: str = "text") -> Dat
     """Each special token, how many documents spell it out, and whether it is a core token too."""
     spark = docs.sparkSession
     counts = docs.agg(
-        *[F.count_if(F.contains(F.col(text), F.lit(t))).alias(f"s{i}") for i, t in enumerate(SPECIALS)]
+        *[F.count_if(F.contains(tx.before_nul(F.col(text)), F.lit(t))).alias(f"s{i}") for i, t in enumerate(SPECIALS)]
     )
     pairs = [F.struct(F.lit(i).alias("id"), F.col(f"s{i}").alias("n_docs")) for i in range(len(SPECIALS))]
     usage = counts.select(F.inline(F.array(*pairs)))

@@ -24,7 +24,7 @@ def symbol_freq(words: DataFrame) -> DataFrame:
 
 def vocab_log(words: DataFrame, n: int = 50) -> DataFrame:
     """The ``n`` most frequent words, ties in byte order."""
-    return words.orderBy(F.desc("freq"), tx.byte_hex(F.col("word"))).limit(n)
+    return words.orderBy(F.desc("freq"), "word").limit(n)  # strings sort by their bytes
 
 
 def counting_upsert(*vocabularies: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 SPLIT_BYTES = 32 << 20
+MOST_BYTES = 2 << 30  # whatever the cluster, larger inputs are never shuffled for this
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -18,4 +19,4 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+    return df.repartition(cores) if size < min(cores * SPLIT_BYTES, MOST_BYTES) else df

@@ -20,6 +20,7 @@ def words_of(spark, sf, name):
 
 
 def first_wins_upsert(spark, sf):
+    """The customers of one segment are the held table, and the orders of all customers the batch."""
     held = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'")
     held = held.select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
     batch = table(spark, sf, "orders").select(
@@ -52,6 +53,7 @@ def delete_keys(spark, sf):
 
 
 def delete_not_found(spark, sf):
+    """The held table has the customers without debt, so that some wanted keys are missing."""
     wanted = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
     held = table(spark, sf, "customer").filter("c_acctbal >= 0")
     return keyed.keys_not_found(held, wanted, "c_custkey")
@@ -144,6 +146,11 @@ def lehmer_uniform(spark, sf):
     return drawn.select("doc_id", "lang", r6("u").alias("u"), (F.col("u") < 0.8).alias("in_train"))
 
 
+def lehmer_single(spark, sf):
+    drawn = table(spark, sf, "documents").select("doc_id", rn.lehmer_uniform_single(F.col("doc_id") + 1, SEED).alias("u"))
+    return drawn.select("doc_id", r6("u").alias("u"))
+
+
 def _cell_matrix(spark, sf, draw):
     shape = table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("col", "x"))
     k = F.col("vec_id") * WIDTH + F.col("col") + 1
@@ -168,7 +175,7 @@ QUERIES = {
     for f in (
         first_wins_upsert, counting_upsert, lookup, lookup_nation, delete_keys, delete_not_found, table_stats,
         set_contains, set_subset, set_equal, set_union, set_intersection, set_difference, set_add_remove,
-        djb2_buckets, knuth_buckets, sort_int, sort_str, lehmer_int, lehmer_uniform, xavier_matrix, muller_matrix,
+        djb2_buckets, knuth_buckets, sort_int, sort_str, lehmer_int, lehmer_uniform, lehmer_single, xavier_matrix, muller_matrix,
         shuffle,
     )
 }
@@ -260,6 +267,9 @@ ORACLES = {
         f"{STREAM} SELECT doc_id, lang, {q6('x / 2147483647.0::DOUBLE')} AS u, x / 2147483647.0::DOUBLE < 0.8 AS in_train "
         "FROM documents JOIN l ON k = doc_id + 1"
     ),
+    "lehmer_single": (
+        f"{STREAM} SELECT doc_id, {q6('(x / 2147483647.0::DOUBLE)::FLOAT::DOUBLE')} AS u FROM documents JOIN l ON k = doc_id + 1"
+    ),
     "xavier_matrix": MATRIX.format(
         value=q6(f"(2.0 * u - 1.0) * sqrt(6.0::DOUBLE / {2 * WIDTH})"), draws=f"{_uniform('k')} AS u"
     ),

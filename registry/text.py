@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexivec.functions import text as tx
 from lexivec.operators import corpus, vocab
 from lexivec.scratch import Scratch
-from lexivec.sources import files, tables
+from lexivec.sources import tables
 from registry.common import SPLIT_SQL, q6, r6, table, words_sql
 
 NUMBER = "[0-9]+(?:[.,][0-9]+)*"
@@ -18,19 +18,20 @@ def corpus_scan(spark, sf):
     return docs.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.md5("text").alias("digest"))
 
 
-def corpus_files(spark, sf):
-    return files.list_files(spark, sf).select("basename", "size")
-
-
-def corpus_inventory(spark, sf):
-    return files.inventory(spark, sf).select("n_files", "n_bytes")
-
-
 def path_rollup(spark, sf):
     out = corpus.path_rollup(table(spark, sf, "pages"), "url")
     return out.select("dirname", "n_paths", "n_basenames", F.col("max_depth").cast("bigint").alias("max_depth"))
 
 
+def path_join(spark, sf):
+    """Directory and base name of every address, taken apart and joined again, and a name below it."""
+    url = F.col("url")
+    whole = tx.path_join(tx.path_dirname(url), tx.path_basename(url))
+    return table(spark, sf, "pages").select(
+        "page_id", whole.alias("whole"), tx.path_join(url, F.lit("index.html")).alias("below")
+    )
+
+
 def vocab_table(spark, sf):
     path = Scratch(spark, "vocab").path("table")
     tables.save_table(vocab.word_freq(table(spark, sf, "documents")), path, "vocab")
@@ -83,9 +84,8 @@ def alphabet_coverage(spark, sf):
 
 QUERIES = {
     "corpus_scan": corpus_scan,
-    "corpus_files": corpus_files,
-    "corpus_inventory": corpus_inventory,
     "path_rollup": path_rollup,
+    "path_join": path_join,
     "vocab_table": vocab_table,
     "byte_histogram": byte_histogram,
     "ws_tokens": ws_tokens,
@@ -109,6 +109,13 @@ ORACLES = {
         "coalesce(split_part(url, '/', -1), '') AS basename, "
         "len(list_filter(string_split(url, '/'), lambda p: p <> '')) AS depth FROM pages) GROUP BY dirname"
     ),
+    "path_join": (
+        "SELECT page_id, CASE WHEN d <> '' AND b <> '' THEN d || CASE WHEN ends_with(d, '/') THEN '' ELSE '/' END || b END AS whole, "
+        "CASE WHEN url <> '' THEN url || CASE WHEN ends_with(url, '/') THEN '' ELSE '/' END || 'index.html' END AS below FROM ("
+        "SELECT page_id, url, CASE WHEN coalesce(url, '') = '' THEN '' WHEN instr(url, '/') = 0 THEN '.' "
+        "ELSE coalesce(nullif(regexp_extract(url, '^((?s).*)/[^/]*$', 1), ''), '/') END AS d, "
+        "coalesce(split_part(url, '/', -1), '') AS b FROM pages)"
+    ),
     "vocab_table": words_sql("documents"),
     "byte_histogram": (
         "SELECT ('0x' || h)::INT AS byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all("
@@ -129,7 +136,7 @@ ORACLES = {
         "(SELECT page_id, string_split(html, '<') AS l FROM pages))"
     ),
     "regex_matches": (
-        "SELECT match, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, "
+        "SELECT match, count(*) AS n FROM (SELECT unnest(regexp_extract_all(split_part(text, chr(0), 1), "
         f"'{NUMBER}')) AS match FROM documents) WHERE match <> '' GROUP BY match"
     ),
     "symbol_words": (
@@ -142,8 +149,8 @@ ORACLES = {
     ),
     "alphabet_coverage": (
         f"SELECT lang, n_bytes, n_unknown, {q6('n_unknown / n_bytes')} AS unknown_share FROM (SELECT lang, "
-        "sum(strlen(text))::BIGINT AS n_bytes, "
-        "sum(strlen(text) - strlen(regexp_replace(text, '[^ -~]', '', 'g')))::BIGINT AS n_unknown "
-        "FROM documents GROUP BY lang)"
+        "sum(strlen(t))::BIGINT AS n_bytes, "
+        "sum(strlen(t) - strlen(regexp_replace(t, '[^ -~]', '', 'g')))::BIGINT AS n_unknown "
+        "FROM (SELECT lang, split_part(text, chr(0), 1) AS t FROM documents) GROUP BY lang)"
     ),
 }

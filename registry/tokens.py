@@ -13,21 +13,11 @@ from registry.common import q6, r6, table, words_sql
 
 MERGES = 10
 TOP_WORDS = 50
-LEARNED: dict[tuple[str, str], str] = {}
-
-
-def learned(spark, sf):
-    """Learn the merges of the documents and store them for the queries that use a model."""
-    path = Scratch(spark, "model").path("merges")
-    tables.save_table(plan.learn_merges(table(spark, sf, "documents"), MERGES), path, "merges")
-    LEARNED[(spark.sparkContext.applicationId, sf)] = path
-    return tables.load_table(spark, path, "merges")
 
 
 def merges_of(spark, sf):
-    """The stored merges of the documents, learned once per session."""
-    path = LEARNED.get((spark.sparkContext.applicationId, sf))
-    return tables.load_table(spark, path, "merges") if path else learned(spark, sf)
+    """The merges of the documents, learned anew for every query that starts from a model."""
+    return plan.learn_merges(table(spark, sf, "documents"), MERGES)
 
 
 def tokenizer_of(spark, sf):
@@ -38,8 +28,8 @@ def symbols_of(spark, sf):
     return vocab.symbol_freq(vocab.word_freq(table(spark, sf, "documents")))
 
 
-def encoded_docs(spark, sf):
-    return codec.encode_corpus(table(spark, sf, "documents"), tokenizer_of(spark, sf))
+def encoded_docs(spark, sf, model=None):
+    return codec.encode_corpus(table(spark, sf, "documents"), tokenizer_of(spark, sf) if model is None else model)
 
 
 def as_csv(ids):
@@ -77,7 +67,7 @@ def apply_merge(spark, sf):
 
 
 def bpe_train(spark, sf):
-    return learned(spark, sf)
+    return merges_of(spark, sf)
 
 
 def merge_log(spark, sf):
@@ -85,7 +75,10 @@ def merge_log(spark, sf):
 
 
 def merges_table(spark, sf):
-    return merges_of(spark, sf)
+    """The merges written as a versioned table and read back."""
+    path = Scratch(spark, "model").path("merges")
+    tables.save_table(merges_of(spark, sf), path, "merges")
+    return tables.load_table(spark, path, "merges")
 
 
 def tokenizer_table(spark, sf):
@@ -146,7 +139,15 @@ def decode_corpus(spark, sf):
 
 
 def token_listing(spark, sf):
-    return codec.token_listing(encoded_docs(spark, sf), tokenizer_of(spark, sf), "lang")
+    model = tokenizer_of(spark, sf)
+    return codec.token_listing(encoded_docs(spark, sf, model), model, "lang")
+
+
+def token_sequences(spark, sf):
+    """Position, id and bytes of every token of the benchmark texts."""
+    model = tokenizer_of(spark, sf)
+    items = codec.encode_corpus(table(spark, sf, "benchmark"), model)
+    return codec.token_sequences(items, model, ["item_id"])
 
 
 def next_token_pairs(spark, sf):
@@ -158,7 +159,8 @@ QUERIES = {
     for f in (
         word_freq, symbol_freq, vocab_log, pair_counts, best_pair, apply_merge, bpe_train, merge_log, merges_table,
         tokenizer_table, token_set, special_tokens, id_to_token, token_to_id, token_rank, token_score,
-        tokenizer_build, encode_corpus, encode_bos_eos, decode_corpus, token_listing, next_token_pairs,
+        tokenizer_build, encode_corpus, encode_bos_eos, decode_corpus, token_listing, token_sequences,
+        next_token_pairs,
     )
 }
 
@@ -230,6 +232,7 @@ def encoded_sql(source: str) -> str:
 
 DOCS = encoded_sql("documents")
 TURNS = encoded_sql("conversations")
+ITEMS = encoded_sql("benchmark")
 TOKENIZER = f"SELECT id, token, id < 4 AS is_special, rank::DOUBLE AS rank, {SCORE} AS score FROM ids LEFT JOIN ranks USING (token)"
 
 ORACLES = {
@@ -251,7 +254,7 @@ ORACLES = {
     "token_set": f"WITH {TOKENS} SELECT token FROM core",
     "special_tokens": (
         f"WITH {TOKENS} SELECT i::INT AS id, hex(encode(t)) AS token, "
-        "(SELECT count(*) FROM documents WHERE contains(text, t)) AS n_docs, "
+        "(SELECT count(*) FROM documents WHERE contains(split_part(text, chr(0), 1), t)) AS n_docs, "
         f"hex(encode(t)) IN (SELECT token FROM core) AS is_core FROM ({SPECIAL_ROWS}) v(i, t)"
     ),
     "id_to_token": f"WITH {TOKENS} SELECT id, token FROM ids",
@@ -278,6 +281,10 @@ ORACLES = {
         f"WITH {DOCS} SELECT lang, id, token, n FROM (SELECT lang, token, count(*) AS n FROM "
         "(SELECT lang, unnest(l) AS token FROM enc) GROUP BY lang, token) JOIN ids USING (token)"
     ),
+    "token_sequences": (
+        f"WITH {ITEMS} SELECT item_id, (pos - 1)::INT AS pos, id, token FROM (SELECT item_id, unnest(l) AS token, "
+        "generate_subscripts(l, 1) AS pos FROM enc) JOIN ids USING (token)"
+    ),
     "next_token_pairs": (
         f"WITH {DOCS} SELECT x.id, y.id AS next_id, n FROM (SELECT a, b, count(*) AS n FROM "
         "(SELECT unnest(l[1:len(l) - 1]) AS a, unnest(l[2:len(l)]) AS b FROM enc) GROUP BY a, b) "

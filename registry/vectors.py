@@ -11,7 +11,8 @@ from lexivec.operators import random as rd
 from registry.common import CELLS_SQL, cells, lehmer_sql, q6, r6, table, xavier_sql
 from registry.tokens import DOCS, encoded_docs, tokenizer_of
 
-WIDTH, CLASSES, HEADS, KV_HEADS, HEAD_DIM, CONTEXT, HIDDEN = 64, 10, 4, 2, 16, 128, 16
+WIDTH, CLASSES, HEADS, KV_HEADS, HEAD_DIM, HIDDEN = 64, 10, 4, 2, 16, 16
+ATTENTION_BLOCK = 32  # several blocks a sequence already in the small tables
 BETA, SEED, SCALE, TOP = 1.5, 1337, 10.0, 5
 
 
@@ -33,7 +34,8 @@ def scaled(df):
 def _codes(fmt):
     def query(spark, sf):
         coded = quant.quantized(vectors_of(spark, sf), fmt)
-        return coded.select("vec_id", F.posexplode_outer("code").alias("j", "code")).filter("j is not null")
+        rows = coded.select("vec_id", F.posexplode_outer("code").alias("j", "code")).filter("j is not null")
+        return rows.withColumn("code", fm.unsigned(F.col("code"), fmt))
 
     return query
 
@@ -52,15 +54,20 @@ def dequant_q8(spark, sf):
     return cells(quant.dequantized(coded, "q8"), "vec_id", "vec")
 
 
+def _unsigned(fmt):
+    return lambda code: fm.unsigned(code, fmt)
+
+
 def quant_matrix(spark, sf):
     """Every format over the whole table in one scan, as one checksum of codes per row."""
     vec = F.col("embedding")
     codes = {fmt: fm.encode_scalar(fmt)(vec).alias(fmt) for fmt in fm.FORMATS} | {"q8": fm.encode_q8()(vec).alias("q8")}
     coded = vectors_of(spark, sf).select("vec_id", *codes.values())
+    whole = {fmt: "q8.q" if fmt == "q8" else F.transform(fmt, _unsigned(fmt)) for fmt in codes}
     sums = [
         F.struct(
             F.lit(fmt).alias("format"),
-            F.aggregate("q8.q" if fmt == "q8" else fmt, F.lit(0).cast("bigint"), lambda s, c: s + c).alias("code_sum"),
+            F.aggregate(whole[fmt], F.lit(0).cast("bigint"), lambda s, c: s + c).alias("code_sum"),
         )
         for fmt in codes
     ]
@@ -155,10 +162,10 @@ def swiglu(spark, sf):
 
 def embedding_lookup(spark, sf):
     """Token ids of every document looked up in a table of token vectors, as one sum per document."""
-    model = tokenizer_of(spark, sf).select("id")
+    model = tokenizer_of(spark, sf)
     vectors = rd.matrix_rows(rd.xavier_matrix(spark, model.count(), 4, SEED))
     found = codec.embedding_lookup(
-        encoded_docs(spark, sf), vectors.select(F.col("row").cast("int").alias("id"), "vec"), ["doc_id"]
+        encoded_docs(spark, sf, model), vectors.select(F.col("row").cast("int").alias("id"), "vec"), ["doc_id"]
     )
     return found.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pos").cast("bigint").alias("pos_sum"),
@@ -167,22 +174,52 @@ def embedding_lookup(spark, sf):
 
 
 def placed(spark, sf):
-    return linear.sequence_windows(vectors_of(spark, sf), "label", "vec_id", CONTEXT)
+    """The vectors of a label are one sequence."""
+    return linear.sequence_positions(vectors_of(spark, sf), "label", "vec_id")
+
+
+def _rotated(spark, sf, inverse):
+    turned = vx.rotary(F.col("embedding"), F.col("pos"), HEAD_DIM, HEADS, inverse=inverse)
+    return cells(placed(spark, sf).select("vec_id", turned.alias("y")), "vec_id", "y")
 
 
 def rotary(spark, sf):
-    rows = placed(spark, sf)
-    out = rows.select("vec_id", vx.rotary(F.col("embedding"), F.col("pos"), HEAD_DIM, HEADS).alias("y"))
-    return cells(out, "vec_id", "y")
+    return _rotated(spark, sf, False)
+
+
+def rotary_inverse(spark, sf):
+    return _rotated(spark, sf, True)
 
 
 def causal_attention(spark, sf):
     half = HEAD_DIM * KV_HEADS
     rows = placed(spark, sf).select(
-        "label", "window", "pos", "vec_id", F.col("embedding").alias("q"),
+        "label", "pos", "vec_id", F.col("embedding").alias("q"),
         F.slice("embedding", 1, half).alias("k"), F.slice("embedding", half + 1, half).alias("v"),
     )
-    return cells(linear.causal_attention(rows, ["label", "window"], "vec_id", HEADS, KV_HEADS), "vec_id", "out")
+    return cells(linear.causal_attention(rows, ["label"], "vec_id", HEADS, KV_HEADS, block=ATTENTION_BLOCK), "vec_id", "out")
+
+
+def _decoded(fmt):
+    """Vectors coded and decoded again, element by element."""
+
+    def query(spark, sf):
+        return cells(quant.dequantized(quant.quantized(vectors_of(spark, sf), fmt), fmt), "vec_id", "vec")
+
+    return query
+
+
+def _quantised_product(fmt):
+    """A product in which both the matrix and the vectors are stored in a reduced format."""
+
+    def query(spark, sf):
+        grown = quant.dequantized(quant.quantized(scaled(vectors_of(spark, sf)), fmt), fmt, into="embedding")
+        rows = rd.matrix_rows(rd.xavier_matrix(spark, CLASSES, WIDTH, SEED)).withColumn("vec", F.col("vec").cast("array<float>"))
+        rows = quant.dequantized(quant.quantized(rows, fmt, vec="vec"), fmt)
+        weights = rows.select("row", F.posexplode("vec").alias("col", "val"))
+        return linear.matmul(grown, weights, "vec_id", "embedding").withColumn("val", r6("val"))
+
+    return query
 
 
 def gated_ffn(spark, sf):
@@ -226,12 +263,14 @@ def clamp_columns(spark, sf):
     return out.select("column", "n_changed", *[r6(c).alias(c) for c in out.columns if c not in ("column", "n_changed")])
 
 
-QUERIES = {f"quant_{fmt}": _codes(fmt) for fmt in fm.FORMATS} | {
+QUERIES = {f"quant_{fmt}": _codes(fmt) for fmt in fm.FORMATS} | {f"dequant_{fmt}": _decoded(fmt) for fmt in fm.FORMATS} | {
+    f"matmul_{fmt}": _quantised_product(fmt) for fmt in ("q8", "e4m3")
+} | {
     f.__name__: f
     for f in (
         quant_q8, dequant_q8, quant_matrix, quant_error, type_footprint, shape_check, row_view, fill_matrix, matmul,
         matmul_by_join, residual_add, rmsnorm, softmax, softmax_by_group, argmax_topk, activation_profile,
-        activation_gradients, swiglu, embedding_lookup, rotary, causal_attention, gated_ffn, tied_scoring,
+        activation_gradients, swiglu, embedding_lookup, rotary, rotary_inverse, causal_attention, gated_ffn, tied_scoring,
         table_reconcile, reconcile_single, clamp_columns,
     )
 }
@@ -273,18 +312,18 @@ def q8_sql(source: str) -> str:
 
 GROWN = f"{CELLS_SQL}, grown AS (SELECT vec_id, label, j, (x * {SCALE})::FLOAT::DOUBLE AS x FROM cells), {q8_sql('grown')}"
 ROWS = (
-    f"r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings), "
-    f"s AS MATERIALIZED (SELECT vec_id, label, embedding, rn // {CONTEXT} AS win, rn % {CONTEXT} AS pos FROM r)"
+    "s AS MATERIALIZED (SELECT vec_id, label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos "
+    "FROM embeddings)"
 )
 
 
-def turned_sql(name: str, heads: int) -> str:
-    """CTE ``name(vec_id, label, win, pos, h, d, y)``: rotated heads of the leading elements."""
+def turned_sql(name: str, heads: int, sign: str = "") -> str:
+    """CTE ``name(vec_id, label, pos, h, d, y)``: rotated heads of the leading elements."""
     here, other = (f"embedding[h * {HEAD_DIM} + {d} + 1]::DOUBLE" for d in ("d", f"(d + {HEAD_DIM // 2}) % {HEAD_DIM}"))
     half = HEAD_DIM // 2
-    angle = f"pos * pow(10000.0, -(d % {half}) / {HEAD_DIM}.0)"
+    angle = f"{sign}pos * pow(10000.0, -(d % {half}) / {HEAD_DIM}.0)"
     return (
-        f"{name} AS MATERIALIZED (SELECT vec_id, label, win, pos, h, d, {here} * cos({angle}) + "
+        f"{name} AS MATERIALIZED (SELECT vec_id, label, pos, h, d, {here} * cos({angle}) + "
         f"(CASE WHEN d < {half} THEN -{other} ELSE {other} END) * sin({angle}) AS y "
         f"FROM s, range(0, {heads}) a(h), range(0, {HEAD_DIM}) b(d))"
     )
@@ -383,10 +422,13 @@ ORACLES = {f"quant_{n}": f"WITH {BITS} SELECT vec_id, j::INT AS j, {c} AS code F
     "rotary": (
         f"WITH {ROWS}, {turned_sql('t', HEADS)} SELECT vec_id, (h * {HEAD_DIM} + d)::INT AS j, {q6('y')} AS val FROM t"
     ),
+    "rotary_inverse": (
+        f"WITH {ROWS}, {turned_sql('t', HEADS, '-')} SELECT vec_id, (h * {HEAD_DIM} + d)::INT AS j, {q6('y')} AS val FROM t"
+    ),
     "causal_attention": (
         f"WITH {ROWS}, {turned_sql('q', HEADS)}, {turned_sql('k', KV_HEADS)}, "
         "dots AS (SELECT q.vec_id, q.h, k.vec_id AS at, sum(q.y * k.y) / sqrt(16.0::DOUBLE) AS z FROM q JOIN k "
-        f"ON q.label = k.label AND q.win = k.win AND q.d = k.d AND k.h = q.h // {HEADS // KV_HEADS} AND k.pos <= q.pos "
+        f"ON q.label = k.label AND q.d = k.d AND k.h = q.h // {HEADS // KV_HEADS} AND k.pos <= q.pos "
         "GROUP BY q.vec_id, q.h, k.vec_id), "
         "powers AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id, h)) AS e FROM dots), "
         "shares AS MATERIALIZED (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, h) AS p FROM powers), "
@@ -428,3 +470,39 @@ ORACLES = {f"quant_{n}": f"WITH {BITS} SELECT vec_id, j::INT AS j, {c} AS code F
     ),
 }
 ORACLES["matmul_by_join"] = ORACLES["matmul"]
+ORACLES |= {
+    f"dequant_{n}": f"WITH {BITS} SELECT vec_id, j::INT AS j, {q6(f'CASE WHEN s = 1 THEN -1.0 ELSE 1.0 END * CASE WHEN x = 0 THEN 0.0 ELSE {d} END')} "
+    "AS val FROM bits" for n, d in DECODED.items()
+}
+
+
+def _product_sql(vectors: str, matrix: str) -> str:
+    return (
+        f"SELECT v.vec_id, m.vec_id::INT AS row, {q6('sum(v.y * m.y)')} AS val FROM ({vectors}) v JOIN ({matrix}) m "
+        "USING (j) GROUP BY v.vec_id, m.vec_id"
+    )
+
+
+def _bits_sql(source: str, name: str) -> str:
+    """Common table ``name`` with the exponent and mantissa of every element of ``source(vec_id, j, x)``."""
+    return (
+        f"{name}_e AS (SELECT *, {LOGB.format(x='abs(x)')} AS e FROM {source}), {name} AS MATERIALIZED (SELECT *, CASE WHEN x = 0 "
+        f"THEN 0 ELSE ((abs(x) / pow(2, e) - 1) * 8388608)::BIGINT END AS m FROM {name}_e)"
+    )
+
+
+_WEIGHTS = (
+    f"{xavier_sql('w0', CLASSES, WIDTH, SEED)}, w1 AS (SELECT i AS vec_id, 0 AS label, j::BIGINT AS j, w::FLOAT::DOUBLE AS x FROM w0)"
+)
+_E4M3 = f"CASE WHEN x < 0 THEN -1.0 ELSE 1.0 END * CASE WHEN x = 0 THEN 0.0 ELSE {DECODED['e4m3']} END AS y"
+ORACLES["matmul_e4m3"] = (
+    f"WITH {CELLS_SQL}, grown AS (SELECT vec_id, label, j, (x * {SCALE})::FLOAT::DOUBLE AS x FROM cells), {_WEIGHTS}, "
+    f"{_bits_sql('grown', 'gb')}, {_bits_sql('w1', 'wb')} "
+    + _product_sql(f"SELECT vec_id, j, {_E4M3} FROM gb", f"SELECT vec_id, j, {_E4M3} FROM wb")
+)
+_WQ8 = q8_sql("w1").replace("top AS", "wtop AS").replace("FROM top", "FROM wtop").replace("shared AS", "wshared AS").replace(
+    "FROM shared", "FROM wshared").replace("q8 AS MATERIALIZED", "wq8 AS MATERIALIZED")
+ORACLES["matmul_q8"] = (
+    f"WITH {GROWN}, {_WEIGHTS}, {_WQ8} "
+    + _product_sql("SELECT vec_id, j, q * pow(2, w) AS y FROM q8", "SELECT vec_id, j, q * pow(2, w) AS y FROM wq8")
+)

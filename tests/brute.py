@@ -6,7 +6,7 @@ WHITESPACE = b" \t\n\x0b\x0c\r"
 
 
 def words_of(text):
-    data = text.encode().split(b"\0", 1)[0]
+    data = (text if isinstance(text, bytes) else text.encode()).split(b"\0", 1)[0]
     for b in WHITESPACE:
         data = data.replace(bytes([b]), b" ")
     return [w for w in data.split(b" ") if w]
@@ -42,7 +42,7 @@ def merge_once(parts, a, b):
 
 def encode(text, ids, ranks, unknown):
     """Scan the whole text for the best pair, merge it, repeat."""
-    parts = [s if s in ids else unknown for s in (bytes([b]) for b in text.encode().split(b"\0", 1)[0])]
+    parts = [s if s in ids else unknown for s in (bytes([b]) for b in (text if isinstance(text, bytes) else text.encode()).split(b"\0", 1)[0])]
     while True:
         found = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
         if not found:

@@ -103,16 +103,14 @@ def test_matmul_paths_agree(spark):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
 
 
-def test_scoring_paths_agree(spark, monkeypatch):
+def test_scoring_blocks_agree(spark):
     rng = np.random.default_rng(1)
     data = rng.normal(size=(300, 6)).astype(np.float32)
     frame = vectors(spark, *data.tolist()).repartition(5)
     queries = spark.createDataFrame([(i, data[i].tolist()) for i in range(7)], "qid int, embedding array<double>")
     read = lambda d: sorted((r["qid"], r["rank"], r["vec_id"]) for r in d.collect())
     small = read(linear.tied_scoring(frame, queries, "vec_id", "embedding", "qid", 4))
-    monkeypatch.setattr(linear, "MODEL_CELLS", 0)
-    monkeypatch.setattr(linear, "BLOCK_ROWS", 40)
-    assert read(linear.tied_scoring(frame, queries, "vec_id", "embedding", "qid", 4)) == small
+    assert read(linear.tied_scoring(frame, queries, "vec_id", "embedding", "qid", 4, block_cells=10)) == small
     x = data.astype(np.float64)
     for q in range(7):
         scores = x @ (x[q] / np.sqrt((x[q] ** 2).mean() + 1e-6))
@@ -120,18 +118,19 @@ def test_scoring_paths_agree(spark, monkeypatch):
         assert [v for i, _, v in small if i == q] == best.tolist()
 
 
-def test_attention_windows_and_brute_force(spark):
+@pytest.mark.parametrize("block", [1, 4, 8, 100])
+def test_attention_over_blocks_and_brute_force(spark, block):
     rng = np.random.default_rng(2)
     data = rng.normal(size=(21, 8))
     frame = spark.createDataFrame([(i, 0, data[i].tolist()) for i in range(21)], "vec_id int, g int, x array<double>")
-    rows = linear.sequence_windows(frame, "g", "vec_id", 8).select(
-        "g", "window", "pos", "vec_id", F.col("x").alias("q"), F.slice("x", 1, 4).alias("k"), F.slice("x", 5, 4).alias("v")
+    rows = linear.sequence_positions(frame, "g", "vec_id").select(
+        "g", "pos", "vec_id", F.col("x").alias("q"), F.slice("x", 1, 4).alias("k"), F.slice("x", 5, 4).alias("v")
     )
-    found = {r["vec_id"]: r["out"] for r in linear.causal_attention(rows, ["g", "window"], "vec_id", 4, 2).collect()}
+    found = {r["vec_id"]: r["out"] for r in linear.causal_attention(rows, ["g"], "vec_id", 4, 2, block=block).collect()}
     assert len(found) == 21
     turn = lambda v, p: np.array([v[0] * np.cos(p) - v[1] * np.sin(p), v[0] * np.sin(p) + v[1] * np.cos(p)])
     for i in range(21):
-        first = i // 8 * 8
+        first = 0
         for h in range(4):
             q = turn(data[i, 2 * h : 2 * h + 2], i - first)
             c = h // 2

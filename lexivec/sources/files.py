@@ -20,7 +20,8 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
     """Regular files directly in a directory: ``(dirname, basename, size)``; contents are not read.
 
-    A scan skips files without bytes, so the names come from the file index of the same source.
+    A scan skips files without bytes, so the names come from the file index of the same source. Names that
+    begin with ``_`` or ``.`` are left out, as in every scan of files.
     """
     files = spark.read.format("binaryFile").load(directory)
     names = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string")

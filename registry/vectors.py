@@ -8,6 +8,7 @@ from lexivec.functions import formats as fm
 from lexivec.functions import vectors as vx
 from lexivec.operators import codec, linear, quant
 from lexivec.operators import random as rd
+from lexivec.plans import attention as plan
 from registry.common import CELLS_SQL, cells, lehmer_sql, q6, r6, table, xavier_sql
 from registry.tokens import DOCS, encoded_docs, tokenizer_of
 
@@ -40,6 +41,20 @@ def _codes(fmt):
     return query
 
 
+LARGE = {"e4m3": 1000.0, "e5m10": 200000.0}  # scales that leave the range of the format
+
+
+def quant_overflow(spark, sf):
+    """Codes of numbers around and above the largest of the narrow formats."""
+    parts = []
+    for fmt, scale in LARGE.items():
+        grown = F.transform("embedding", lambda x: (x.cast("double") * scale).cast("float"))
+        coded = quant.quantized(vectors_of(spark, sf).select("vec_id", grown.alias("embedding")), fmt)
+        rows = coded.select("vec_id", F.posexplode_outer("code").alias("j", "code")).filter("j is not null")
+        parts.append(rows.select(F.lit(fmt).alias("format"), "vec_id", "j", fm.unsigned(F.col("code"), fmt).alias("code")))
+    return parts[0].unionByName(parts[1])
+
+
 def quant_q8(spark, sf):
     coded = quant.quantized(scaled(vectors_of(spark, sf)), "q8")
     parts = coded.select("vec_id", "code.w", F.posexplode_outer("code.q").alias("j", "q")).filter("j is not null")
@@ -200,6 +215,19 @@ def causal_attention(spark, sf):
     return cells(linear.causal_attention(rows, ["label"], "vec_id", HEADS, KV_HEADS, block=ATTENTION_BLOCK), "vec_id", "out")
 
 
+ATTENTION_SEEDS = {"wq": 21, "wk": 22, "wv": 23, "wo": 24}
+ATTENTION_ROWS = {"wq": HEADS * HEAD_DIM, "wk": KV_HEADS * HEAD_DIM, "wv": KV_HEADS * HEAD_DIM, "wo": WIDTH}
+
+
+def attention_block(spark, sf):
+    weights = {n: linear.small_matrix(rd.xavier_matrix(spark, ATTENTION_ROWS[n], WIDTH, s)) for n, s in ATTENTION_SEEDS.items()}
+    out = plan.attention_block(
+        vectors_of(spark, sf), "label", "vec_id", "vec_id", "embedding", **weights, heads=HEADS, kv_heads=KV_HEADS,
+        block=ATTENTION_BLOCK,
+    )
+    return cells(out, "vec_id", "embedding")
+
+
 def _decoded(fmt):
     """Vectors coded and decoded again, element by element."""
 
@@ -268,9 +296,9 @@ QUERIES = {f"quant_{fmt}": _codes(fmt) for fmt in fm.FORMATS} | {f"dequant_{fmt}
 } | {
     f.__name__: f
     for f in (
-        quant_q8, dequant_q8, quant_matrix, quant_error, type_footprint, shape_check, row_view, fill_matrix, matmul,
+        quant_overflow, quant_q8, dequant_q8, quant_matrix, quant_error, type_footprint, shape_check, row_view, fill_matrix, matmul,
         matmul_by_join, residual_add, rmsnorm, softmax, softmax_by_group, argmax_topk, activation_profile,
-        activation_gradients, swiglu, embedding_lookup, rotary, rotary_inverse, causal_attention, gated_ffn, tied_scoring,
+        activation_gradients, swiglu, embedding_lookup, rotary, rotary_inverse, causal_attention, attention_block, gated_ffn, tied_scoring,
         table_reconcile, reconcile_single, clamp_columns,
     )
 }
@@ -469,6 +497,36 @@ ORACLES = {f"quant_{n}": f"WITH {BITS} SELECT vec_id, j::INT AS j, {c} AS code F
         "FROM lineitem)" for c, (a, b) in BOUNDS.items()
     ),
 }
+
+
+def _projected_sql(name: str, rotate: bool) -> str:
+    """CTE ``name(vec_id, label, pos, h, d, y)``: heads of the projected rows, rotated by their position."""
+    half = HEAD_DIM // 2
+    raw = f"{name}_raw AS MATERIALIZED (SELECT vec_id, label, pos, w{name}.i AS i, sum(y * w{name}.w) AS z FROM n JOIN w{name} USING (j) GROUP BY ALL)"
+    if not rotate:
+        return f"{raw}, {name} AS (SELECT vec_id, label, pos, i // {HEAD_DIM} AS h, i % {HEAD_DIM} AS d, z AS y FROM {name}_raw)"
+    angle = f"a.pos * pow(10000.0, -(a.i % {half}) / {HEAD_DIM}.0)"
+    return (
+        f"{raw}, {name} AS MATERIALIZED (SELECT a.vec_id, a.label, a.pos, a.i // {HEAD_DIM} AS h, a.i % {HEAD_DIM} AS d, a.z * cos({angle}) + "
+        f"(CASE WHEN a.i % {HEAD_DIM} < {half} THEN -b.z ELSE b.z END) * sin({angle}) AS y FROM {name}_raw a JOIN {name}_raw b "
+        f"ON a.vec_id = b.vec_id AND b.i = a.i // {HEAD_DIM} * {HEAD_DIM} + (a.i + {half}) % {HEAD_DIM})"
+    )
+
+
+ORACLES["attention_block"] = (
+    f"WITH {CELLS_SQL}, {ROWS}, "
+    + ", ".join(xavier_sql(name, ATTENTION_ROWS[name], WIDTH, seed) for name, seed in ATTENTION_SEEDS.items())
+    + f", n AS MATERIALIZED (SELECT vec_id, s.label, pos, j, x / {NORM} AS y FROM cells JOIN s USING (vec_id)), "
+    + f"{_projected_sql('q', True)}, {_projected_sql('k', True)}, {_projected_sql('v', False)}, "
+    "dots AS (SELECT q.vec_id, q.h, k.vec_id AS at, sum(q.y * k.y) / sqrt(16.0::DOUBLE) AS z FROM q JOIN k "
+    f"ON q.label = k.label AND q.d = k.d AND k.h = q.h // {HEADS // KV_HEADS} AND k.pos <= q.pos GROUP BY q.vec_id, q.h, k.vec_id), "
+    "powers AS (SELECT *, exp(z - max(z) OVER (PARTITION BY vec_id, h)) AS e FROM dots), "
+    "shares AS MATERIALIZED (SELECT *, e / sum(e) OVER (PARTITION BY vec_id, h) AS p FROM powers), "
+    f"o AS MATERIALIZED (SELECT shares.vec_id, shares.h * {HEAD_DIM} + v.d AS j, sum(p * v.y) AS y FROM shares JOIN v "
+    f"ON v.vec_id = shares.at AND v.h = shares.h // {HEADS // KV_HEADS} GROUP BY ALL), "
+    "down AS (SELECT vec_id, wo.i AS j, sum(y * wo.w) AS y FROM o JOIN wo USING (j) GROUP BY ALL) "
+    f"SELECT vec_id, j::INT AS j, {q6('cells.x + down.y')} AS val FROM cells JOIN down USING (vec_id, j)"
+)
 ORACLES["matmul_by_join"] = ORACLES["matmul"]
 ORACLES |= {
     f"dequant_{n}": f"WITH {BITS} SELECT vec_id, j::INT AS j, {q6(f'CASE WHEN s = 1 THEN -1.0 ELSE 1.0 END * CASE WHEN x = 0 THEN 0.0 ELSE {d} END')} "
@@ -491,6 +549,21 @@ def _bits_sql(source: str, name: str) -> str:
     )
 
 
+_LARGE_CODES = {
+    "e4m3": "(s << 7) | (least(greatest(e + 7, 0), 15) << 3) | (CASE WHEN e + 7 > 15 THEN 0 ELSE m >> 20 END)",
+    "e5m10": "(s << 15) | (least(greatest(e + 15, 0), 31) << 10) | (m >> 13)",
+}
+ORACLES["quant_overflow"] = (
+    f"WITH {CELLS_SQL}, "
+    + ", ".join(
+        f"{n}_x AS (SELECT vec_id, j, (x < 0)::BIGINT AS s, (x * {scale})::FLOAT::DOUBLE AS x FROM cells), {_bits_sql(f'{n}_x', f'{n}_b')}"
+        for n, scale in LARGE.items()
+    )
+    + " "
+    + " UNION ALL ".join(
+        f"SELECT '{n}' AS format, vec_id, j::INT AS j, CASE WHEN x = 0 THEN 0 ELSE {c} END AS code FROM {n}_b" for n, c in _LARGE_CODES.items()
+    )
+)
 _WEIGHTS = (
     f"{xavier_sql('w0', CLASSES, WIDTH, SEED)}, w1 AS (SELECT i AS vec_id, 0 AS label, j::BIGINT AS j, w::FLOAT::DOUBLE AS x FROM w0)"
 )

@@ -6,11 +6,12 @@ neighbours in an order whose labels share a prefix of ``DEPTH`` values or more a
 partitions sort the orders, so equal labels of any number are spread over many tasks.
 
 * Estimate: candidates whose signatures agree in less than ``FLOOR`` of their values are left. A pair
-  at the threshold is lost with a probability of about 1e-7.
-* First links: per document its two best candidates are compared on full sets, and components formed.
+  at the threshold is lost with a probability of about 2e-5.
+* First links: per document its two best candidates are compared on full sets and components formed.
 * Completion: neighbours are not all partners. Within a region (documents of an order with a common
-  prefix) every pair whose two sides are still in different components is compared as well. A region
-  where these would be more than ``DENSE`` pairs a document takes a depth of ``LEVELS`` instead.
+  prefix) every pair whose two sides are still in different components, and whose sets leave room for
+  the similarity once the shingles that only one document has are set aside, is compared as well.
+  A region where these would be more than ``DENSE`` pairs a document takes a depth of ``LEVELS`` instead.
   Pairs inside one component cannot change the result and are never formed.
 
 A pair of similarity 0.8 shares no region of depth ``DEPTH`` with probability (1 - 0.8^4)^32 = 5e-8, none
@@ -41,7 +42,9 @@ WIDTH, PERCENT = 5, 80
 #: Sorted orders, MinHash values per label, least common prefix.
 TREES, LEVELS, DEPTH = 32, 6, 4
 #: Least share of equal signature values of a pair that is compared on full sets.
-FLOOR = 0.65
+FLOOR = 0.68
+#: Documents of a block on average; two blocks meet in one place.
+BLOCK = 256
 #: Pairs per document of a region beyond which the region is taken at full depth.
 DENSE = 64
 
@@ -192,24 +195,28 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out.filter(kept)
 
 
-def _confirmer(width: int, percent: int):
+def _confirmer(width: int, percent: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The pairs whose full sets are similar enough."""
-        for batch in batches:
-            keep = np.zeros(len(batch), bool)
-            (one, at), (two, bt) = (text_bytes(batch.column(k)) for k in (2, 3))
-            for lo, hi in slices(at + bt):
-                sets, bounds = [], []
-                for data, offsets in ((one, at), (two, bt)):
+        """Of two blocks: their texts come first, then the pairs; those whose full sets are similar enough go on."""
+        for table in _groups(batches, 2):
+            sets: dict = {}
+            ones, twos = [], []
+            for batch in table.to_batches():
+                ids, others = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+                data, offsets = text_bytes(batch.column(4))
+                for lo, hi in slices(offsets):
                     part = offsets[lo : hi + 1]
-                    s, b = shingle_sets(data[part[0] : part[-1]], part - part[0], width)
-                    sets.append(s)
-                    bounds.append(b)
-                for row in range(hi - lo):
-                    x, y = (s[b[row] : b[row + 1]] for s, b in zip(sets, bounds, strict=True))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    keep[lo + row] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+                    found, bounds = shingle_sets(data[part[0] : part[-1]], part - part[0], width)
+                    for row in range(lo, hi):
+                        if others[row] is None:
+                            sets[ids[row]] = found[bounds[row - lo] : bounds[row - lo + 1]]
+                            continue
+                        x, y = sets[ids[row]], sets[others[row]]
+                        common = len(np.intersect1d(x, y, assume_unique=True))
+                        if common and 100 * common >= percent * (len(x) + len(y) - common):
+                            ones.append(ids[row])
+                            twos.append(others[row])
+            yield pa.RecordBatch.from_arrays([pa.array(ones, id_type), pa.array(twos, id_type)], ["a", "b"])
 
     return run
 
@@ -259,13 +266,10 @@ def near_duplicates(
 
     sketches = classes.select("id", "sketch")
 
-    def with_sides(pairs: DataFrame, side: DataFrame, value: str) -> DataFrame:
-        one = side.select(F.col("id").alias("a"), F.col(value).alias("one"))
-        two = side.select(F.col("id").alias("b"), F.col(value).alias("two"))
-        return pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "one", "two")
-
     def estimated(pairs: DataFrame) -> DataFrame:
-        return with_sides(pairs, sketches, "sketch").mapInArrow(_estimates, f"a {id_type}, b {id_type}, share double")
+        one, two = (sketches.select(F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}")) for k in ("a", "b"))
+        sides = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "sketch_a", "sketch_b")
+        return sides.mapInArrow(_estimates, f"a {id_type}, b {id_type}, share double")
 
     nodes = members.select("id").distinct().join(classes.select("id", "key"), "id")
     own = scratch.write(
@@ -273,8 +277,18 @@ def near_duplicates(
         "texts",
     )
 
+    blocks = F.lit(-(-own.count() // BLOCK) or 1)
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return with_sides(pairs, own, "text").mapInArrow(_confirmer(width, percent), f"a {id_type}, b {id_type}")
+        """The pairs whose full sets are similar enough; a text goes once to each two blocks that need it."""
+        x, y = (F.pmod(F.xxhash64(k), blocks) for k in ("a", "b"))
+        placed = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "a", "b")
+        ends = placed.select("x", "y", F.col("a").alias("id")).unionByName(placed.select("x", "y", F.col("b").alias("id")))
+        wanted = ends.distinct().join(own, "id")
+        wanted = wanted.select("x", "y", "id", F.lit(None).cast(id_type).alias("other"), "text")
+        asked = placed.select("x", "y", F.col("a").alias("id"), F.col("b").alias("other"), F.lit(None).cast("string").alias("text"))
+        met = wanted.unionByName(asked).repartition("x", "y").sortWithinPartitions("x", "y", F.col("other").asc_nulls_first())
+        return met.mapInArrow(_confirmer(width, percent, arrow_id), f"a {id_type}, b {id_type}")
 
     scored = scratch.write(estimated(candidates), "scored")
     ends = scored.unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "share"))
@@ -287,13 +301,16 @@ def near_duplicates(
     links = scratch.write(confirmed(tried), "links")
     found = components(links, scratch, "first")
 
-    rest = scratch.write(_across(members, found, percent).join(tried, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = scratch.write(confirmed(estimated(rest)), "more")
-        if not more.isEmpty():
-            found = components(links.unionByName(more), scratch, "second")
-    by_key = classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", F.coalesce("component", "id").alias("component")
+    more = scratch.write(confirmed(_across(members, found, own, sketches, width, percent)), "more")
+    sides = [found.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in ("a", "b")]
+    joins = more.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
+        F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")
+    )
+    wider = components(joins.distinct(), scratch, "second").select(F.col("node").alias("inner"), F.col("component").alias("outer"))
+    by_key = (
+        classes.select("key", "id").join(found.withColumnRenamed("node", "id"), "id", "left")
+        .select("key", F.coalesce("component", "id").alias("inner")).join(wider, "inner", "left")
+        .select("key", F.coalesce("outer", "inner").alias("component"))
     )
     result = rows.select("id", "n", "key").join(by_key, "key", "left").select(
         F.col("id").alias("doc_id"),
@@ -304,11 +321,45 @@ def near_duplicates(
     return scratch.finish(result)
 
 
-def _across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one region and different components, of sizes that allow the similarity."""
+def _spread(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shingle, id) of every set."""
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            for lo, hi in slices(offsets):
+                part = offsets[lo : hi + 1]
+                sets, bounds = shingle_sets(data[part[0] : part[-1]], part - part[0], width)
+                rows = pa.array(np.repeat(np.arange(lo, hi), np.diff(bounds)))
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), batch.column(0).take(rows)], ["shingle", "id"])
+
+    return run
+
+
+def _across(
+    members: DataFrame, found: DataFrame, own: DataFrame, sketches: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """Pairs (a, b) of one region and different components that can have the similarity.
+
+    A shingle that no other document of an open region has is in no intersection. What is left of a
+    set bounds its similarity to any other; documents that cannot reach the threshold with the smallest
+    set of their region drop out, and the rest are compared within that bound, by blocks of a region and
+    inside the tasks: only pairs whose signatures agree become rows.
+    """
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
+    several = placed.groupBy("tree", "prefix").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")
+    ).filter("low <> high").select("tree", "prefix", "least")
+    placed = placed.join(several, ["tree", "prefix"])
+    kind = own.schema["id"].dataType.simpleString()
+    open_texts = own.join(placed.select("id").distinct(), "id", "left_semi").select("id", "text")
+    alone = open_texts.mapInArrow(_spread(width), f"shingle bigint, id {kind}").groupBy("shingle").agg(
+        F.min("id").alias("id"), F.max("id").alias("last")
+    ).filter("id = last").groupBy("id").agg(F.count("*").alias("alone"))
+    placed = placed.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
+    least = F.greatest(F.col("least") * 100, F.col("n") * percent)  # in hundredths
+    placed = placed.filter(F.col("common") * (100 + percent) * 100 >= (F.col("n") * 100 + least) * percent)
     shares = placed.groupBy("tree", "prefix", "component").agg(F.count("*").alias("m"))
     regions = (
         shares.groupBy("tree", "prefix")
@@ -316,10 +367,66 @@ def _across(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         .filter("parts > 1")
         .select("tree", "prefix", ((F.col("all") * F.col("all") - F.col("within")) / 2 > DENSE * F.col("all")).alias("dense"))
     )
-    open_members = placed.join(regions, ["tree", "prefix"]).select(
-        "tree", F.when(F.col("dense"), F.col("label")).otherwise(F.col("prefix")).alias("region"), "id", "n", "component"
+    region = F.when(F.col("dense"), F.col("label")).otherwise(F.col("prefix")).alias("region")
+    placed = placed.join(regions, ["tree", "prefix"]).select("tree", region, "id", "n", "component", "common")
+    # A region goes in blocks, and every two blocks of it meet once.
+    sizes = placed.groupBy("tree", "region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    placed = placed.join(sizes, ["tree", "region"]).withColumn("mine", mine).join(sketches, "id")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    met = placed.select("tree", "region", "mine", other, "id", "n", "component", "common", "sketch").select(
+        "tree", "region", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine",
+        "id", "n", "component", "common", "sketch",
     )
-    one = open_members.select("tree", "region", F.col("id").alias("a"), F.col("n").alias("n1"), F.col("component").alias("c1"))
-    two = open_members.select("tree", "region", F.col("id").alias("b"), F.col("n").alias("n2"), F.col("component").alias("c2"))
-    fits = F.least("n1", "n2") * 100 >= F.greatest("n1", "n2") * percent
-    return one.join(two, ["tree", "region"]).filter((F.col("a") < F.col("b")) & (F.col("c1") != F.col("c2")) & fits).select("a", "b").distinct()
+    at = ["tree", "region", "x", "y"]
+    met = met.repartition(*at).sortWithinPartitions(*at, "id")
+    return met.mapInArrow(_meeting(percent), f"a {kind}, b {kind}").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows with equal leading columns, one table per group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(batch) == 0:
+            continue
+        new = np.zeros(len(batch), bool)
+        for k in range(keys):
+            column = batch.column(k)
+            new[1:] |= pa.compute.not_equal(column.slice(1), column.slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = not held or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(keys))
+        bounds = [*np.flatnonzero(new).tolist(), len(batch)]
+        if bounds[0] > 0:
+            held.append(batch.slice(0, bounds[0]))
+        for lo, hi in zip(bounds, bounds[1:], strict=False):
+            if held:
+                yield pa.Table.from_batches(held)
+            held = [batch.slice(lo, hi - lo)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _meeting(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of two blocks: pairs apart that can have the similarity and whose signatures agree enough."""
+        for table in _groups(batches, 4):
+            table = table.combine_chunks()
+            ids = table.column("id").combine_chunks()
+            mine, n, component, common = (table.column(k).to_numpy() for k in ("mine", "n", "component", "common"))
+            sketch = _matrix(table.column("sketch").combine_chunks(), np.uint16)
+            x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+            rows = np.flatnonzero(mine == x)
+            ones, twos = [], []
+            for k in rows.tolist():  # rows come in the order of their ids
+                later = np.arange(k + 1, len(n)) if x == y else np.flatnonzero(mine == y)
+                fit = (component[later] != component[k]) & _similar_sizes(n[later], n[k], percent)
+                fit &= np.minimum(common[later], common[k]) * (100 + percent) >= (n[later] + n[k]) * percent
+                later = later[fit]
+                later = later[(sketch[later] == sketch[k]).mean(axis=1) >= FLOOR] if len(later) else later
+                ones.append(np.full(len(later), k))
+                twos.append(later)
+            one, two = np.concatenate([*ones, rows[:0]]), np.concatenate([*twos, rows[:0]])
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(np.minimum(one, two))), ids.take(pa.array(np.maximum(one, two)))], ["a", "b"]
+            )
+
+    return run

@@ -66,7 +66,10 @@ _slots: list[np.ndarray] = []
 def _slot_table() -> np.ndarray:
     """The slot of each of the 2^24 byte trigrams; one table per Python worker."""
     if not _slots:
-        _slots.append((mix(np.arange(1 << 24, dtype=np.uint64) + np.uint64(1)) & np.uint64(SLOTS - 1)).astype(np.uint16))
+        table = np.empty(1 << 24, np.uint16)
+        for lo in range(0, 1 << 24, 1 << 20):  # in parts, for the memory of the steps between
+            table[lo : lo + (1 << 20)] = mix(np.arange(lo + 1, lo + (1 << 20) + 1, dtype=np.uint64)) & np.uint64(SLOTS - 1)
+        _slots.append(table)
     return _slots[0]
 
 

@@ -19,6 +19,7 @@ of both classes every score is 0; labels without class are ignored, of several t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.llm.batches import LOWER, Lookup, Words, gather_spans, slices, text_bytes
+from lexivec.scratch import Scratch
 
 #: Labelled texts that the classifier is fitted on at most.
 LABELLED = 40_000
@@ -35,7 +37,7 @@ LABELLED = 40_000
 FOLDS = 3
 #: Bytes of the longest grams.
 ORDER = 6
-#: Grams of the model at most; the rarest are left out beyond it.
+#: Grams of the model at most; beyond it those of the least counts are left out.
 GRAMS = 1 << 21
 #: Absolute discount of Kneser-Ney smoothing.
 DISCOUNT = 0.75
@@ -178,6 +180,17 @@ class Scorer:
         return out
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def _scorer(name: str, model: Ratios) -> Scorer:
+    """The tables of a model, built once per Python worker."""
+    if name not in _scorers:
+        _scorers.clear()
+        _scorers[name] = Scorer(model)
+    return _scorers[name]
+
+
 class Classifier(NamedTuple):
     ratios: Ratios
     weights: np.ndarray  # of the features, the constant last
@@ -205,8 +218,10 @@ _FEATURE_NAMES = ["mean", "passage", "word", "scaled", "toxic"]
 
 
 def _featurer(model):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model.value)
+        scorer = _scorer(name, model.value)
         for batch in batches:
             data, offsets = text_bytes(batch.column(0))
             for lo, hi in slices(offsets):
@@ -234,7 +249,17 @@ def learn(texts: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Clas
         sample.filter("fold > 0").select("text", "toxic").mapInArrow(_counter, "gram bigint, ordinary bigint, toxic bigint")
         .groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
     )
-    top = counts.orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "gram").limit(GRAMS).toArrow()
+    scratch = Scratch(spark, "toxicity")
+    counts = scratch.write(counts.withColumn("n", F.col("ordinary") + F.col("toxic")), "grams")
+    level = F.floor(F.log2("n") * 8).alias("level")
+    least, held = 1 << 62, 0
+    for row in counts.groupBy(level).agg(F.min("n").alias("n"), F.count("*").alias("grams")).orderBy(F.desc("level")).collect():
+        held += row["grams"]
+        if held > GRAMS:
+            break
+        least = row["n"]
+    top = counts.filter(F.col("n") >= least).select("gram", "ordinary", "toxic").toArrow()
+    scratch.drop("grams")
     if len(top) == 0:
         return None
     grams, ordinary, toxic = (top.column(k).to_numpy() for k in range(3))
@@ -252,9 +277,11 @@ def learn(texts: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Clas
 
 
 def _predictor(model):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Classifier | None = model.value
-        scorer = Scorer(m.ratios) if m else None
+        scorer = _scorer(name, m.ratios) if m else None
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for lo, hi in slices(offsets):
@@ -289,10 +316,12 @@ def score_texts(
 
 
 def _sieve(model, place: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows whose text, at ``place``, is not predicted to be toxic."""
         m: Classifier | None = model.value
-        scorer = Scorer(m.ratios) if m else None
+        scorer = _scorer(name, m.ratios) if m else None
         for batch in batches:
             data, offsets = text_bytes(batch.column(place))
             for lo, hi in slices(offsets):

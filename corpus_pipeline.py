@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lexivec.llm import decontaminate, neardup, packing, suffix, toxicity
 from lexivec.scratch import Scratch
 
+#: Bytes of a string that must not occur twice: passages of fifty words and more have them, chance repeats do not.
+PASSAGE = 250
+
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,8 +33,8 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 400 bytes that occur again; whole characters only."""
-    return suffix.cut_texts(docs.select(*COLUMNS)).withColumn(
+    """Texts without the strings of ``PASSAGE`` bytes that occur again; whole characters only."""
+    return suffix.cut_texts(docs.select(*COLUMNS), length=PASSAGE).withColumn(
         "n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint"))
     ).select(*COLUMNS)
 

@@ -49,7 +49,7 @@ def test_pipeline(spark):
             groups = brute.components([(i, t) for i, t, *_ in rows], 5)
             assert sorted(r[0] for r in after) == sorted(i for i, (_, c) in groups.items() if i == c)
         if name == "suffix_dedup":
-            plain = {i: k for i, _, k, _ in brute.without_repeats([(i, t) for i, t, *_ in rows], 400)}
+            plain = {i: k for i, _, k, _ in brute.without_repeats([(i, t) for i, t, *_ in rows], corpus_pipeline.PASSAGE)}
             assert len(after) == len(rows)
             for i, t, *_ in after:
                 assert plain[i].decode(errors="ignore") == t.encode().decode() or len(t.encode()) - len(plain[i]) < 40

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexivec.functions import vectors as vx
 from lexivec.functions.arrays import dense, ragged, rowwise
 from lexivec.operators.ordering import global_rank
+from lexivec.scratch import Scratch
 
 MODEL_CELLS = 4_000_000  # the largest matrix that a task holds whole
 
@@ -166,9 +167,9 @@ def swiglu(a: DataFrame, g: DataFrame, key: str, vec: str, beta: float) -> DataF
     )
 
 
-def sequence_positions(table: DataFrame, group: str, order: str) -> DataFrame:
+def sequence_positions(table: DataFrame, group: str, order: str, scratch: Scratch | None = None) -> DataFrame:
     """Place every row in the sequence of its group: ``pos`` from 0, whatever the length."""
-    return global_rank(table, [order], [group], into="_rank").withColumn("pos", F.col("_rank") - 1).drop("_rank")
+    return global_rank(table, [order], [group], into="_rank", scratch=scratch).withColumn("pos", F.col("_rank") - 1).drop("_rank")
 
 
 def _turn(x: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:

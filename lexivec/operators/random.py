@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import random as rn
 from lexivec.operators.ordering import global_rank
+from lexivec.scratch import Scratch
 
 
 def random_matrix(spark: SparkSession, rows: int, cols: int, fill: Callable[[Column], Column]) -> DataFrame:
@@ -35,7 +36,7 @@ def matrix_rows(cells: DataFrame) -> DataFrame:
     return cells.groupBy("row").agg(F.transform(ordered, lambda c: c["val"]).alias("vec"))
 
 
-def shuffle_rows(table: DataFrame, index: str, seed: int) -> DataFrame:
+def shuffle_rows(table: DataFrame, index: str, seed: int, scratch: Scratch | None = None) -> DataFrame:
     """A reproducible permutation: rows in the order of their own draw, numbered from 1."""
     drawn = table.withColumn("_draw", rn.lehmer_int(F.col(index) + 1, seed))
-    return global_rank(drawn, ["_draw", index], into="position").drop("_draw")
+    return global_rank(drawn, ["_draw", index], into="position", scratch=scratch).drop("_draw")

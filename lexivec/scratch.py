@@ -30,13 +30,25 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Names, writes and drops the intermediate tables of one job."""
+    """Names, writes and drops the intermediate tables of one job.
+
+    As a context manager it drops all of them at the end::
+
+        with Scratch(spark, "rank") as scratch:
+            global_rank(table, ["key"], scratch=scratch).write.parquet(path)
+    """
 
     def __init__(self, spark: SparkSession, job: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/lexivec/{job}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
 
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop("")
+
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from lexivec.functions import text as tx
 from lexivec.functions import vectors as vx
 from lexivec.operators import bpe, codec, corpus, keyed, learn, linear, ordering, tokens, vocab
 from lexivec.plans import tokenizer as plan
+from lexivec.scratch import Scratch
 
 RAW = [b"ab \xff\xfe ab", b"\xff \xfe", b"a\xff b\xfe", b"ab\x00cd12 12", b"caf\xc3\xa9 \x80\x80\x80\x80 12,5", b"", b"\xe2\x82 \xe2\x82\xac abab"]
 
@@ -200,6 +202,18 @@ def test_byte_order_of_strings(spark):
     assert got == sorted(words, key=str.encode)
 
 
+def test_ranks_leave_nothing_behind(spark):
+    frame = spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    with Scratch(spark, "rank") as scratch:
+        ranks = ordering.sorted_rank(frame, "k", "id", scratch=scratch)
+        order = linear.sequence_positions(frame, "k", "id", scratch=scratch)
+        assert [r["rank"] for r in ranks.orderBy("k", "id").collect()] == list(range(1, 101))
+        assert order.agg(F.max("pos")).first()[0] == 14
+        folder = Path(scratch.root.removeprefix("file://"))
+        assert len(list(folder.iterdir())) == 2
+    assert not folder.exists()
+
+
 @pytest.mark.parametrize("leaders", [3, 4096])
 def test_many_merges_a_pass_equal_one_at_a_time(spark, leaders):
     rng = random.Random(8)

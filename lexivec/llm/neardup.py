@@ -301,7 +301,7 @@ def near_duplicates(
     links = scratch.write(confirmed(tried), "links")
     found = components(links, scratch, "first")
 
-    more = scratch.write(confirmed(_across(members, found, own, sketches, width, percent)), "more")
+    more = scratch.write(confirmed(_across(members, found, own, sketches, width, percent, scratch)), "more")
     sides = [found.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in ("a", "b")]
     joins = more.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
         F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")
@@ -336,7 +336,7 @@ def _spread(width: int):
 
 
 def _across(
-    members: DataFrame, found: DataFrame, own: DataFrame, sketches: DataFrame, width: int, percent: int
+    members: DataFrame, found: DataFrame, own: DataFrame, sketches: DataFrame, width: int, percent: int, scratch: Scratch
 ) -> DataFrame:
     """Pairs (a, b) of one region and different components that can have the similarity.
 
@@ -351,7 +351,7 @@ def _across(
     several = placed.groupBy("tree", "prefix").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")
     ).filter("low <> high").select("tree", "prefix", "least")
-    placed = placed.join(several, ["tree", "prefix"])
+    placed = scratch.write(placed.join(several, ["tree", "prefix"]), "placed")
     kind = own.schema["id"].dataType.simpleString()
     open_texts = own.join(placed.select("id").distinct(), "id", "left_semi").select("id", "text")
     alone = open_texts.mapInArrow(_spread(width), f"shingle bigint, id {kind}").groupBy("shingle").agg(
@@ -360,6 +360,7 @@ def _across(
     placed = placed.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     least = F.greatest(F.col("least") * 100, F.col("n") * percent)  # in hundredths
     placed = placed.filter(F.col("common") * (100 + percent) * 100 >= (F.col("n") * 100 + least) * percent)
+    placed = scratch.write(placed.select("tree", "prefix", "label", "id", "n", "component", "common"), "open")
     shares = placed.groupBy("tree", "prefix", "component").agg(F.count("*").alias("m"))
     regions = (
         shares.groupBy("tree", "prefix")

@@ -39,6 +39,8 @@ FOLDS = 3
 ORDER = 6
 #: Grams of the model at most; beyond it those of the least counts are left out.
 GRAMS = 1 << 21
+#: Occurrences of a gram of the model at least.
+LEAST = 2
 #: Absolute discount of Kneser-Ney smoothing.
 DISCOUNT = 0.75
 #: Words of the window whose ratio is a feature.
@@ -258,7 +260,7 @@ def learn(texts: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Clas
         if held > GRAMS:
             break
         least = row["n"]
-    top = counts.filter(F.col("n") >= least).select("gram", "ordinary", "toxic").toArrow()
+    top = counts.filter(F.col("n") >= max(least, LEAST)).select("gram", "ordinary", "toxic").toArrow()
     scratch.drop("grams")
     if len(top) == 0:
         return None

@@ -414,7 +414,8 @@ def _meeting(percent: int):
             ids = table.column("id").combine_chunks()
             mine, n, component, common = (table.column(k).to_numpy() for k in ("mine", "n", "component", "common"))
             sketch = _matrix(table.column("sketch").combine_chunks(), np.uint16)
-            x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
+            x, y, tree = (table.column(k)[0].as_py() for k in ("x", "y", "tree"))
+            labels = sketch.reshape(-1, TREES, LEVELS)
             rows = np.flatnonzero(mine == x)
             ones, twos = [], []
             for k in rows.tolist():  # rows come in the order of their ids
@@ -422,7 +423,11 @@ def _meeting(percent: int):
                 fit = (component[later] != component[k]) & _similar_sizes(n[later], n[k], percent)
                 fit &= np.minimum(common[later], common[k]) * (100 + percent) >= (n[later] + n[k]) * percent
                 later = later[fit]
-                later = later[(sketch[later] == sketch[k]).mean(axis=1) >= FLOOR] if len(later) else later
+                if len(later):
+                    later = later[(sketch[later] == sketch[k]).mean(axis=1) >= FLOOR]
+                    # Two that share whole labels meet in each of those orders; the first of them counts.
+                    whole = (labels[later] == labels[k]).all(axis=2)
+                    later = later[~whole.any(axis=1) | (whole.argmax(axis=1) == tree)]
                 ones.append(np.full(len(later), k))
                 twos.append(later)
             one, two = np.concatenate([*ones, rows[:0]]), np.concatenate([*twos, rows[:0]])

@@ -1,9 +1,15 @@
 """Licence notices by sentence rules, in DataFrame functions.
 
-A text is cut into sentences; a sentence is normalised to lower-case letters and digits with single
-spaces. Known licence sentences have identifiers. The identifiers of a text, in its order, are matched
-against rules: a rule names a licence and the identifiers it needs, in order; other sentences may stand
-between them. The rule with most sentences decides the main licence, the first listed among equals.
+A text is cut into segments at line ends and marks; a segment is normalised to lower-case letters and
+digits with single spaces. Known licence sentences have identifiers; a sentence is one segment or several
+that follow each other, because notices are wrapped at some column and stand behind comment marks, and
+marks stand inside of sentences ("v. 2.0", "SPDX-License-Identifier: MIT"). No sentence goes on over an
+empty segment, nor over a full stop before a capital. The longest of several sentences counts; its
+position is that of its first segment.
+
+The identifiers of a text, in its order, are matched against rules: a rule names a licence and the
+identifiers it needs, in order; other sentences may stand between them. The rule with most sentences
+decides the main licence, the first listed among equals.
 
 Work is per row, nothing is shuffled. Defined results: null and empty texts have no sentences and no
 licence; repeated sentences count once per rule; every row gives a row.
@@ -11,6 +17,8 @@ licence; repeated sentences count once per rule; every row gives a row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,22 +79,49 @@ RULES = [
     ("Proprietary", (26,)),
 ]
 
-#: A sentence ends at a line end, or at one of these marks before white space.
+#: A segment ends at a line end, or at one of these marks before white space.
 BREAK = r"([.!?;:])[ \t\n\x0B\f\r]+"
+#: A sentence ends at one of these marks before a capital; comment marks and quotes may stand between them.
+FULL = r"([.!?])[ \t\n\x0B\f\r]++(?=[^A-Za-z0-9]{0,16}[A-Z])"
+#: A comment mark made of the same marks ends an empty segment that no sentence stops at.
+MARK = r"(^|\n)([ \t]*[.!?;:]+)[ \t]++(?=[^ \t\n\x0B\f\r])"
+
+_STOP, _MARK, _FOUND = "\x01", "\x02", "\x03"  # end of a sentence, of a mark, and start of a known sentence; no normalised text has them
+_ENDS = f"\n{_STOP}{_MARK}"
+
+#: Comment marks made of letters; all others go with the normalisation.
+REMARK = "(?:(?:rem|dnl|c) )?"
+#: Between two words of a sentence.
+GAP = f"(?: |\n{_MARK}?{REMARK})"
+
+
+def _pattern(sentences: dict[int, str]) -> str:
+    """Known sentences that begin and end with segments; the longest is tried first."""
+    longest = sorted(sentences.values(), key=len, reverse=True)
+    known = "|".join(GAP.join(map(re.escape, s.split(" "))) for s in longest)
+    return f"(?<![^{_ENDS}]){REMARK}({known})(?![^{_ENDS}])"
 
 
 def sentence_ids(text: Column, sentences: dict[int, str] | None = None) -> Column:
     """Array of (position, id) of the known sentences of a text."""
     sentences = SENTENCES if sentences is None else sentences
     known = F.create_map(*(F.lit(x) for k, s in sentences.items() for x in (s, k)))
-    lines = F.split(F.regexp_replace(text, BREAK, "$1\n"), "\n")
-    marked = F.transform(
-        lines,
-        lambda s, k: F.struct(
-            k.alias("position"), F.try_element_at(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))).alias("id")
-        ),
-    )
-    return F.filter(F.coalesce(marked, F.array().cast("array<struct<position:int,id:int>>")), lambda m: m.id.isNotNull())
+    pattern = _pattern(sentences)
+    cut = F.regexp_replace(F.translate(text, _STOP + _MARK, "--"), MARK, f"$1$2{_MARK}")
+    cut = F.regexp_replace(F.regexp_replace(cut, FULL, f"$1{_STOP}"), BREAK, "$1\n")
+    plain = F.regexp_replace(F.lower(cut), f"[^a-z0-9{_ENDS}]+", " ")
+    plain = F.trim(F.regexp_replace(plain, f" ?([{_ENDS}]) ?", "$1"))
+
+    def marked(plain: Column) -> Column:
+        segments = F.split(F.regexp_replace(plain, pattern, f"{_FOUND}$1"), f"[{_ENDS}]")
+        begins = F.transform(segments, lambda s, k: F.when(F.startswith(s, F.lit(_FOUND)), k))
+        return F.zip_with(
+            F.filter(begins, lambda k: k.isNotNull()), F.regexp_extract_all(plain, F.lit(pattern), F.lit(1)),
+            lambda k, s: F.struct(k.alias("position"), F.try_element_at(known, F.regexp_replace(s, GAP, " ")).alias("id")),
+        )
+
+    found = F.element_at(F.transform(F.array(plain), marked), 1)  # the normalised text is used twice and made once
+    return F.coalesce(found, F.array().cast("array<struct<position:int,id:int>>"))
 
 
 def scan(

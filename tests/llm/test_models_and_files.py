@@ -2,6 +2,7 @@ import hashlib
 import math
 import os
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -253,3 +254,35 @@ def test_licences(spark):
     assert got[4]["sentence_ids"] == "6,7,8" and got[7]["licences"] == "CC-BY-4.0,Proprietary"
     assert got[1]["first_position"] == 1 and got[2]["first_position"] == -1
     assert licences.scan(table(spark, [])).count() == 0
+
+
+def test_licences_wrapped_and_marked(spark):
+    """Every sentence where notices have it: wrapped, behind comment marks, with marks inside."""
+    known = licences.SENTENCES
+    rows, want = [], {}
+    for k, sentence in known.items():
+        for j, (width, mark) in enumerate([(30, ""), (40, "# "), (75, " * "), (75, "dnl "), (33, "REM ")]):
+            body = "\n".join(mark + line for line in textwrap.wrap(sentence, width))
+            rows.append((100 * k + j, f"{mark}Some heading\n{mark}\n{body}\n{mark}\n{mark}other text"))
+            want[100 * k + j] = (str(k), 2)
+    notices = [
+        ("// SPDX-License-Identifier: MIT\nint x;", "21", "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */", "22", "Apache-2.0"),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", "23", "GPL-3.0"), ("<!-- SPDX-License-Identifier: BSD-3-Clause -->", "24", "BSD-3-Clause"),
+        (" * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed\n", "25", "MPL-2.0"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy\r\nof this software and associated documentation files (the \"Software\"), to deal\r\nin the Software without restriction, including without limitation the rights\r\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\r\ncopies of the Software, and to permit persons to whom the Software is\r\nfurnished to do so, subject to the following conditions:\r\n\r\nThe above copyright notice and this permission notice shall be included in all\r\ncopies or substantial portions of the Software.\r\n", "3,4", "MIT"),
+        ("    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n", "10,11", "GPL-3.0"),
+        ("; This program is free software; you can redistribute it and/or modify\n; it under the terms of the GNU General Public License as published by\n; the Free Software Foundation; either version 2 of the License, or\n; (at your option) any later version.\n", "10,12", "GPL-2.0"),
+        ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", "18,19", "BSD-3-Clause"),
+        ("# Licensed under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except\n# in compliance with the License. You may obtain a\n# copy of the License at\n#\n#  http", "6,7,8", "Apache-2.0"),
+        ("This is free and unencumbered software released into\nthe public domain.", "20", "Unlicense"),
+        # No sentence goes on over a full stop, an empty line or other words.
+        ("Licensed under the Apache License, Version 2.0. The License", "5", "Apache-2.0"), ("All rights\n\nreserved", "", None),
+        ("All rights\nnot\nreserved", "", None), ("SPDX-License-Identifier: MIT OR Zlib", "", None), ("all\x01rights\x02reserved", "26", "Proprietary"),
+    ]
+    for k, (text, ids, _) in enumerate(notices):
+        rows.append((k, text))
+        want[k] = (ids, None)
+    got = {r["doc_id"]: r for r in licences.scan(table(spark, [(i, t, None, "s") for i, t in rows])).collect()}
+    assert {i: r["sentence_ids"] for i, r in got.items()} == {i: ids for i, (ids, _) in want.items()}
+    assert all(got[i]["first_position"] == at for i, (_, at) in want.items() if at is not None)
+    assert [got[k]["licence"] for k in range(len(notices))] == [licence for _, _, licence in notices]

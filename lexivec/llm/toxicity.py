@@ -4,6 +4,7 @@ A word is predicted byte by byte from the ``ORDER - 1`` bytes before it; the bor
 Each class has its own counts of the longest grams. Both back off to one shared Kneser-Ney model: the
 pooled counts of the longest grams and, below them, numbers of different continuations in all labelled
 texts, so an expression that only one class has, or a new ending of a known stem, has a probability in both.
+All grams take part in these numbers, also those whose own ratios are too many to send.
 
 What a class model adds over the other is a log-likelihood ratio per byte; a word's ratio is its sum over
 the bytes. Features of a text are its length-normalised ratio (the mean over its words), the greatest
@@ -37,10 +38,8 @@ LABELLED = 40_000
 FOLDS = 3
 #: Bytes of the longest grams.
 ORDER = 6
-#: Grams of the model at most; beyond it those of the least counts are left out.
+#: Grams, and contexts, that are sent to the tasks at most; beyond it the ratios of the least counts are not sent.
 GRAMS = 1 << 21
-#: Occurrences of a gram of the model at least.
-LEAST = 2
 #: Absolute discount of Kneser-Ney smoothing.
 DISCOUNT = 0.75
 #: Words of the window whose ratio is a feature.
@@ -139,6 +138,84 @@ def ratios(grams: np.ndarray, ordinary: np.ndarray, toxic: np.ndarray) -> Ratios
     return Ratios(grams, (logs[2] - logs[1]).astype(np.float32), context, (backs[2] - backs[1]).astype(np.float32))
 
 
+def shared_ratios(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``ratios`` of (gram, ordinary, toxic, n) as two frames: (gram, known, n) and (context, new, n)."""
+
+    def smoothed(n: Column, total: Column, different: Column, base: Column) -> Column:
+        seen = F.greatest(n - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1))
+        return seen + F.when(total > 0, DISCOUNT * different / total).otherwise(1.0) * base
+
+    def suffix(order: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << (8 * order)) - 1).cast("bigint"))
+
+    context = F.shiftright("gram", 8).alias("context")
+    shorts = {ORDER: counts}
+    for order in range(ORDER - 1, 0, -1):  # numbers of different bytes before
+        short = shorts[order + 1].groupBy(suffix(order).alias("gram")).agg(F.count("*").alias("n"))
+        shorts[order] = scratch.write(short, f"short{order}")
+    base = None
+    for order in range(1, ORDER):
+        level = shorts[order].withColumn("context", context).withColumn("less", suffix(order - 1))
+        sums = level.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("different"))
+        level = level.join(sums, "context")
+        level = level.withColumn("base", F.lit(1 / 256)) if base is None else level.join(base, "less")
+        prob = smoothed(F.col("n"), F.col("total"), F.col("different"), F.col("base")).alias("base")
+        base = scratch.write(level.select(F.col("gram").alias("less"), prob), f"base{order}")
+    names = ["n", "ordinary", "toxic"]
+    sums = scratch.write(
+        counts.groupBy(context).agg(
+            *(F.sum(k).alias(f"total_{k}") for k in names), *(F.sum((F.col(k) > 0).cast("int")).alias(f"different_{k}") for k in names)
+        ),
+        "contexts",
+    )
+    grams = counts.withColumn("context", context).withColumn("less", suffix(ORDER - 1)).join(sums, "context").join(base, "less")
+
+    def prob(k: str, base: Column) -> Column:
+        return smoothed(F.col(k), F.col(f"total_{k}"), F.col(f"different_{k}"), base)
+
+    pooled = prob("n", F.col("base"))
+    known = F.log(prob("toxic", pooled)) - F.log(prob("ordinary", pooled))
+    back = {k: F.when(F.col(f"total_{k}") > 0, DISCOUNT * F.col(f"different_{k}") / F.col(f"total_{k}")).otherwise(1.0) for k in names}
+    new = F.log(back["toxic"]) - F.log(back["ordinary"])
+    return grams.select("gram", known.alias("known"), "n"), sums.select("context", new.alias("new"), F.col("total_n").alias("n"))
+
+
+def _least(counted: DataFrame) -> tuple[int, bool]:
+    """The least ``n`` of the rows that fit into ``GRAMS``, the most frequent first, and whether all fit."""
+    level = F.floor(F.log2("n") * 8).alias("level")
+    least, held = 1 << 62, 0
+    for row in counted.groupBy(level).agg(F.min("n").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("level")).collect():
+        held += row["rows"]
+        if held > GRAMS:
+            return least, False
+        least = row["n"]
+    return least, True
+
+
+def _sent(frame: DataFrame, scratch: Scratch, name: str) -> list[np.ndarray]:
+    """Two columns, in the order of the first, of the rows that fit into ``GRAMS``."""
+    frame = scratch.write(frame, name)
+    rows = frame.filter(F.col("n") >= _least(frame)[0]).drop("n").toArrow()
+    keys, values = (rows.column(k).to_numpy() for k in range(2))
+    order = np.argsort(keys)
+    return [keys[order].view(np.uint64), values[order].astype(np.float32)]
+
+
+def model_ratios(counts: DataFrame, scratch: Scratch) -> Ratios | None:
+    """The ratios of counted grams (gram, ordinary, toxic, n); None without grams of both classes."""
+    if _least(counts)[1]:
+        every = counts.select("gram", "ordinary", "toxic").toArrow()
+        grams, ordinary, toxic = (every.column(k).to_numpy() for k in range(3))
+        if not (ordinary.any() and toxic.any()):
+            return None
+        return ratios(grams.view(np.uint64), ordinary.astype(np.float64), toxic.astype(np.float64))
+    both = counts.agg(F.max("ordinary"), F.max("toxic")).first()
+    if not (both[0] and both[1]):
+        return None
+    known, new = shared_ratios(counts, scratch)
+    return Ratios(*_sent(known, scratch, "known"), *_sent(new.filter("new <> 0"), scratch, "new"))
+
+
 class Scorer:
     """Ratios in lookup tables."""
 
@@ -253,21 +330,10 @@ def learn(texts: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Clas
     )
     scratch = Scratch(spark, "toxicity")
     counts = scratch.write(counts.withColumn("n", F.col("ordinary") + F.col("toxic")), "grams")
-    level = F.floor(F.log2("n") * 8).alias("level")
-    least, held = 1 << 62, 0
-    for row in counts.groupBy(level).agg(F.min("n").alias("n"), F.count("*").alias("grams")).orderBy(F.desc("level")).collect():
-        held += row["grams"]
-        if held > GRAMS:
-            break
-        least = row["n"]
-    top = counts.filter(F.col("n") >= max(least, LEAST)).select("gram", "ordinary", "toxic").toArrow()
-    scratch.drop("grams")
-    if len(top) == 0:
-        return None
-    grams, ordinary, toxic = (top.column(k).to_numpy() for k in range(3))
-    if not (ordinary.any() and toxic.any()):
+    model = model_ratios(counts, scratch)
+    scratch.drop("")
+    if model is None:
         return None
-    model = ratios(grams.view(np.uint64), ordinary.astype(np.float64), toxic.astype(np.float64))
     shared = spark.sparkContext.broadcast(model)
     rows = sample.filter("fold = 0").select("text", "toxic").mapInArrow(_featurer(shared), ", ".join(f"{k} double" for k in _FEATURE_NAMES[:-1]) + ", toxic int").toArrow()
     shared.destroy()

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import llm_brute as brute
 from lexivec.llm import language, lattice, licences, lmscore, matroska, packing, toxicity
+from lexivec.scratch import Scratch
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score int, held string"
 
@@ -245,6 +246,39 @@ def test_best_fit_takes_the_tightest_compatible_bin():
     assert bins.find(41, 3, 0) is None
 
 
+def test_ratios_of_all_grams(spark, monkeypatch):
+    """Rare grams count, and what is sent of too many grams has the ratios of all."""
+    rng = np.random.default_rng(8)
+    word = rng.integers(97, 101, (3000, toxicity.ORDER)).astype(np.uint64)
+    grams, n = np.unique((word << np.arange(0, 48, 8, dtype=np.uint64)).sum(axis=1, dtype=np.uint64), return_counts=True)
+    toxic = rng.binomial(n, 0.3)
+    rows = [(int(g), int(k - t), int(t), int(k)) for g, k, t in zip(grams, n, toxic, strict=True)]
+    assert (n == 1).sum() > 500
+    counts = spark.createDataFrame(rows, "gram bigint, ordinary bigint, toxic bigint, n bigint").localCheckpoint()
+    want = toxicity.ratios(grams, (n - toxic).astype(float), toxic.astype(float))
+    every = toxicity.model_ratios(counts, Scratch(spark, "test"))
+    assert all(np.array_equal(x, y) for x, y in zip(every, want, strict=True)) and len(every.grams) == len(grams)
+    monkeypatch.setattr(toxicity, "GRAMS", 900)
+    some = toxicity.model_ratios(counts, Scratch(spark, "test"))
+    assert 0 < len(some.grams) <= 900 and 0 < len(some.contexts) <= 900
+    assert np.allclose(some.known, want.known[np.searchsorted(want.grams, some.grams)], atol=1e-5)
+    assert np.allclose(some.new, want.new[np.searchsorted(want.contexts, some.contexts)], atol=1e-5)
+    known, new = toxicity.shared_ratios(counts, Scratch(spark, "test"))
+    assert np.allclose([r["known"] for r in known.orderBy("gram").collect()], want.known, atol=1e-5)
+    assert np.allclose([r["new"] for r in new.orderBy("context").collect()], want.new, atol=1e-5)
+
+
+def test_rare_grams_are_learned(spark):
+    """Texts whose words stand once in the labelled texts still give a model."""
+    texts = table(spark, [(k, " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{j}x" for j in range(4)), None, "s") for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.learn(texts, labels)
+    fold = F.pmod(F.shiftright(F.xxhash64("doc_id"), 7), F.lit(toxicity.FOLDS))
+    learned = [r["text"] for r in texts.filter(fold > 0).collect()]
+    grams = {("\x01" * 5 + w + "\x02")[k : k + 6] for text in learned for w in text.split() for k in range(len(w) + 1)}
+    assert model is not None and len(model.ratios.grams) == len(grams) > 400
+
+
 def test_licences(spark):
     mit = licences.SENTENCES
     rows = [(1, "Hello there. Released under the MIT License. Bye."), (2, None), (3, ""), (4, "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n http"),

@@ -3,7 +3,8 @@
 A document is the set of its distinct word shingles. Documents with equal sets form a class and go on
 as its smallest id. ``TREES`` orders sort the classes by a label of ``LEVELS`` MinHash values of 16 bits;
 neighbours in an order whose labels share a prefix of ``DEPTH`` values or more are candidates. Range
-partitions sort the orders, so equal labels of any number are spread over many tasks.
+partitions sort the orders, so equal labels of any number are spread over many tasks; the first and last
+rows of the partitions are compared as well, so no pair and no region is lost where two of them meet.
 
 * Estimate: candidates whose signatures agree in less than ``FLOOR`` of their values are left. A pair
   at the threshold is lost with a probability of about 2e-5.
@@ -25,9 +26,11 @@ rows with a null id have a null component and are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,9 +157,12 @@ def _similar_sizes(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 def _neighbours(percent: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of a sorted partition: pairs of neighbours (b is set) and members of regions (b is null)."""
+        """Of a sorted partition: pairs of neighbours (b is set), members of regions (b is null), and its ends.
+
+        The ends have the number of their partition, and whether they are members in it.
+        """
         table = pa.Table.from_batches(list(batches), None) if (batches := list(batches)) else None
-        if table is None or len(table) < 2:
+        if table is None or len(table) == 0:
             return
         table = table.combine_chunks()
         tree, n = (table.column(k).to_numpy() for k in ("tree", "n"))
@@ -167,25 +173,52 @@ def _neighbours(percent: int, id_type: pa.DataType):
         member = np.zeros(len(table), bool)
         member[1:] |= near
         member[:-1] |= near
-        at = np.flatnonzero(member)
-        prefix = np.ascontiguousarray(label[at][:, :DEPTH])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(tree[at]), _fixed(prefix), _fixed(label[at]), ids.take(pa.array(at)),
-             pa.nulls(len(at), id_type), pa.array(n[at])],
-            ["tree", "prefix", "label", "a", "b", "n"],
-        )
+        names = ["tree", "prefix", "label", "a", "b", "n", "part", "inside"]
+        ends = np.unique([0, len(table) - 1])
+        for at, part in ((np.flatnonzero(member), None), (ends, TaskContext.get().partitionId())):
+            prefix = np.ascontiguousarray(label[at][:, :DEPTH])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tree[at]), _fixed(prefix), _fixed(label[at]), ids.take(pa.array(at)),
+                 pa.nulls(len(at), id_type), pa.array(n[at]), pa.array([part] * len(at), pa.int32()), pa.array(member[at])],
+                names,
+            )
         at = np.flatnonzero(near & _similar_sizes(n[1:], n[:-1], percent))
         one, two = ids.take(pa.array(at)), ids.take(pa.array(at + 1))
         swap = pa.compute.greater(one, two)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()),
-             pa.compute.if_else(swap, two, one), pa.compute.if_else(swap, one, two), pa.nulls(len(at), pa.int64())],
-            ["tree", "prefix", "label", "a", "b", "n"],
+             pa.compute.if_else(swap, two, one), pa.compute.if_else(swap, one, two), pa.nulls(len(at), pa.int64()),
+             pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.bool_())],
+            names,
         )
 
     return run
 
 
+def _proposed(orders: DataFrame, percent: int, id_type: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Of sorted range partitions: members of regions (tree, prefix, label, id, n) and pairs (a, b) of neighbours."""
+    arrow_id = {"bigint": pa.int64(), "int": pa.int32()}[id_type]
+    kinds = f"tree int, prefix binary, label binary, a {id_type}, b {id_type}, n bigint, part int, inside boolean"
+    near = scratch.write(orders.mapInArrow(_neighbours(percent, arrow_id), kinds), "neighbours")
+    members = near.filter("b is null and part is null").select("tree", "prefix", "label", F.col("a").alias("id"), "n")
+    pairs = near.filter("b is not null").select("a", "b")
+    ends = near.filter("part is not null").drop("b").collect()  # two rows a partition
+    ends.sort(key=lambda r: (r["tree"], bytes(r["label"]), r["a"], r["part"]))
+    entered, met = {}, set()
+    for k, (x, y) in enumerate(pairwise(ends)):
+        if x["part"] != y["part"] and x["tree"] == y["tree"] and x["prefix"] == y["prefix"]:
+            entered |= {j: r for j, r in ((k, x), (k + 1, y)) if not r["inside"]}
+            if min(x["n"], y["n"]) * 100 >= max(x["n"], y["n"]) * percent:
+                met.add((min(x["a"], y["a"]), max(x["a"], y["a"])))
+    spark = orders.sparkSession
+    if entered:
+        rows = [(r["tree"], bytes(r["prefix"]), bytes(r["label"]), r["a"], r["n"]) for r in entered.values()]
+        members = members.unionByName(spark.createDataFrame(rows, members.schema))
+    if met:
+        pairs = pairs.unionByName(spark.createDataFrame(sorted(met), pairs.schema))
+    return members, pairs.distinct()
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         one, two = (_matrix(batch.column(k), np.uint16) for k in (2, 3))
@@ -255,14 +288,7 @@ def near_duplicates(
     )
     orders = classes.select("id", "n", "sketch").mapInArrow(_orders, f"tree int, label binary, id {id_type}, n bigint")
     sorted_orders = orders.repartitionByRange("tree", "label", "id").sortWithinPartitions("tree", "label", "id")
-    near = scratch.write(
-        sorted_orders.mapInArrow(
-            _neighbours(percent, arrow_id), f"tree int, prefix binary, label binary, a {id_type}, b {id_type}, n bigint"
-        ),
-        "neighbours",
-    )
-    members = near.filter("b is null").select("tree", "prefix", "label", F.col("a").alias("id"), "n")
-    candidates = near.filter("b is not null").select("a", "b").distinct()
+    members, candidates = _proposed(sorted_orders, percent, id_type, scratch)
 
     sketches = classes.select("id", "sketch")
 

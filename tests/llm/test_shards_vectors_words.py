@@ -122,10 +122,10 @@ def test_shards(spark, partitions):
         groups[t or ""] += len((t or "").encode()) + 1
     groups = sorted(groups.values(), reverse=True)
     assert sorted(sizes.values()) == sorted(loads(groups, sharding.even(groups, 16)).values())
-    # Groups above an equal share stand alone; the others differ by less than one group.
+    # Groups above an equal share stand alone; the others differ by less than two groups.
     alone = [n for n in groups if n > sum(groups) / 16]
     others = sorted(n for n in sizes.values() if n not in alone)
-    assert len(others) + len(alone) == 16 and others[-1] - others[0] <= max(n for n in groups if n not in alone)
+    assert len(others) + len(alone) == 16 and others[-1] - others[0] < 2 * max(n for n in groups if n not in alone)
 
 
 @pytest.mark.parametrize("capacity", [500, 12_000, 10**9])

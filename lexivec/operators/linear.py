@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
 from lexivec.functions.arrays import dense, ragged, rowwise
+from lexivec.operators import blocks
 from lexivec.operators.ordering import global_rank
 from lexivec.scratch import Scratch
 
@@ -47,58 +46,54 @@ def matrix_shape(cells: DataFrame) -> tuple[int, int]:
     return int(top[0]) + 1, int(top[1]) + 1
 
 
-def small_matrix(cells: DataFrame) -> np.ndarray | None:
-    """A ``(row, col, val)`` matrix as an array, or None when it exceeds the size a task may hold."""
-    shape = matrix_shape(cells)
-    return _block(cells, 0, *shape) if shape[0] * shape[1] <= MODEL_CELLS else None
-
-
-def _block(cells: DataFrame, first: int, rows: int, cols: int) -> np.ndarray:
-    """Some rows of a matrix; absent cells are 0."""
-    wanted = cells.filter((F.col("row") >= first) & (F.col("row") < first + rows))
-    found = wanted.select(F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col("val").cast("double")).toArrow()
+def small_matrix(cells: DataFrame) -> np.ndarray:
+    """A ``(row, col, val)`` matrix as an array; fails when it exceeds the size that a task may hold."""
+    rows, cols = matrix_shape(cells)
+    if rows * cols > MODEL_CELLS:
+        raise ValueError(f"a matrix of {rows} x {cols} exceeds {MODEL_CELLS} cells; take products in blocks (matmul)")
+    found = cells.select(F.col("row").cast("bigint"), F.col("col").cast("bigint"), F.col("val").cast("double")).toArrow()
     matrix = np.zeros((rows, cols))
     at = [found.column(k).to_numpy() for k in range(3)]
-    matrix[at[0] - first, at[1]] = at[2]
+    matrix[at[0], at[1]] = at[2]
     return matrix
 
 
-def matmul(table: DataFrame, cells: DataFrame, key: str, vec: str, block_cells: int = MODEL_CELLS) -> DataFrame:
+def matmul(
+    table: DataFrame, cells: DataFrame, key: str, vec: str, block_cells: int = blocks.BLOCK_CELLS,
+    broadcast_cells: int = blocks.BROADCAST_CELLS,
+) -> DataFrame:
     """Product of a ``(row, col, val)`` matrix with every vector, in long form ``(key, row, val)``.
 
-    The matrix is taken in blocks of whole rows of at most ``block_cells`` cells (one row at least),
-    and every block goes to the tasks of one narrow scan; the vectors are never shuffled. A row
-    without cells gives 0, a NULL vector no rows, a NULL element NaN; a vector whose length is not
-    the number of columns fails.
+    Both sides are cut into blocks of about ``block_cells`` numbers, which meet in Spark by block number: a
+    matrix of at most ``broadcast_cells`` goes to every task and the vectors are never shuffled, a larger one is
+    dealt over the tasks, and so are the vectors' blocks. A row without cells gives 0, a NULL vector no rows, a
+    NULL element NaN; a vector whose length is not the number of columns fails.
     """
-    rows, cols = matrix_shape(cells)
-    step = max(1, block_cells // cols)
-    parts = []
-    for first in range(0, rows, step):
-        weights = _block(cells, first, min(step, rows - first), cols)
+    return blocks.block_product(table, cells, *matrix_shape(cells), key, vec, block_cells, broadcast_cells)
 
-        def apply(x: np.ndarray, weights: np.ndarray = weights) -> np.ndarray:
-            if x.shape[1] != weights.shape[1]:
-                raise ValueError(f"a vector of {x.shape[1]} elements meets a matrix of {weights.shape[1]} columns")
-            return x.astype(np.float64) @ weights.T
 
-        part = table.select(key, F.posexplode_outer(rowwise(apply)(F.col(vec))).alias("row", "val"))
-        parts.append(part.filter("row is not null").withColumn("row", F.col("row") + first))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def matmul_by_join(table: DataFrame, cells: DataFrame, key: str, vec: str) -> DataFrame:
+def matmul_by_join(
+    table: DataFrame, cells: DataFrame, key: str, vec: str, broadcast_cells: int = blocks.BROADCAST_CELLS
+) -> DataFrame:
     """The product with a sparse matrix in long form: equi-join on the column, partial sums before the shuffle.
 
     Only rows with cells appear, and an absent cell has no part in a sum, also where the element is not
-    finite. A vector whose length is not the number of columns fails, a NULL element counts as NaN.
+    finite. A vector whose length is not the number of columns fails, a NULL element counts as NaN. Every vector has every
+    column, so beyond ``broadcast_cells`` cells the columns are salted by the key and the cells repeated per salt.
     """
-    _, cols = matrix_shape(cells)
+    top = cells.agg(F.max("col"), F.count(F.lit(1))).first()
+    if top[0] is None:
+        raise ValueError("the matrix has no cells")
+    cols = int(top[0]) + 1
     checked = F.when(F.size(vec) == cols, F.col(vec)).when(
         F.col(vec).isNotNull(), F.raise_error(F.lit(f"a vector does not have {cols} elements"))
     )
-    x = table.select(key, F.posexplode(checked).alias("col", "x"))
-    products = x.join(cells.select("row", "col", "val"), "col").select(
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = 1 if top[1] <= broadcast_cells else max(1, -(-tasks // cols))
+    x = table.select(key, F.pmod(F.xxhash64(key), F.lit(salts)).alias("salt"), F.posexplode(checked).alias("col", "x"))
+    sparse = cells.select("row", "col", "val", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    sparse = F.broadcast(sparse) if top[1] <= broadcast_cells else sparse
+    products = x.join(sparse, ["col", "salt"]).select(
         key, F.col("row").cast("int").alias("row"), (F.coalesce(F.col("x").cast("double"), F.lit(float("nan"))) * F.col("val")).alias("p")
     )
     return products.groupBy(key, "row").agg(F.sum("p").alias("val"))
@@ -283,61 +278,40 @@ def gated_ffn(
     return table.select(key, rowwise(block)(F.col(vec)).alias(vec))
 
 
-def _best(held: pa.Table, key: str, k: int) -> pa.Table:
-    """The ``k`` best rows, smaller keys first on ties."""
-    return held.take(pc.sort_indices(held, [("score", "descending"), (key, "ascending")])[:k])
+def _scored(
+    table: DataFrame, queries: DataFrame, key: str, vec: str, query: str, k: int, block_cells: int, broadcast_cells: int
+) -> DataFrame:
+    normal = queries.filter(F.col(vec).isNotNull()).select(
+        query, vx.rmsnorm(F.col(vec), F.transform(vec, lambda _: F.lit(1.0))).alias("_q")
+    )
+    total = normal.agg(F.coalesce(F.sum(F.size("_q")), F.lit(0))).first()[0]
+    return blocks.block_scores(table, normal, key, vec, query, "_q", k, block_cells, total, broadcast_cells)
 
 
 def tied_scoring(
-    table: DataFrame, queries: DataFrame, key: str, vec: str, query: str, k: int, block_cells: int = MODEL_CELLS // 16
+    table: DataFrame, queries: DataFrame, key: str, vec: str, query: str, k: int, block_cells: int = blocks.BLOCK_CELLS,
+    broadcast_cells: int = blocks.BROADCAST_CELLS,
 ) -> DataFrame:
     """The ``k`` rows with the largest inner product for each normalised query vector.
 
-    The queries are cut into blocks of about ``block_cells`` numbers. A block goes to every task of one narrow
-    scan, which keeps its own ``k`` best rows per query; only those are shuffled, the table never is.
-    Keys and queries may have any type; ties go to the smaller key. NULL vectors are left out.
+    Vectors and queries are cut into blocks of about ``block_cells`` numbers that meet in Spark. Every task keeps its
+    own ``k`` best rows per query, and only those are shuffled; queries of at most ``broadcast_cells`` numbers go to
+    every task and the table stays where it is, more of them are dealt over the tasks with the table's blocks.
+    Keys and queries may have any type; ties go to the smaller key. NULL vectors and NaN scores are left out.
     """
-    normal = queries.filter(F.col(vec).isNotNull()).select(
-        F.col(query).alias("_query"), vx.rmsnorm(F.col(vec), F.transform(vec, lambda _: F.lit(1.0))).alias("_q")
-    )
-    total = normal.agg(F.coalesce(F.sum(F.size("_q")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_cells))
-    kind, query_kind = (d.schema[c].dataType.simpleString() for d, c in ((table, key), (queries, query)))
-    parts = []
-    for number in range(blocks):
-        mine = normal.filter(F.pmod(F.xxhash64("_query"), F.lit(blocks)) == number) if blocks > 1 else normal
-        rows = mine.toArrow().combine_chunks()
-        wanted, _ = dense(rows.column("_q").combine_chunks()) if len(rows) else (np.empty((0, 0)), None)
-        names = rows.column("_query").combine_chunks() if len(rows) else pa.array([])
-
-        def scan(
-            batches: Iterator[pa.RecordBatch], wanted: np.ndarray = wanted, names: pa.Array = names
-        ) -> Iterator[pa.RecordBatch]:
-            held: list[pa.Table | None] = [None] * len(names)
-            for batch in batches:
-                matrix, missing = dense(batch.column(1))
-                if not matrix.size or not len(names):
-                    continue
-                if matrix.shape[1] != wanted.shape[1]:
-                    raise ValueError(f"vectors of {matrix.shape[1]} elements meet queries of {wanted.shape[1]}")
-                ids = batch.column(0).filter(pa.array(~missing))
-                scores = matrix.astype(np.float64) @ wanted.T
-                for n in range(len(names)):
-                    mark = np.partition(scores[:, n], len(ids) - k)[len(ids) - k] if len(ids) > k else -np.inf
-                    at = np.flatnonzero(scores[:, n] >= mark)
-                    new = pa.table({key: ids.take(pa.array(at)), "score": scores[at, n]})
-                    held[n] = _best(new if held[n] is None else pa.concat_tables([held[n], new]), key, k)
-            for n, best in enumerate(held):
-                if best is not None:
-                    best = best.combine_chunks()
-                    yield pa.RecordBatch.from_arrays(
-                        [names.take(pa.array([n] * len(best))), *(c.combine_chunks() for c in best.columns)], [query, key, "score"]
-                    )
-
-        parts.append(table.select(key, vec).mapInArrow(scan, f"{query} {query_kind}, {key} {kind}, score double"))
+    best = _scored(table, queries, key, vec, query, k, block_cells, broadcast_cells).filter("met is null")
     order = Window.partitionBy(query).orderBy(F.desc("score"), key)
-    best = reduce(DataFrame.unionByName, parts)
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = best.select(query, key, "score", F.row_number().over(order).alias("rank"))
+    return ranked.filter(F.col("rank") <= k)
+
+
+def scoring_skips(
+    table: DataFrame, queries: DataFrame, key: str, vec: str, query: str, k: int, block_cells: int = blocks.BLOCK_CELLS
+) -> DataFrame:
+    """One row ``(met, skipped)``: meetings of a query and a block of vectors, and those that its norm bound ruled out."""
+    counts = _scored(table, queries, key, vec, query, k, block_cells, blocks.BROADCAST_CELLS)
+    zero = F.lit(0).cast("bigint")
+    return counts.agg(F.coalesce(F.sum("met"), zero).alias("met"), F.coalesce(F.sum("skipped"), zero).alias("skipped"))
 
 
 def table_reconcile(a: DataFrame, b: DataFrame, key: str, value: str, significand: int, single: bool = False) -> DataFrame:

@@ -124,6 +124,16 @@ def matmul_by_join(spark, sf):
     return out.select("vec_id", F.col("row").cast("int").alias("row"), r6("val").alias("val"))
 
 
+BLOCKED_ROWS, BLOCKED_CELLS = 80, 1024  # a matrix of three by two blocks
+
+
+def matmul_blocks(spark, sf):
+    """A matrix of several blocks; its blocks and those of the vectors are dealt over the tasks."""
+    weights = rd.xavier_matrix(spark, BLOCKED_ROWS, WIDTH, SEED)
+    out = linear.matmul(vectors_of(spark, sf), weights, "vec_id", "embedding", BLOCKED_CELLS, broadcast_cells=0)
+    return out.withColumn("val", r6("val"))
+
+
 def residual_add(spark, sf):
     a = vectors_of(spark, sf).select("vec_id", "embedding")
     return cells(linear.residual_add(a, flipped(a), "vec_id", "embedding"), "vec_id", "embedding")
@@ -269,6 +279,20 @@ def tied_scoring(spark, sf):
     return out.withColumn("score", r6("score"))
 
 
+def search_queries(spark, sf):
+    """Every vector whose id 50 divides is a query."""
+    wanted = vectors_of(spark, sf).filter("vec_id % 50 = 0")
+    return wanted.select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+def scoring_blocks(spark, sf):
+    """The stated queries against all vectors; blocks of both are dealt over the tasks."""
+    base = vectors_of(spark, sf).select("vec_id", "embedding")
+    queries = search_queries(spark, sf)
+    out = linear.tied_scoring(base, queries, "vec_id", "embedding", "query_id", TOP, BLOCKED_CELLS, broadcast_cells=0)
+    return out.withColumn("score", r6("score"))
+
+
 def table_reconcile(spark, sf):
     orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
     paid = (1 - F.col("l_discount")) * (1 + F.col("l_tax")) * F.col("l_extendedprice")
@@ -296,8 +320,8 @@ QUERIES = {f"quant_{fmt}": _codes(fmt) for fmt in fm.FORMATS} | {f"dequant_{fmt}
 } | {
     f.__name__: f
     for f in (
-        quant_overflow, quant_q8, dequant_q8, quant_matrix, quant_error, type_footprint, shape_check, row_view, fill_matrix, matmul,
-        matmul_by_join, residual_add, rmsnorm, softmax, softmax_by_group, argmax_topk, activation_profile,
+        quant_overflow, quant_q8, dequant_q8, quant_matrix, quant_error, type_footprint, shape_check, row_view, fill_matrix, matmul, matmul_blocks,
+        matmul_by_join, scoring_blocks, residual_add, rmsnorm, softmax, softmax_by_group, argmax_topk, activation_profile,
         activation_gradients, swiglu, embedding_lookup, rotary, rotary_inverse, causal_attention, attention_block, gated_ffn, tied_scoring,
         table_reconcile, reconcile_single, clamp_columns,
     )
@@ -402,6 +426,17 @@ ORACLES = {f"quant_{n}": f"WITH {BITS} SELECT vec_id, j::INT AS j, {c} AS code F
         f"WITH {CELLS_SQL}, {xavier_sql('m', CLASSES, WIDTH, SEED)} SELECT vec_id, i AS row, {q6('sum(x * w)')} AS val "
         "FROM cells JOIN m USING (j) GROUP BY vec_id, i"
     ),
+    "matmul_blocks": (
+        f"WITH {CELLS_SQL}, {xavier_sql('m', BLOCKED_ROWS, WIDTH, SEED)} SELECT vec_id, i AS row, {q6('sum(x * w)')} AS val "
+        "FROM cells JOIN m USING (j) GROUP BY vec_id, i"
+    ),
+    "scoring_blocks": (
+        f"WITH {CELLS_SQL}, qn AS (SELECT vec_id AS query_id, j, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id) / 64.0 + 1e-6) AS m "
+        "FROM cells WHERE vec_id % 50 = 0), "
+        "sc AS (SELECT query_id, vec_id, sum(x * m) AS score FROM cells JOIN qn USING (j) GROUP BY query_id, vec_id), "
+        "r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc) "
+        f"SELECT query_id, vec_id, {q6('score')} AS score, rank::INT AS rank FROM r WHERE rank <= {TOP}"
+    ),
     "residual_add": (
         f"WITH {CELLS_SQL} SELECT a.vec_id, a.j::INT AS j, {q6('a.x + b.x')} AS val FROM cells a "
         "JOIN cells b ON a.vec_id = b.vec_id AND b.j = 63 - a.j"

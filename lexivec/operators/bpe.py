@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from lexivec.scratch import Scratch
 
 DEFAULT_MERGES = 10  # fixed value: what a request below one merge falls back to
 AHEAD = 16  # merges that one pass plans
+CHANGES = 1 << 18  # changed pairs that wait on the driver at most
 MERGE_SCHEMA = "rank int, a string, b string, freq bigint"
 
 
@@ -84,13 +86,46 @@ def _changes(words: DataFrame, steps: list[_Step]) -> DataFrame:
     return sy.pair_rows(both, "n", "step").groupBy("step", "pair").agg(F.sum("n").alias("n")).filter("n <> 0")
 
 
+class PairTable:
+    """The counts of all pairs as a stored table, kept up to date by the changes of merges.
+
+    The words are counted once. A merge subtracts the pairs of the words that it touches and adds those of
+    the merged words; these changes are few, are kept until the table is next read, and are then added up with
+    it by pair. So the counts after any number of merges cost a pass over the pairs, not over the words.
+    """
+
+    def __init__(self, words: DataFrame, scratch: Scratch):
+        self.scratch, self.turn = scratch, 0
+        self.rows = scratch.write(pair_counts(words), "pairs-0")
+        self.changes: dict[str, int] = {}
+
+    def note(self, changes: list) -> None:
+        """Take in the ``(pair, n)`` rows of a merge."""
+        for row in changes:
+            self.changes[row["pair"]] = self.changes.get(row["pair"], 0) + row["n"]
+        if len(self.changes) > CHANGES:
+            self.counts()
+
+    def counts(self) -> DataFrame:
+        """``(pair, n)`` of now."""
+        changed = [(p, n) for p, n in self.changes.items() if n]
+        if changed:
+            more = self.scratch.spark.createDataFrame(changed, "pair string, n bigint")
+            now = self.rows.unionByName(more).groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 0")
+            self.turn += 1
+            self.rows = self.scratch.write(now, f"pairs-{self.turn}")
+            self.scratch.drop(f"pairs-{self.turn - 1}")
+            self.changes = {}
+        return self.rows
+
+
 class _Leaders:
-    """The most frequent pairs, kept exact between full counts.
+    """The most frequent pairs, kept exact between reads of the pair table.
 
-    A full count yields the leading pairs in their final order. Every pair left out is at most as
+    A read yields the leading pairs in their final order. Every pair left out is at most as
     frequent as the last leader, and later merges can only lower it unless it contains a symbol
     that a merge produces. So a leader above that mark is the best pair of all; when none is above
-    it, or a left-out pair may have grown, the pairs are counted again.
+    it, or a left-out pair may have grown, the pair table is read again.
     """
 
     def __init__(self, table: Sequence[str], size: int):
@@ -98,8 +133,8 @@ class _Leaders:
         self.counts: dict[str, int] = {}
         self.mark, self.first, self.fresh = 0, "", set()
 
-    def recount(self, words: DataFrame) -> None:
-        ordered = _in_order(pair_counts(words), self.table).limit(self.size).collect()
+    def recount(self, counts: DataFrame) -> None:
+        ordered = _in_order(counts, self.table).limit(self.size).collect()
         self.counts = {r["pair"]: r["n"] for r in ordered}
         self.mark = ordered[-1]["n"] if len(ordered) == self.size else 0
         self.first = ordered[0]["pair"] if ordered else ""
@@ -160,9 +195,58 @@ def _planned(pairs: list[str], table: list[str], known: dict[str, int]) -> list[
     return steps
 
 
+def _symbols_of(merges: list) -> tuple[list[str], dict[str, int], dict[str, list[tuple[int, str]]]]:
+    """Of ranked merges: content of every symbol, symbol of every merged content, and rank and result of every pair.
+
+    A pair that is ranked twice counts at both ranks; the later one is found when the earlier is passed.
+    """
+    table, known, ranks = sy.hex_table(), {}, {}
+    for rank, a, b in merges:
+        pair = "".join(sy.symbol_char(known[x] if x in known else int(x, 16)) for x in (a, b))
+        if a + b not in known:
+            known[a + b] = len(table)
+            table.append(a + b)
+        ranks.setdefault(pair, []).append((rank, sy.symbol_char(known[a + b])))
+    return table, known, ranks
+
+
+def replayed(syms: str, ranks: dict[str, list[tuple[int, str]]]) -> str:
+    """A word after all merges, one after the other in the order of their ranks."""
+    passed = -1
+    while len(syms) > 1:
+        found = [
+            (rank, pair, into)
+            for pair in {syms[k : k + 2] for k in range(len(syms) - 1)}
+            for rank, into in ranks.get(pair, ())
+            if rank > passed
+        ]
+        if not found:
+            break
+        passed, pair, into = min(found)
+        syms = syms.replace(pair, into)
+    return syms
+
+
+def apply_merges(symbols: DataFrame, learned: DataFrame) -> DataFrame:
+    """``(syms, freq)`` with all merges of a table of merges applied; equal results are not added up.
+
+    A projection: the merges, limited by their symbols, go to every task, and a word takes the steps that it has
+    pairs for, not one per merge.
+    """
+    rows = sorted((r["rank"], r["a"], r["b"]) for r in learned.select("rank", "a", "b").collect())
+    ranks = symbols.sparkSession.sparkContext.broadcast(_symbols_of(rows)[2])
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [replayed(w, ranks.value) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), batch.column(1)], ["syms", "freq"])
+
+    return symbols.select("syms", "freq").mapInArrow(replay, "syms string, freq bigint")
+
+
 def bpe_train(
     symbols: DataFrame, merges: int = DEFAULT_MERGES, cut_every: int = 20, leaders: int = 4096, ahead: int = AHEAD,
-    trace: list[int] | None = None,
+    trace: list[int] | None = None, learned: DataFrame | None = None,
 ) -> DataFrame:
     """Learn up to ``merges`` ranked merges from a ``(syms, freq)`` table of distinct words.
 
@@ -170,9 +254,13 @@ def bpe_train(
     up to ``ahead`` merges (as many as lately came true) and is one job over the words that contain one of the pairs; it returns the few
     pair counts that change at each merge. The driver replays them: as long as the planned pair is the
     best of all by the counts at its turn (see ``_Leaders``), its merge is taken; the first that is not
-    ends the pass. The result is that of one merge at a time. Every ``cut_every`` passes the words are
+    ends the pass. The result is that of one merge at a time. Pair counts are a table that the changes of the
+    merges keep up to date (see ``PairTable``); the words are counted once. Every ``cut_every`` passes the words are
     written out, so lineage and plans stay bounded and a lost executor costs a few narrow steps.
 
+    ``learned`` are merges to go on from, ranked from 0: they are applied to the words first, in their order, and
+    come first in the result, which has ``merges`` in all. The words may be those of a corpus that has grown since.
+
     ``trace`` receives the number of merges that each pass took.
     """
     spark = symbols.sparkSession
@@ -182,20 +270,26 @@ def bpe_train(
     scratch = Scratch(spark, "bpe")
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     level = StorageLevel.MEMORY_AND_DISK
-    learned: list[tuple[int, str, str, int]] = []
+    before = [] if learned is None else [tuple(r) for r in learned.select("rank", "a", "b", "freq").orderBy("rank").collect()]
+    if [r[0] for r in before] != list(range(len(before))):
+        raise ValueError("the ranks of the learned merges are not 0, 1, 2 ...")
+    if len(before) >= merges:
+        return spark.createDataFrame(before[:merges], MERGE_SCHEMA)
+    table, known, _ = _symbols_of([r[:3] for r in before])
+    start = symbols if learned is None else apply_merges(symbols, learned)
+    learned: list[tuple[int, str, str, int]] = before
     held: list[DataFrame] = []
     try:
-        start = symbols.filter(F.length("syms") > 1).select("syms", "freq").repartition(spread, "syms")
+        start = start.filter(F.length("syms") > 1).select("syms", "freq").repartition(spread, "syms")
         words = scratch.write(start, "words-0").persist(level)
         held.append(words)
-        table, passes, cut, most = sy.hex_table(), 0, 0, min(4, ahead)
-        known: dict[str, int] = {}
-        lead = _Leaders(table, leaders)
-        lead.recount(words)
+        passes, cut, most = 0, 0, min(4, ahead)
+        lead, counted = _Leaders(table, leaders), PairTable(words, scratch)
+        lead.recount(counted.counts())
         while len(learned) < merges:
             pairs = lead.plan(min(most, merges - len(learned)))
             if not pairs and lead.mark:
-                lead.recount(words)
+                lead.recount(counted.counts())
                 pairs = lead.plan(min(most, merges - len(learned)))
             if not pairs:
                 break
@@ -214,6 +308,7 @@ def bpe_train(
                     known[step.whole] = len(table)
                     table.append(step.whole)
                 exact = lead.apply(found.get(k, []), step.into, step.is_new)
+                counted.note(found.get(k, []))
                 taken += 1
             if trace is not None:
                 trace.append(taken)
@@ -237,7 +332,7 @@ def bpe_train(
             if len(held) > 2:  # the parent is read while its child is not yet stored
                 held.pop(0).unpersist()
             if not exact:
-                lead.recount(words)
+                lead.recount(counted.counts())
     finally:
         for frame in held:
             frame.unpersist()
@@ -245,6 +340,27 @@ def bpe_train(
     return spark.createDataFrame(learned, MERGE_SCHEMA)
 
 
+def train_with_saves(
+    symbols: DataFrame, merges: int, load: Callable[[], DataFrame | None], save: Callable[[DataFrame], None], every: int = 1000
+) -> DataFrame:
+    """Training that can be stopped at any time: every ``every`` merges are saved, and a start goes on from the last save.
+
+    ``load`` gives the merges saved so far, or None; ``save`` stores a table of merges (see ``sources.store``).
+    """
+    learned = load()
+    done = 0 if learned is None else learned.count()
+    while learned is None or done < merges:
+        wanted = min(merges, done + every)
+        learned = bpe_train(symbols, wanted, learned=learned)
+        found = learned.count()
+        if found > done:
+            save(learned)
+        if found < wanted:  # no pair is left
+            return learned
+        done = found
+    return learned.filter(F.col("rank") < merges)
+
+
 def merge_log(merges: DataFrame) -> DataFrame:
     """Per step: rank, the two symbols joined by a space, the new token, its frequency."""
     return merges.select(

@@ -8,10 +8,12 @@ from lexivec.functions import hashing as hs
 from lexivec.functions import random as rn
 from lexivec.operators import keyed, ordering, vocab
 from lexivec.operators import random as rd
+from lexivec.sources.keyed_store import KeyedStore
 from registry.common import lehmer_sql, q6, r6, table, words_sql
 
 SEED = 1337
 BUCKETS = 64
+STORE_BUCKETS = 8
 WIDTH = 64
 
 
@@ -29,6 +31,20 @@ def first_wins_upsert(spark, sf):
     return keyed.first_wins_upsert(held, batch, "key", "value", "arrival")
 
 
+def keyed_store(spark, sf):
+    """Customers of one segment, then the orders of all, without the customers in debt; looked up for every customer."""
+    customers = table(spark, sf, "customer")
+    held = customers.filter("c_mktsegment = 'BUILDING'").select(
+        F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), F.lit(0).alias("arrival")
+    )
+    batch = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("arrival")
+    )
+    store = KeyedStore(spark, "customers", "key", "value", STORE_BUCKETS).create(held, "arrival").upsert(batch, "arrival")
+    store.delete(customers.filter("c_acctbal < 0").select(F.col("c_custkey").alias("key")))
+    return store.lookup(customers.select(F.col("c_custkey").alias("key"), "c_nationkey"))
+
+
 def counting_upsert(spark, sf):
     return vocab.counting_upsert(
         vocab.word_freq(table(spark, sf, "documents")), vocab.word_freq(table(spark, sf, "conversations"))
@@ -170,13 +186,18 @@ def shuffle(spark, sf):
     return rd.shuffle_rows(table(spark, sf, "documents").select("doc_id"), "doc_id", SEED)
 
 
+def shuffle_exchange(spark, sf):
+    """The documents in the order of the serial exchange shuffle."""
+    return rd.exchange_rows(table(spark, sf, "documents").select("doc_id", "lang"), ["doc_id"], SEED)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        first_wins_upsert, counting_upsert, lookup, lookup_nation, delete_keys, delete_not_found, table_stats,
+        first_wins_upsert, keyed_store, counting_upsert, lookup, lookup_nation, delete_keys, delete_not_found, table_stats,
         set_contains, set_subset, set_equal, set_union, set_intersection, set_difference, set_add_remove,
         djb2_buckets, knuth_buckets, sort_int, sort_str, lehmer_int, lehmer_uniform, lehmer_single, xavier_matrix, muller_matrix,
-        shuffle,
+        shuffle, shuffle_exchange,
     )
 }
 
@@ -214,6 +235,14 @@ ORACLES = {
         "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) "
         "WHERE rn = 1 AND key NOT IN (SELECT key FROM held)"
     ),
+    "keyed_store": (
+        "WITH held AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_mktsegment = 'BUILDING'), "
+        "both AS (SELECT key, value FROM held UNION ALL SELECT key, value FROM (SELECT o_custkey AS key, o_totalprice AS value, "
+        "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) "
+        "WHERE rn = 1 AND key NOT IN (SELECT key FROM held)) "
+        "SELECT c_custkey AS key, c_nationkey, CASE WHEN c_acctbal >= 0 THEN value END AS value "
+        "FROM customer LEFT JOIN both ON key = c_custkey"
+    ),
     "counting_upsert": (
         f"SELECT word, sum(freq)::BIGINT AS freq FROM ({words_sql('documents')} UNION ALL "
         f"{words_sql('conversations')}) GROUP BY word"
@@ -280,6 +309,16 @@ ORACLES = {
         ),
         draws=f"{_uniform('2 * k - 1')} AS u, {_uniform('2 * k')} AS v",
     ),
+    "shuffle_exchange": (  # one exchange after the other on a list
+        "WITH RECURSIVE d AS (SELECT list(doc_id ORDER BY doc_id) AS a, count(*) AS n FROM documents), "
+        f"draws AS MATERIALIZED (SELECT n - k AS i, {lehmer_sql('k', SEED)} % (n - k + 1) AS j "
+        "FROM (SELECT n, unnest(range(1, n)) AS k FROM d)), "
+        "walk AS (SELECT n - 1 AS i, a FROM d UNION ALL SELECT walk.i - 1, CASE WHEN j = walk.i THEN a ELSE "
+        "a[:j] || [a[walk.i + 1]] || a[j + 2:walk.i] || [a[j + 1]] || a[walk.i + 2:] END "
+        "FROM walk JOIN draws ON draws.i = walk.i WHERE walk.i > 0) "
+        "SELECT doc_id, lang, position FROM (SELECT unnest(a) AS doc_id, generate_subscripts(a, 1)::BIGINT - 1 AS position "
+        "FROM walk WHERE i = 0) JOIN documents USING (doc_id)"
+    ),
     "shuffle": (
         f"{STREAM} SELECT doc_id, row_number() OVER (ORDER BY x, doc_id) AS position "
         "FROM documents JOIN l ON k = doc_id + 1"

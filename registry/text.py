@@ -38,6 +38,19 @@ def vocab_table(spark, sf):
     return tables.load_table(spark, path, "vocab")
 
 
+def vocab_versions(spark, sf):
+    """Two saves of a vocabulary; the first stays readable by its version when the second is the newest."""
+    path = Scratch(spark, "vocab").path("versions")
+    first = vocab.word_freq(table(spark, sf, "documents"))
+    tables.save_table(first, path, "vocab")
+    more = vocab.word_freq(table(spark, sf, "conversations"))
+    tables.save_table(vocab.counting_upsert(tables.load_table(spark, path, "vocab"), more), path, "vocab")
+    old = tables.load_table(spark, path, "vocab", version=1).select("word", F.col("freq").alias("old_freq"))
+    return tables.load_table(spark, path, "vocab").join(old, "word", "left").select(
+        "word", "freq", F.coalesce("old_freq", F.lit(0).cast("bigint")).alias("old_freq")
+    )
+
+
 def byte_histogram(spark, sf):
     return corpus.byte_histogram(table(spark, sf, "documents"))
 
@@ -87,6 +100,7 @@ QUERIES = {
     "path_rollup": path_rollup,
     "path_join": path_join,
     "vocab_table": vocab_table,
+    "vocab_versions": vocab_versions,
     "byte_histogram": byte_histogram,
     "ws_tokens": ws_tokens,
     "delim_fields": delim_fields,
@@ -117,6 +131,11 @@ ORACLES = {
         "coalesce(split_part(url, '/', -1), '') AS b FROM pages)"
     ),
     "vocab_table": words_sql("documents"),
+    "vocab_versions": (
+        f"WITH d AS ({words_sql('documents')}), c AS ({words_sql('conversations')}) SELECT word, "
+        "(coalesce(d.freq, 0) + coalesce(c.freq, 0))::BIGINT AS freq, coalesce(d.freq, 0)::BIGINT AS old_freq "
+        "FROM d FULL JOIN c USING (word)"
+    ),
     "byte_histogram": (
         "SELECT ('0x' || h)::INT AS byte, count(*) AS n FROM (SELECT unnest(regexp_extract_all("
         "hex(encode(split_part(text, chr(0), 1))), '..')) AS h FROM documents) GROUP BY h"

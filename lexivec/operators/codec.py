@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,16 @@ def _bounded(tokenizer: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def shared_tokens(tokenizer: DataFrame) -> tuple[Broadcast, bytes | None]:
+    """The token table, whose size is checked, for every task, and its token for unknown bytes."""
+    rows = _bounded(tokenizer, BROADCAST_TOKENS)
+    if rows is None:
+        raise ValueError(f"the token table exceeds {BROADCAST_TOKENS} rows")
+    tokens = [(r["id"], bytes.fromhex(r["token"]), r["rank"]) for r in rows]
+    unknown = UNKNOWN.encode() if any(t == UNKNOWN.encode() for _, t, _ in tokens) else None
+    return tokenizer.sparkSession.sparkContext.broadcast(tokens), unknown
+
+
 def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     """A column function from text to token ids.
 
@@ -36,12 +47,7 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     Encoding is narrow: the token table, whose size is checked, goes to every task once, and
     texts are never exploded or shuffled.
     """
-    rows = _bounded(tokenizer, BROADCAST_TOKENS)
-    if rows is None:
-        raise ValueError(f"the token table exceeds {BROADCAST_TOKENS} rows")
-    tokens = [(r["id"], bytes.fromhex(r["token"]), r["rank"]) for r in rows]
-    shared = tokenizer.sparkSession.sparkContext.broadcast(tokens)
-    unknown = UNKNOWN.encode() if any(t == UNKNOWN.encode() for _, t, _ in tokens) else None
+    shared, unknown = shared_tokens(tokenizer)
     name = uuid.uuid4().hex
 
     def encode(texts: pa.Array) -> pa.Array:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexivec.functions import symbols as sy
-from lexivec.operators import bpe, codec, tokens, vocab
+from lexivec.operators import bpe, codec, dictionary, tokens, vocab
 from lexivec.plans import tokenizer as plan
 from lexivec.scratch import Scratch
 from lexivec.sources import tables
@@ -70,6 +70,14 @@ def bpe_train(spark, sf):
     return merges_of(spark, sf)
 
 
+def bpe_resume(spark, sf):
+    """Half of the merges from the documents, the rest after the conversations were added to the vocabulary."""
+    words = vocab.word_freq(table(spark, sf, "documents"))
+    learned = bpe.bpe_train(vocab.symbol_freq(words), MERGES // 2)
+    grown = vocab.counting_upsert(words, vocab.word_freq(table(spark, sf, "conversations")))
+    return bpe.bpe_train(vocab.symbol_freq(grown), MERGES, learned=learned)
+
+
 def merge_log(spark, sf):
     return bpe.merge_log(merges_of(spark, sf))
 
@@ -127,6 +135,13 @@ def encode_corpus(spark, sf):
     )
 
 
+def encode_by_dictionary(spark, sf):
+    """The rows of ``encode_corpus``, every distinct chunk merged once."""
+    return dictionary.encode_by_dictionary(table(spark, sf, "documents"), tokenizer_of(spark, sf)).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_ids"), as_csv(F.col("ids")).alias("ids")
+    )
+
+
 def encode_bos_eos(spark, sf):
     turns = codec.encode_corpus(table(spark, sf, "conversations"), tokenizer_of(spark, sf))
     return codec.with_bos_eos(turns).select("conv_id", "turn", as_csv(F.col("ids")).alias("ids"))
@@ -157,9 +172,9 @@ def next_token_pairs(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        word_freq, symbol_freq, vocab_log, pair_counts, best_pair, apply_merge, bpe_train, merge_log, merges_table,
+        word_freq, symbol_freq, vocab_log, pair_counts, best_pair, apply_merge, bpe_train, bpe_resume, merge_log, merges_table,
         tokenizer_table, token_set, special_tokens, id_to_token, token_to_id, token_rank, token_score,
-        tokenizer_build, encode_corpus, encode_bos_eos, decode_corpus, token_listing, token_sequences,
+        tokenizer_build, encode_corpus, encode_by_dictionary, encode_bos_eos, decode_corpus, token_listing, token_sequences,
         next_token_pairs,
     )
 }
@@ -195,6 +210,21 @@ def trained_sql(steps: int) -> str:
     return ", ".join(parts)
 
 
+def resumed_sql(first: int, steps: int) -> str:
+    """Merges 0 to first - 1 from the documents (s), applied to the grown words (g) as well, the others from these."""
+    grown = f"SELECT word, sum(freq)::BIGINT AS freq FROM ({words_sql('documents')} UNION ALL {words_sql('conversations')}) GROUP BY word"
+    parts = [SYMBOLS, f"grown AS MATERIALIZED ({grown})",
+             r"g0 AS MATERIALIZED (SELECT regexp_replace(hex(encode(word)), '(..)', '<\1>', 'g') AS s, freq FROM grown)"]
+    for k in range(steps):
+        source = f"s{k}" if k < first else f"g{k}"
+        parts.append(f"p{k} AS MATERIALIZED ({pairs_sql(source)})")
+        parts.append(f"b{k} AS MATERIALIZED ({best_sql(f'p{k}')})")
+        for name in ("s", "g")[k >= first :]:
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT {MERGE} AS s, freq FROM {name}{k}, b{k})")
+    union = " UNION ALL ".join(f"SELECT {k} AS rank, a, b, n AS freq FROM b{k}" for k in range(steps))
+    return f"WITH {', '.join(parts)} {union}"
+
+
 TRAINED = trained_sql(MERGES)
 SPECIAL_ROWS = "VALUES (0, '<|bos|>'), (1, '<|eos|>'), (2, '<|pad|>'), (3, '<|unk|>')"
 TOKENS = (
@@ -248,6 +278,7 @@ ORACLES = {
         "FROM s1 GROUP BY 1"
     ),
     "bpe_train": f"WITH {TRAINED} SELECT rank, a, b, freq FROM merges",
+    "bpe_resume": resumed_sql(MERGES // 2, MERGES),
     "merge_log": f"WITH {TRAINED} SELECT rank, a || ' ' || b AS pair, a || b AS token, freq FROM merges",
     "merges_table": f"WITH {TRAINED} SELECT rank, a, b, freq FROM merges",
     "tokenizer_table": f"WITH {TOKENS} {TOKENIZER}",
@@ -291,3 +322,4 @@ ORACLES = {
         "JOIN ids x ON x.token = a JOIN ids y ON y.token = b"
     ),
 }
+ORACLES["encode_by_dictionary"] = ORACLES["encode_corpus"]

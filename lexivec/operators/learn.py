@@ -173,8 +173,6 @@ def train_classifier(
     data = table.select(F.col(label).alias("label"), F.col(vec).alias("vec"))
     data = data.filter("label is not null and vec is not null").persist(StorageLevel.MEMORY_AND_DISK)
     matrix = small_matrix(initial)
-    if matrix is None:
-        raise ValueError("the model is larger than a task may hold")
     velocity = np.zeros_like(matrix)
     history = []
     for epoch in range(epochs):

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexivec.functions import vectors as vx
-from lexivec.operators import learn, linear
+from lexivec.operators import learn, learn_blocks, linear
 from lexivec.operators import random as rd
 from registry.common import CELLS_SQL, cells, q6, r6, table, xavier_sql
-from registry.vectors import CLASSES, SEED, WIDTH
+from registry.vectors import BLOCKED_CELLS, CLASSES, SEED, WIDTH
 
 EPOCHS, RATE, DECAY, MOMENTUM, DAMPING = 3, 0.5, 0.01, 0.9, 0.1
 
@@ -89,6 +89,15 @@ def train_classifier(spark, sf):
     return _train(spark, sf)[0].withColumn("w", r6("w"))
 
 
+def train_classifier_blocks(spark, sf):
+    """The same training with the model as a table of several blocks."""
+    weights, _ = learn_blocks.train_classifier(
+        vectors_of(spark, sf), "label", "embedding", CLASSES, start(spark), EPOCHS, RATE, DECAY, MOMENTUM,
+        block_cells=BLOCKED_CELLS, broadcast_cells=0,
+    )
+    return weights.withColumn("w", r6("w"))
+
+
 def loss_summary(spark, sf):
     history = _train(spark, sf)[1]
     return history.select("epoch", r6("mean_loss").alias("mean_loss"), r6("std_loss").alias("std_loss"), "n")
@@ -127,7 +136,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         one_hot, cross_entropy, softmax_gradient, gradient_sanity, outer_gradient, chain_gradient, sgd_step,
-        sgd_step_nesterov, train_classifier, loss_summary, scatter_add, norm_softmax_gradients, norm_weight_gradient,
+        sgd_step_nesterov, train_classifier, train_classifier_blocks, loss_summary, scatter_add, norm_softmax_gradients, norm_weight_gradient,
         finite_guard,
     )
 }
@@ -227,3 +236,4 @@ ORACLES = {
         "count(*) FILTER (isnan(p - y)), count(*) FILTER (isinf(p - y)), count(*) FILTER (NOT isfinite(p - y)) = 0 FROM d0"
     ),
 }
+ORACLES["train_classifier_blocks"] = ORACLES["train_classifier"]

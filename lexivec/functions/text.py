@@ -32,9 +32,10 @@ def fields_by_whitespace(text: Column) -> Column:
     Splitting reads characters, so bytes that are not UTF-8 are split in their one-character-per-byte
     view, whose parts are turned back to the same bytes.
     """
-    text, pattern = before_nul(text), f"[{WHITESPACE}]+"
-    parts = F.transform(F.split(byte_chars(text), pattern), from_byte_chars)
-    return F.when(F.is_valid_utf8(text), F.split(text, pattern)).otherwise(parts)
+    pattern = f"[{WHITESPACE}]+"
+    parts = F.transform(F.split(byte_chars(before_nul(text)), pattern), from_byte_chars)
+    plain = F.is_valid_utf8(text) & ~F.contains(text, F.lit("\0"))  # nearly every text: split as it is
+    return F.when(plain, F.split(text, pattern)).otherwise(parts)
 
 
 def ws_tokens(text: Column) -> Column:

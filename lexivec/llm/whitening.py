@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +42,10 @@ _EPS = float(np.finfo(np.float64).eps)
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries end to end as doubles, bounds of the rows, and which rows are whole and finite."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
     flat = column.flatten()
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    values = pa.compute.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+    values = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
     bad = np.concatenate([[0], np.cumsum(~np.isfinite(values))])
     return values, bounds, column.is_valid().to_numpy(zero_copy_only=False) & (bad[bounds[1:]] == bad[bounds[:-1]])
 

@@ -6,17 +6,17 @@ neighbours in an order whose labels share a prefix of ``DEPTH`` values or more a
 partitions sort the orders, so equal labels of any number are spread over many tasks; the first and last
 rows of the partitions are compared as well, so no pair and no region is lost where two of them meet.
 
-* Estimate: candidates whose signatures agree in less than ``FLOOR`` of their values are left. A pair
-  at the threshold is lost with a probability of about 2e-5.
-* First links: per document its two best candidates are compared on full sets and components formed.
-* Completion: neighbours are not all partners. Within a region (documents of an order with a common
-  prefix) every pair whose two sides are still in different components, and whose sets leave room for
-  the similarity once the shingles that only one document has are set aside, is compared as well.
-  A region where these would be more than ``DENSE`` pairs a document takes a depth of ``LEVELS`` instead.
-  Pairs inside one component cannot change the result and are never formed.
-
-A pair of similarity 0.8 shares no region of depth ``DEPTH`` with probability (1 - 0.8^4)^32 = 5e-8, none
-of depth ``LEVELS`` with 6e-5; higher similarities are lost less often.
+* First links: candidates are ranked by the share of equal signature values (those below ``FLOOR`` wait for
+  the completion); per document its two best are compared on full sets, and components formed.
+* Completion: neighbours are not all partners. Documents of a region (documents of an order with a common
+  prefix) that has several components are open, if their sets leave room for the similarity once the
+  shingles that only one document has are set aside. Open documents whose regions overlap are a family. Every two
+  blocks of a family meet once, whatever the number of orders they share, with their whole sets: one task
+  counts the common shingles of all their pairs by matrix products, and returns only the links that join
+  two components which it had not joined before.
+
+A pair of similarity 0.8 shares no region of depth ``DEPTH`` with probability (1 - 0.8^4)^32 = 5e-8; higher similarities
+are lost less often. Nothing else is lost: families are compared in full, with no limit on their size.
 
 Defined results: null or empty texts have no shingles, are their own component and are kept; a text with
 fewer words than a shingle is one shingle; equal rows of one id count as one document and stay equal rows;
@@ -30,10 +30,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from lexivec.llm.batches import GRAPHIC, LOWER, Words, mix, slices, text_bytes
@@ -48,8 +49,10 @@ TREES, LEVELS, DEPTH = 32, 6, 4
 FLOOR = 0.68
 #: Documents of a block on average; two blocks meet in one place.
 BLOCK = 256
-#: Pairs per document of a region beyond which the region is taken at full depth.
-DENSE = 64
+#: Tasks that share the rows of one region or family where these meet its aggregate.
+SALTS = 16
+#: Shingles that a product of two blocks takes at once.
+COLUMNS = 4096
 
 _draw = np.random.default_rng(20250801)
 _FACTORS = _draw.integers(0, 1 << 32, TREES * LEVELS, dtype=np.uint32) | np.uint32(1)
@@ -133,7 +136,7 @@ def _sketcher(width: int):
                 some = pa.array(full)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sizes.astype(np.int64)),
-                     pa.compute.if_else(some, keys, None), pa.compute.if_else(some, sketch, None)],
+                     pc.if_else(some, keys, None), pc.if_else(some, sketch, None)],
                     ["id", "n", "key", "sketch"],
                 )
 
@@ -184,10 +187,10 @@ def _neighbours(percent: int, id_type: pa.DataType):
             )
         at = np.flatnonzero(near & _similar_sizes(n[1:], n[:-1], percent))
         one, two = ids.take(pa.array(at)), ids.take(pa.array(at + 1))
-        swap = pa.compute.greater(one, two)
+        swap = pc.greater(one, two)
         yield pa.RecordBatch.from_arrays(
             [pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary()), pa.nulls(len(at), pa.binary()),
-             pa.compute.if_else(swap, two, one), pa.compute.if_else(swap, one, two), pa.nulls(len(at), pa.int64()),
+             pc.if_else(swap, two, one), pc.if_else(swap, one, two), pa.nulls(len(at), pa.int64()),
              pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.bool_())],
             names,
         )
@@ -197,7 +200,7 @@ def _neighbours(percent: int, id_type: pa.DataType):
 
 def _proposed(orders: DataFrame, percent: int, id_type: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Of sorted range partitions: members of regions (tree, prefix, label, id, n) and pairs (a, b) of neighbours."""
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32()}[id_type]
+    arrow_id = to_arrow_type(orders.schema["id"].dataType)
     kinds = f"tree int, prefix binary, label binary, a {id_type}, b {id_type}, n bigint, part int, inside boolean"
     near = scratch.write(orders.mapInArrow(_neighbours(percent, arrow_id), kinds), "neighbours")
     members = near.filter("b is null and part is null").select("tree", "prefix", "label", F.col("a").alias("id"), "n")
@@ -273,11 +276,11 @@ def _own_texts(width: int):
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; ids are integers."""
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; ids are of any type with an order."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
     id_type = docs.schema[doc_id].dataType.simpleString()
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32()}[id_type]
+    arrow_id = to_arrow_type(docs.schema[doc_id].dataType)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     rows = scratch.write(
         texts.mapInArrow(_sketcher(width), f"id {id_type}, n bigint, key binary, sketch binary"), "sketches"
@@ -327,7 +330,7 @@ def near_duplicates(
     links = scratch.write(confirmed(tried), "links")
     found = components(links, scratch, "first")
 
-    more = scratch.write(confirmed(_across(members, found, own, sketches, width, percent, scratch)), "more")
+    more = scratch.write(_across(members, found, own, width, percent, scratch), "more")
     sides = [found.select(F.col("node").alias(k), F.col("component").alias(f"c_{k}")) for k in ("a", "b")]
     joins = more.join(sides[0], "a", "left").join(sides[1], "b", "left").select(
         F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b")
@@ -361,23 +364,42 @@ def _spread(width: int):
     return run
 
 
-def _across(
-    members: DataFrame, found: DataFrame, own: DataFrame, sketches: DataFrame, width: int, percent: int, scratch: Scratch
-) -> DataFrame:
-    """Pairs (a, b) of one region and different components that can have the similarity.
+def _whole_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows with their sets, sorted, in place of the texts (the last column)."""
+        for batch in batches:
+            last = batch.num_columns - 1
+            data, offsets = text_bytes(batch.column(last))
+            for lo, hi in slices(offsets):
+                part = offsets[lo : hi + 1]
+                sets, bounds = shingle_sets(data[part[0] : part[-1]], part - part[0], width)
+                raw = [sets[a:b].tobytes() for a, b in pairwise(bounds)]
+                kept = [batch.column(k).slice(lo, hi - lo) for k in range(last)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(raw, pa.binary())], [*batch.schema.names[:last], "shingles"])
+
+    return run
+
 
-    A shingle that no other document of an open region has is in no intersection. What is left of a
-    set bounds its similarity to any other; documents that cannot reach the threshold with the smallest
-    set of their region drop out, and the rest are compared within that bound, by blocks of a region and
-    inside the tasks: only pairs whose signatures agree become rows.
+def _salted(rows: DataFrame, aggregate: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join with one row per key, such that a key's rows are spread over ``SALTS`` tasks."""
+    every = aggregate.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(every, [*keys, "salt"]).drop("salt")
+
+
+def _across(members: DataFrame, found: DataFrame, own: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between documents of different components of one family.
+
+    A shingle that no other open document has is in no intersection. What is left of a set bounds its
+    similarity to any other; documents that cannot reach the threshold with the smallest set of their
+    region drop out.
     """
+    region = ["tree", "prefix"]
     placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
-    several = placed.groupBy("tree", "prefix").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")
-    ).filter("low <> high").select("tree", "prefix", "least")
-    placed = scratch.write(placed.join(several, ["tree", "prefix"]), "placed")
+    apart = [F.min("component").alias("low"), F.max("component").alias("high")]
+    several = placed.groupBy(*region).agg(*apart, F.min("n").alias("least")).filter("low <> high").select(*region, "least")
+    placed = scratch.write(_salted(placed, several, region).select(*region, "id", "n", "component", "least"), "placed")
     kind = own.schema["id"].dataType.simpleString()
     open_texts = own.join(placed.select("id").distinct(), "id", "left_semi").select("id", "text")
     alone = open_texts.mapInArrow(_spread(width), f"shingle bigint, id {kind}").groupBy("shingle").agg(
@@ -386,28 +408,28 @@ def _across(
     placed = placed.join(alone, "id", "left").withColumn("common", F.col("n") - F.coalesce("alone", F.lit(0)))
     least = F.greatest(F.col("least") * 100, F.col("n") * percent)  # in hundredths
     placed = placed.filter(F.col("common") * (100 + percent) * 100 >= (F.col("n") * 100 + least) * percent)
-    placed = scratch.write(placed.select("tree", "prefix", "label", "id", "n", "component", "common"), "open")
-    shares = placed.groupBy("tree", "prefix", "component").agg(F.count("*").alias("m"))
-    regions = (
-        shares.groupBy("tree", "prefix")
-        .agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("parts"))
-        .filter("parts > 1")
-        .select("tree", "prefix", ((F.col("all") * F.col("all") - F.col("within")) / 2 > DENSE * F.col("all")).alias("dense"))
+    placed = scratch.write(placed.select(*region, "id", "n", "component", "common"), "open")
+    regions = placed.groupBy(*region).agg(*apart, F.min("id").alias("first")).filter("low <> high").select(*region, "first")
+    linked = scratch.write(_salted(placed, regions, region).select("id", "n", "component", "common", "first").distinct(), "linked")
+    families = components(linked.select(F.col("id").alias("a"), F.col("first").alias("b")), scratch, "families").select(
+        F.col("node").alias("id"), F.col("component").alias("family")
     )
-    region = F.when(F.col("dense"), F.col("label")).otherwise(F.col("prefix")).alias("region")
-    placed = placed.join(regions, ["tree", "prefix"]).select("tree", region, "id", "n", "component", "common")
-    # A region goes in blocks, and every two blocks of it meet once.
-    sizes = placed.groupBy("tree", "region").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    docs = linked.select("id", "n", "component", "common").distinct().join(families, "id")
+    docs = scratch.write(docs.select("family", "id", "n", "component", "common"), "families")
+    sizes = docs.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    placed = placed.join(sizes, ["tree", "region"]).withColumn("mine", mine).join(sketches, "id")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    met = placed.select("tree", "region", "mine", other, "id", "n", "component", "common", "sketch").select(
-        "tree", "region", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine",
-        "id", "n", "component", "common", "sketch",
+    docs = _salted(docs, sizes, ["family"]).withColumn("mine", mine).join(own.select("id", "text"), "id")
+    sets = docs.select("family", "blocks", "mine", "id", "n", "component", "common", "text").mapInArrow(
+        _whole_sets(width), f"family {kind}, blocks int, mine int, id {kind}, n bigint, component {kind}, common bigint, shingles binary"
     )
-    at = ["tree", "region", "x", "y"]
+    # Every two blocks of a family meet once.
+    met = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "family", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "n", "component",
+        "common", "shingles",
+    )
+    at = ["family", "x", "y"]
     met = met.repartition(*at).sortWithinPartitions(*at, "id")
-    return met.mapInArrow(_meeting(percent), f"a {kind}, b {kind}").distinct()
+    return met.mapInArrow(_meeting(percent), f"a {kind}, b {kind}")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -419,7 +441,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         new = np.zeros(len(batch), bool)
         for k in range(keys):
             column = batch.column(k)
-            new[1:] |= pa.compute.not_equal(column.slice(1), column.slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
+            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
         new[0] = not held or any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(keys))
         bounds = [*np.flatnonzero(new).tolist(), len(batch)]
         if bounds[0] > 0:
@@ -432,33 +454,64 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def common_shingles(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets at ``rows`` with those at ``columns``, by products of incidence matrices."""
+    used = np.union1d(rows, columns)
+    place = np.full(len(sets), -1)
+    place[used] = np.arange(len(used))
+    flat = np.concatenate([sets[k] for k in used.tolist()])
+    owner = np.repeat(np.arange(len(used)), [len(sets[k]) for k in used.tolist()])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    begins = np.flatnonzero(new)
+    times = np.diff(np.append(begins, len(flat)))
+    shared = np.repeat(times > 1, times)  # a shingle of one set is in no intersection
+    owner, number = owner[shared], np.repeat(np.cumsum(times > 1) - 1, times)[shared]
+    total = np.zeros((len(rows), len(columns)), np.float32)  # counts are exact up to 2^24
+    for lo in range(0, int(number[-1]) + 1 if len(number) else 0, COLUMNS):
+        a, b = np.searchsorted(number, [lo, lo + COLUMNS])
+        incidence = np.zeros((len(used), COLUMNS), np.float32)
+        incidence[owner[a:b], number[a:b] - lo] = 1
+        total += incidence[place[rows]] @ incidence[place[columns]].T
+    return total.astype(np.int64)
+
+
 def _meeting(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of two blocks: pairs apart that can have the similarity and whose signatures agree enough."""
-        for table in _groups(batches, 4):
+        """Of two blocks: links between components that no link before in the same place has joined."""
+        for table in _groups(batches, 3):
             table = table.combine_chunks()
-            ids = table.column("id").combine_chunks()
-            mine, n, component, common = (table.column(k).to_numpy() for k in ("mine", "n", "component", "common"))
-            sketch = _matrix(table.column("sketch").combine_chunks(), np.uint16)
-            x, y, tree = (table.column(k)[0].as_py() for k in ("x", "y", "tree"))
-            labels = sketch.reshape(-1, TREES, LEVELS)
-            rows = np.flatnonzero(mine == x)
-            ones, twos = [], []
-            for k in rows.tolist():  # rows come in the order of their ids
-                later = np.arange(k + 1, len(n)) if x == y else np.flatnonzero(mine == y)
-                fit = (component[later] != component[k]) & _similar_sizes(n[later], n[k], percent)
-                fit &= np.minimum(common[later], common[k]) * (100 + percent) >= (n[later] + n[k]) * percent
-                later = later[fit]
-                if len(later):
-                    later = later[(sketch[later] == sketch[k]).mean(axis=1) >= FLOOR]
-                    # Two that share whole labels meet in each of those orders; the first of them counts.
-                    whole = (labels[later] == labels[k]).all(axis=2)
-                    later = later[~whole.any(axis=1) | (whole.argmax(axis=1) == tree)]
-                ones.append(np.full(len(later), k))
-                twos.append(later)
-            one, two = np.concatenate([*ones, rows[:0]]), np.concatenate([*twos, rows[:0]])
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(np.minimum(one, two))), ids.take(pa.array(np.maximum(one, two)))], ["a", "b"]
-            )
+            ids, component = (table.column(k).combine_chunks() for k in ("id", "component"))
+            mine, n, common = (table.column(k).to_numpy() for k in ("mine", "n", "common"))
+            x, y = (table.column(k)[0].as_py() for k in ("x", "y"))
+            one, two = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+            group = component.dictionary_encode().indices.to_numpy()
+            fit = (group[one, None] != group[two]) & _similar_sizes(n[one, None], n[two], percent)
+            fit &= np.minimum(common[one, None], common[two]) * (100 + percent) >= (n[one, None] + n[two]) * percent
+            if x == y:
+                fit &= one[:, None] < two
+            if not fit.any():
+                continue
+            rows, columns = np.flatnonzero(fit.any(axis=1)), np.flatnonzero(fit.any(axis=0))
+            data, offsets = text_bytes(table.column("shingles"))
+            sets = [np.frombuffer(data[a:b].tobytes(), np.uint64) for a, b in pairwise(offsets)]
+            one, two, fit = one[rows], two[columns], fit[np.ix_(rows, columns)]
+            fit &= common_shingles(sets, one, two) * (100 + percent) >= (n[one, None] + n[two]) * percent
+            parent = list(range(int(group.max()) + 1))
+            links = []
+            for a, b in np.argwhere(fit).tolist():
+                ends = [int(group[one[a]]), int(group[two[b]])]
+                for k in (0, 1):
+                    while parent[ends[k]] != ends[k]:
+                        parent[ends[k]] = parent[parent[ends[k]]]
+                        ends[k] = parent[ends[k]]
+                if ends[0] != ends[1]:
+                    parent[max(ends)] = min(ends)
+                    links.append((int(one[a]), int(two[b])))
+            if links:
+                left, right = (ids.take(pa.array([link[k] for link in links])) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([left, right], ["a", "b"])
 
     return run

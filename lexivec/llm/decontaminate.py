@@ -99,34 +99,35 @@ def contamination(
     owners, _ = _hinted(windows.select("win", "item_id").distinct().join(table.select("win"), "win", "left_semi"))
 
     found = (
-        docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(words_of(F.col(text))).alias("pos", "w"))
-        .select("doc_id", "pos", lowered(F.col("w")).alias("token"))
+        docs.select(F.col(doc_id).alias("found_id"), F.xxhash64(text).alias("found_row"), F.posexplode(words_of(F.col(text))).alias("pos", "w"))
+        .select("found_id", "found_row", "pos", lowered(F.col("w")).alias("token"))
         .join(tokens, "token", "left_semi")
-        .groupBy("doc_id")
+        .groupBy("found_id", "found_row")
         .agg(F.collect_set(F.struct("pos", "token")).alias("found"))
-        .withColumnRenamed("doc_id", "found_id")
     )
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("row"), F.col(text).alias("text"))
     reach = 2 * window - 1
     context = F.transform(
         "found",
         lambda f: F.struct(
             f.pos.alias("pos"), f.token.alias("token"),
-            F.transform(F.slice("words", F.greatest(f.pos - window + 2, F.lit(1)), reach), lowered).alias("near"),
+            # One string a place: a list of words would take ten times the memory in a text full of prefix words.
+            F.concat_ws(" ", F.transform(F.slice("words", F.greatest(f.pos - window + 2, F.lit(1)), reach), lowered)).alias("near"),
         ),
     )
     own_row = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("token"),
-                               F.lit(None).cast("array<string>").alias("near")))
+                               F.lit(None).cast("string").alias("near")))
     places = (
-        texts.join(found, texts["doc_id"].eqNullSafe(found["found_id"]), "left")
-        .select("doc_id", F.xxhash64("text").alias("row"), words_of(F.col("text")).alias("words"), "found")
+        texts.join(found, texts["doc_id"].eqNullSafe(found["found_id"]) & (texts["row"] == found["found_row"]), "left")
+        .select("doc_id", "row", words_of(F.col("text")).alias("words"), "found")
         .select("doc_id", "row", F.size("words").alias("n_words"),
                 F.explode(F.concat(own_row, F.coalesce(context, F.array().cast(_NEAR)))).alias("at"))
         .select("doc_id", "row", "n_words", "at.*")
     )
     start, first = F.col("pos") - F.col("offset"), F.greatest(F.col("pos") - window + 1, F.lit(0))
     fits = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
-    same = F.concat_ws(" ", F.slice("near", start - first + 1, F.col("len"))) == F.col("win")
+    until = F.call_function("substring_index", F.col("near"), F.lit(" "), start - first + F.col("len"))  # no word has a space
+    same = F.call_function("substring_index", until, F.lit(" "), -F.col("len")) == F.col("win")
     hits = (
         places.join(by_token, "token", "left")
         .withColumn("hit", F.coalesce(F.when(fits, same), F.lit(False)))
@@ -165,7 +166,7 @@ def contamination(
     )
 
 
-_NEAR = "array<struct<pos:int,token:string,near:array<string>>>"
+_NEAR = "array<struct<pos:int,token:string,near:string>>"
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **columns) -> DataFrame:

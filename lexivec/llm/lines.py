@@ -1,12 +1,12 @@
 """Removal of repeated lines or paragraphs by digests of their normalised text.
 
 A unit is a line (or a paragraph, up to an empty line) with its line end. Its digest is of the text in
-lower-case ASCII letters with single spaces. Units of fewer than ``LEAST`` words are left alone. Of all
-units with one digest the earliest stays: by rank, then id, then place; the others are removed, and
-their byte ranges in the original text are kept in the result.
+lower-case ASCII letters with single spaces. Of all units with one digest the earliest stays: by rank, then
+id, then place; the others are removed, and their byte ranges in the original text are kept in the result.
 
-Digests are counted with partial sums, and only those that occur again are joined with their units; a
-digest that a third of all documents share is split by the join. Defined results: a null text is empty;
+Digests are counted with partial sums, and only those that occur again are joined with their units. The rows of
+one digest are dealt over ``SALTS`` tasks, which all get its first place, so that a line that a third of all
+documents share is not one task's work. Defined results: a null text is empty;
 empty units stay; equal rows of one id are one occurrence and stay or go together.
 """
 
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from lexivec.llm.batches import slices, text_bytes
 from lexivec.scratch import Scratch
 
-#: Words of a unit that can be removed.
-LEAST = 5
+#: Tasks that share the units of one digest.
+SALTS = 32
 
 
 def unit_bounds(text: bytes, paragraphs: bool = False) -> list[int]:
@@ -90,11 +90,12 @@ def _remover(paragraphs: bool):
 
 def remove_repeated_units(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rank: Column | None = None, paragraphs: bool = False,
-    least: int = LEAST,
+    least: int = 1,
 ) -> DataFrame:
     """(doc_id, n_units, kept, spans): the remaining text of every row and the ranges of its removed units.
 
-    ``rank`` (a number, least first) orders the documents before their id does.
+    ``rank`` (a number, least first) orders the documents before their id does. Units of fewer than ``least``
+    words stay; 1 removes every repeated unit that is not empty.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     scratch = Scratch(docs.sparkSession, "lines")
@@ -106,8 +107,10 @@ def remove_repeated_units(
     )
     place = F.struct("rank", "doc_id", "row", "begin")
     again = units.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n")
+    again = again.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = units.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "begin"), F.lit(SALTS)).cast("int"))
     removed = (
-        units.join(again, "digest").filter(place != F.col("first"))
+        salted.join(again, ["digest", "salt"]).filter(place != F.col("first"))
         .groupBy(F.col("doc_id").alias("k"), F.col("row").alias("r"))
         .agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     )
@@ -120,9 +123,10 @@ def remove_repeated_units(
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """The result of ``remove_repeated_units`` with a digest in place of the text."""
+    """The result of ``remove_repeated_units`` with the remaining text, its digest and the removed ranges as ``begin-end``."""
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.begin)
+    ranges = F.transform("spans", lambda s: F.concat_ws("-", s.begin.cast("string"), s.end.cast("string")))
     return result.select(
         "doc_id", "n_units", F.size("spans").cast("bigint").alias("n_removed"), removed.alias("bytes_removed"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.array_join(ranges, ",").alias("spans"), F.col("kept").cast("string").alias("text"),
     )

@@ -336,7 +336,10 @@ def cut_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lengt
     """``docs`` with every text cut; a character goes only if all of its bytes do, so texts stay valid."""
     spans = repeated_spans(docs, doc_id, text, length, **limits).select(F.col("doc_id").alias("k"), F.col("row").alias("r"), "spans")
     same = docs[doc_id].eqNullSafe(spans["k"]) & (F.xxhash64(docs[text]) == spans["r"])
-    rows = docs.join(spans, same, "left").select(*(docs[c] for c in docs.columns), "spans")
+    own = "spans"
+    while own in docs.columns:  # columns of the table keep their names
+        own += "_"
+    rows = docs.join(spans, same, "left").select(*(docs[c] for c in docs.columns), spans["spans"].alias(own))
     return rows.mapInArrow(_text_cutter(docs.columns.index(text)), docs.schema)
 
 
@@ -358,9 +361,12 @@ def remove_repeats(
 
 
 def digest(result: DataFrame) -> DataFrame:
-    """The result of ``remove_repeats`` with a digest in place of the bytes."""
+    """The result of ``remove_repeats`` with a digest of the remaining bytes, and these as a text.
+
+    Cuts are at bytes: what is left of a character that was cut through becomes replacement characters in ``text``.
+    """
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.end - s.begin)
     return result.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"),
+        F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )

@@ -50,6 +50,37 @@ SENTENCES = {
     24: "spdx license identifier bsd 3 clause",
     25: "this source code form is subject to the terms of the mozilla public license v 2 0",
     26: "all rights reserved",
+    27: "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    28: "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    29: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    30: "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    31: "distributed under the boost software license version 1 0",
+    32: "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    33: "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at",
+    34: "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution",
+    35: "this library is free software",
+    36: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    37: "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    38: "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    39: "terms and conditions for use reproduction and distribution",
+    40: "apache license",
+    41: "version 2 0 january 2004",
+    42: "spdx license identifier gpl 2 0 only",
+    43: "spdx license identifier gpl 2 0 or later",
+    44: "spdx license identifier gpl 3 0 only",
+    45: "spdx license identifier lgpl 2 1 or later",
+    46: "spdx license identifier lgpl 3 0 or later",
+    47: "spdx license identifier agpl 3 0 or later",
+    48: "spdx license identifier bsd 2 clause",
+    49: "spdx license identifier isc",
+    50: "spdx license identifier zlib",
+    51: "spdx license identifier bsl 1 0",
+    52: "spdx license identifier cc0 1 0",
+    53: "spdx license identifier epl 2 0",
+    54: "spdx license identifier mpl 2 0",
+    55: "spdx license identifier unlicense",
+    56: "spdx license identifier cc by 4 0",
+    57: "spdx license identifier cc by sa 4 0",
 }
 
 # Rules in order, each a licence and the sentences it needs in their order.
@@ -76,6 +107,38 @@ RULES = [
     ("BSD-2-Clause", (18,)),
     ("Unlicense", (20,)),
     ("MPL-2.0", (25,)),
+    ("Apache-2.0", (40, 41, 39)),
+    ("BSD-3-Clause", (18, 27, 28, 19)),
+    ("BSD-2-Clause", (18, 27, 28)),
+    ("BSD-2-Clause", (48,)),
+    ("ISC", (29,)),
+    ("ISC", (49,)),
+    ("Zlib", (30,)),
+    ("Zlib", (50,)),
+    ("BSL-1.0", (31,)),
+    ("BSL-1.0", (51,)),
+    ("CC0-1.0", (32,)),
+    ("CC0-1.0", (52,)),
+    ("EPL-2.0", (33,)),
+    ("EPL-2.0", (53,)),
+    ("EPL-1.0", (34,)),
+    ("LGPL-2.1", (35, 36)),
+    ("LGPL-2.1", (36,)),
+    ("LGPL-2.1", (45,)),
+    ("LGPL-3.0", (35, 37)),
+    ("LGPL-3.0", (10, 37)),
+    ("LGPL-3.0", (37,)),
+    ("LGPL-3.0", (46,)),
+    ("AGPL-3.0", (10, 38)),
+    ("AGPL-3.0", (38,)),
+    ("AGPL-3.0", (47,)),
+    ("GPL-3.0", (44,)),
+    ("GPL-2.0", (42,)),
+    ("GPL-2.0", (43,)),
+    ("MPL-2.0", (54,)),
+    ("Unlicense", (55,)),
+    ("CC-BY-4.0", (56,)),
+    ("CC-BY-SA-4.0", (57,)),
     ("Proprietary", (26,)),
 ]
 

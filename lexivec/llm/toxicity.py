@@ -4,7 +4,7 @@ A word is predicted byte by byte from the ``ORDER - 1`` bytes before it; the bor
 Each class has its own counts of the longest grams. Both back off to one shared Kneser-Ney model: the
 pooled counts of the longest grams and, below them, numbers of different continuations in all labelled
 texts, so an expression that only one class has, or a new ending of a known stem, has a probability in both.
-All grams take part in these numbers, also those whose own ratios are too many to send.
+All grams of the sample take part in these numbers, and the ratios of all of them go to the tasks.
 
 What a class model adds over the other is a log-likelihood ratio per byte; a word's ratio is its sum over
 the bytes. Features of a text are its length-normalised ratio (the mean over its words), the greatest
@@ -38,7 +38,7 @@ LABELLED = 40_000
 FOLDS = 3
 #: Bytes of the longest grams.
 ORDER = 6
-#: Grams, and contexts, that are sent to the tasks at most; beyond it the ratios of the least counts are not sent.
+#: Grams whose ratios are found at once; those of more grams, a number that the sample bounds, are found by joins.
 GRAMS = 1 << 21
 #: Absolute discount of Kneser-Ney smoothing.
 DISCOUNT = 0.75
@@ -180,22 +180,9 @@ def shared_ratios(counts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     return grams.select("gram", known.alias("known"), "n"), sums.select("context", new.alias("new"), F.col("total_n").alias("n"))
 
 
-def _least(counted: DataFrame) -> tuple[int, bool]:
-    """The least ``n`` of the rows that fit into ``GRAMS``, the most frequent first, and whether all fit."""
-    level = F.floor(F.log2("n") * 8).alias("level")
-    least, held = 1 << 62, 0
-    for row in counted.groupBy(level).agg(F.min("n").alias("n"), F.count("*").alias("rows")).orderBy(F.desc("level")).collect():
-        held += row["rows"]
-        if held > GRAMS:
-            return least, False
-        least = row["n"]
-    return least, True
-
-
 def _sent(frame: DataFrame, scratch: Scratch, name: str) -> list[np.ndarray]:
-    """Two columns, in the order of the first, of the rows that fit into ``GRAMS``."""
-    frame = scratch.write(frame, name)
-    rows = frame.filter(F.col("n") >= _least(frame)[0]).drop("n").toArrow()
+    """Two columns, in the order of the first; as many rows as the labelled sample has grams."""
+    rows = scratch.write(frame, name).toArrow()
     keys, values = (rows.column(k).to_numpy() for k in range(2))
     order = np.argsort(keys)
     return [keys[order].view(np.uint64), values[order].astype(np.float32)]
@@ -203,7 +190,7 @@ def _sent(frame: DataFrame, scratch: Scratch, name: str) -> list[np.ndarray]:
 
 def model_ratios(counts: DataFrame, scratch: Scratch) -> Ratios | None:
     """The ratios of counted grams (gram, ordinary, toxic, n); None without grams of both classes."""
-    if _least(counts)[1]:
+    if counts.limit(GRAMS + 1).count() <= GRAMS:
         every = counts.select("gram", "ordinary", "toxic").toArrow()
         grams, ordinary, toxic = (every.column(k).to_numpy() for k in range(3))
         if not (ordinary.any() and toxic.any()):
@@ -213,7 +200,7 @@ def model_ratios(counts: DataFrame, scratch: Scratch) -> Ratios | None:
     if not (both[0] and both[1]):
         return None
     known, new = shared_ratios(counts, scratch)
-    return Ratios(*_sent(known, scratch, "known"), *_sent(new.filter("new <> 0"), scratch, "new"))
+    return Ratios(*_sent(known.drop("n"), scratch, "known"), *_sent(new.drop("n"), scratch, "new"))
 
 
 class Scorer:

@@ -87,8 +87,7 @@ def test_near_duplicates(spark, width):
     assert got == brute.components([r for r in rows if r[0] is not None], width)
 
 
-def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "DENSE", 0)
+def test_near_duplicates_in_a_dense_region(spark):
     rng = random.Random(3)
     base = prose(rng, 200, 5000).split()
     rows = []
@@ -101,6 +100,42 @@ def test_near_duplicates_in_a_dense_region(spark, monkeypatch):
     assert got == brute.components(rows, 4)
 
 
+@pytest.mark.parametrize("block", [40, 256])
+def test_near_duplicates_under_the_threshold(spark, monkeypatch, block):
+    """A large family whose pairs lie around the threshold, with changes that several of them share, in blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rng = random.Random(11)
+    base = prose(rng, 150, 5000).split()
+    rows = []
+    for k in range(500):
+        w = list(base)
+        for at in rng.sample(range(0, 150, 5), rng.choice([2, 4, 5, 6, 7])):
+            w[at] = f"n{rng.randrange(3)}x{at}"
+        rows.append((k, " ".join(w)))
+    rows += [(600, rows[3][1]), (None, rows[4][1]), (3, rows[3][1])]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(table(spark, rows), width=4).collect()}
+    assert got.pop(None)[1] is None
+    want = brute.components([r for r in rows if r[0] is not None], 4)
+    assert got == want and len({c for _, c in want.values()}) > 100
+
+
+def test_near_duplicates_of_string_ids(spark):
+    rows = corpus()
+    frame = table(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()}
+    want = brute.components([r for r in rows if r[0] is not None], 5)
+    assert {i: c for i, c in got.items() if i} == {f"d{i:04d}": f"d{c:04d}" for i, (_, c) in want.items()}
+
+
+def test_common_shingles():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 9000, size=n).astype(np.uint64)) for n in rng.integers(0, 3000, size=30)]
+    one, two = np.arange(0, 17), np.arange(11, 30)
+    got = neardup.common_shingles(sets, one, two)
+    assert all(got[i, j] == len(np.intersect1d(sets[a], sets[b])) for i, a in enumerate(one) for j, b in enumerate(two) if a != b)
+    assert neardup.common_shingles([np.zeros(0, np.uint64)] * 2, np.array([0]), np.array([1])).tolist() == [[0]]
+
+
 @pytest.mark.parametrize("parts", [1, 3, 40])
 def test_proposals_do_not_depend_on_partitions(spark, parts):
     """Neighbours and regions that a partition boundary parts are found."""
@@ -229,13 +264,45 @@ def test_lines(spark):
             (3, None), (4, ""), (5, "x\nshort\nA line that comes again here"), (6, "a line that comes again here\na line that comes again here")]
     got = {r["doc_id"]: r for r in lines.remove_repeated_units(table(spark, rows)).collect()}
     assert {i: bytes(r["kept"]).decode() for i, r in got.items()} == {
-        1: rows[0][1], 2: "rest of this text is new", 3: "", 4: "", 5: "x\nshort\n", 6: ""}
+        1: rows[0][1], 2: "rest of this text is new", 3: "", 4: "", 5: "x\n", 6: ""}
     assert [(s["begin"], s["end"]) for s in got[2]["spans"]] == [(0, 31)]
     assert got[1]["n_units"] == 4 and got[3]["n_units"] == 0
     ranked = lines.remove_repeated_units(table(spark, rows), rank=-F.col("doc_id")).collect()
     assert {r["doc_id"]: bytes(r["kept"]).decode() for r in ranked}[6] == "a line that comes again here\n"
 
 
+@pytest.mark.parametrize("paragraphs", [False, True])
+def test_repeated_units_against_a_plain_version(spark, paragraphs):
+    """Nulls, empty and very long texts, repeated rows, null ids, short units and units without spaces."""
+    rng = random.Random(8)
+    pool = ["menu", "one two", "日本語の文章です", "a  Longer LINE of words", "a longer line of words", "", " \t", "x" * 300]
+    rows = [(k, "\n".join(rng.choice([*pool, prose(rng, 6)]) for _ in range(rng.randrange(9)))) for k in range(60)]
+    rows += [(70, None), (71, ""), (72, "\n\n"), (73, "\n".join(prose(rng, 8, 30) for _ in range(4000)) + "\nmenu"), (5, rows[5][1])]
+    rows += [(None, "menu\nno id"), (80, "first paragraph\nof two lines\n\nsecond\n\n"), (81, "first paragraph of two lines\n\n\nthird\n")]
+    units, first = {}, {}
+    for row in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        body = (row[1] or "").encode()
+        bounds = lines.unit_bounds(body, paragraphs)
+        units[row] = [(a, b, b" ".join(body[a:b].lower().split())) for a, b in zip(bounds, bounds[1:], strict=False)]
+        for a, _, unit in units[row]:
+            first.setdefault(unit, (row, a))
+    want = []
+    for row in rows:
+        gone = [(a, b) for a, b, unit in units[row] if unit and first[unit] != (row, a)]
+        kept = b"".join((row[1] or "").encode()[a:b] for a, b, _ in units[row] if (a, b) not in gone)
+        want.append((row[0], len(units[row]), len(gone), sum(b - a for a, b in gone), hashlib.sha256(kept).hexdigest(),
+                     ",".join(f"{a}-{b}" for a, b in gone), kept.decode()))
+    got = lines.digest(lines.remove_repeated_units(table(spark, rows).repartition(6), paragraphs=paragraphs)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def test_cut_texts_with_clashing_columns(spark):
+    rows = corpus()
+    frame = table(spark, rows).select("*", F.lit(5).alias("spans"), F.lit("k").alias("k"), F.lit(1).alias("r"), F.lit(2).alias("kept"))
+    out = suffix.cut_texts(frame, length=100, gram=16)
+    assert out.columns == frame.columns and out.filter("spans = 5").count() == len(rows)
+
+
 def test_paragraphs():
     assert lines.unit_bounds(b"a\nb\n\n\nc\n", True) == [0, 6, 8]
     assert lines.unit_bounds(b"a\nb\n\n\nc\n") == [0, 2, 4, 5, 6, 8]

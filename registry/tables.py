@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexivec.functions import hashing as hs
 from lexivec.functions import random as rn
-from lexivec.operators import keyed, ordering, vocab
+from lexivec.operators import bloom, keyed, ordering, vocab
 from lexivec.operators import random as rd
 from lexivec.sources.keyed_store import KeyedStore
 from registry.common import lehmer_sql, q6, r6, table, words_sql
@@ -75,6 +75,23 @@ def delete_not_found(spark, sf):
     return keyed.keys_not_found(held, wanted, "c_custkey")
 
 
+def _urgent(spark, sf):
+    return table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_totalprice > 200000").select(
+        F.col("o_orderkey").alias("l_orderkey")
+    )
+
+
+def bloom_semi_join(spark, sf):
+    """Lines of urgent large orders; the filter keeps the other lines out of the shuffle."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return bloom.semi_join(lines, _urgent(spark, sf), "l_orderkey")
+
+
+def bloom_anti_join(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return bloom.anti_join(lines, _urgent(spark, sf), "l_orderkey")
+
+
 STAT_KEYS = {"customer": "c_custkey", "orders": "o_orderkey", "lineitem": "l_orderkey", "part": "p_name"}
 
 
@@ -194,7 +211,7 @@ def shuffle_exchange(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        first_wins_upsert, keyed_store, counting_upsert, lookup, lookup_nation, delete_keys, delete_not_found, table_stats,
+        first_wins_upsert, keyed_store, counting_upsert, lookup, lookup_nation, delete_keys, delete_not_found, bloom_semi_join, bloom_anti_join, table_stats,
         set_contains, set_subset, set_equal, set_union, set_intersection, set_difference, set_add_remove,
         djb2_buckets, knuth_buckets, sort_int, sort_str, lehmer_int, lehmer_uniform, lehmer_single, xavier_matrix, muller_matrix,
         shuffle, shuffle_exchange,
@@ -258,6 +275,11 @@ ORACLES = {
         "SELECT DISTINCT o_custkey AS c_custkey FROM orders "
         "WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"
     ),
+    **{
+        f"bloom_{kind}_join": f"SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey {word} "
+        "(SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000)"
+        for kind, word in (("semi", "IN"), ("anti", "NOT IN"))
+    },
     "table_stats": " UNION ALL ".join(
         f"SELECT '{n}' AS name, count(*) AS n_rows, count(*) = 0 AS is_empty, "
         f"'{'string' if n == 'part' else 'bigint'}' AS key_type FROM {n}" for n in STAT_KEYS

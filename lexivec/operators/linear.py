@@ -180,6 +180,7 @@ def _turn(x: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
 
 
 ATTENTION_BLOCK = 256  # positions of a block
+ATTENTION_GROUP = 16  # blocks of queries in one place
 
 
 class _Query:
@@ -223,42 +224,52 @@ def _block_parts(rows: pa.Array, names: tuple[str, ...]) -> tuple[pa.Array, np.n
 
 def causal_attention(
     table: DataFrame, sequence: list[str], key: str, heads: int, kv_heads: int, base: float = vx.ROTARY_BASE,
-    block: int = ATTENTION_BLOCK,
+    block: int = ATTENTION_BLOCK, group: int = ATTENTION_GROUP,
 ) -> DataFrame:
     """Grouped causal attention within each sequence: ``(key, out)``.
 
     ``table`` has the sequence columns, ``pos`` from 0, the key and vectors ``q``, ``k``, ``v``. A sequence
-    of any length is cut into blocks of ``block`` positions; every block of queries meets every block of
-    keys not after it. Its rows arrive sorted, and a running maximum, sum and weighted sum per position
-    and head are all that stays, so a task holds two blocks. The work is quadratic in the length, as
-    attention is; a long sequence is spread over as many tasks as it has blocks of queries.
+    of any length is cut into blocks of ``block`` positions, and ``group`` blocks of queries go to one place, where
+    every block of keys not after them arrives once, sorted. A running maximum, sum and weighted sum per position
+    and head are all that stays, so a task holds the queries of a group and one block of keys. The work is quadratic in
+    the length, as attention is; what is shuffled is the queries once and the keys once per later group.
     """
     part = F.floor(F.col("pos") / block).cast("bigint")
     items = table.select(*sequence, part.alias("_block"), F.struct("pos", F.col(key).alias("key"), "q", "k", "v").alias("r"))
-    blocks = items.groupBy(*sequence, "_block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    rows = items.groupBy(*sequence, "_block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
     last = F.max("_block").over(Window.partitionBy(*sequence))  # one row per block, not per position
-    queries = blocks.select(*sequence, "_block", F.transform("rows", lambda r: F.struct(r.pos, r.key, r.q)).alias("queries"))
-    keys = blocks.select(
-        *sequence, F.col("_block").alias("_keys"), last.alias("_last"),
-        F.transform("rows", lambda r: F.struct(r.pos, r.key, r.k, r.v)).alias("keys"),
-    ).withColumn("_block", F.explode(F.sequence("_keys", "_last"))).drop("_last")
-    kind = table.schema[key].dataType.simpleString()
     names = [f"s{n}" for n in range(len(sequence))]
-    met = keys.join(queries, [*sequence, "_block"]).select(*(F.col(c).alias(n) for c, n in zip(sequence, names)), "_block", "_keys", "queries", "keys")
-    order = [*names, "_block"]
-    met = met.repartition(*order).sortWithinPartitions(*order, "_keys")
+    at = [F.col(c).alias(n) for c, n in zip(sequence, names)]
+    none = {c: F.lit(None).cast(table.schema[c].dataType).alias(c) for c in ("q", "k", "v")}
+    queries = rows.select(
+        *at, F.floor(F.col("_block") / group).alias("_group"), F.lit(0).alias("_kind"), "_block",
+        F.transform("rows", lambda r: F.struct(r.pos, r.key, r.q, none["k"], none["v"])).alias("rows"),
+    )
+    keys = rows.withColumn("_last", last).select(
+        *at, F.explode(F.sequence(F.floor(F.col("_block") / group), F.floor(F.col("_last") / group))).alias("_group"),
+        F.lit(1).alias("_kind"), "_block", F.transform("rows", lambda r: F.struct(r.pos, r.key, none["q"], r.k, r.v)).alias("rows"),
+    )
+    kind = table.schema[key].dataType.simpleString()
+    place = [*names, "_group"]
+    met = queries.unionByName(keys).repartition(*place).sortWithinPartitions(*place, "_kind", "_block")
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, state = None, None
+        here, held = None, {}
         for batch in batches:
             for n in range(len(batch)):
-                here = tuple(batch.column(c)[n].as_py() for c in range(len(order)))
-                if here != at:
-                    if state is not None:
+                *now, is_keys, number = (batch.column(c)[n].as_py() for c in range(len(place) + 2))
+                if now != here:
+                    for state in held.values():
                         yield state.rows(key)
-                    at, state = here, _Query(batch.column(len(order) + 1)[n].values, heads, heads // kv_heads, base)
-                state.meet(batch.column(len(order) + 2)[n].values)
-        if state is not None:
+                    here, held = now, {}
+                values = batch.column(len(place) + 2)[n].values
+                if not is_keys:
+                    held[number] = _Query(values, heads, heads // kv_heads, base)
+                    continue
+                for queries_at, state in held.items():
+                    if queries_at >= number:
+                        state.meet(values)
+        for state in held.values():
             yield state.rows(key)
 
     return met.mapInArrow(attend, f"{key} {kind}, out array<double>")

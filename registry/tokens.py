@@ -159,10 +159,9 @@ def token_listing(spark, sf):
 
 
 def token_sequences(spark, sf):
-    """Position, id and bytes of every token of the benchmark texts."""
+    """Position, id and bytes of every token of the documents."""
     model = tokenizer_of(spark, sf)
-    items = codec.encode_corpus(table(spark, sf, "benchmark"), model)
-    return codec.token_sequences(items, model, ["item_id"])
+    return codec.token_sequences(encoded_docs(spark, sf, model), model, ["doc_id"])
 
 
 def next_token_pairs(spark, sf):
@@ -262,7 +261,6 @@ def encoded_sql(source: str) -> str:
 
 DOCS = encoded_sql("documents")
 TURNS = encoded_sql("conversations")
-ITEMS = encoded_sql("benchmark")
 TOKENIZER = f"SELECT id, token, id < 4 AS is_special, rank::DOUBLE AS rank, {SCORE} AS score FROM ids LEFT JOIN ranks USING (token)"
 
 ORACLES = {
@@ -313,7 +311,7 @@ ORACLES = {
         "(SELECT lang, unnest(l) AS token FROM enc) GROUP BY lang, token) JOIN ids USING (token)"
     ),
     "token_sequences": (
-        f"WITH {ITEMS} SELECT item_id, (pos - 1)::INT AS pos, id, token FROM (SELECT item_id, unnest(l) AS token, "
+        f"WITH {DOCS} SELECT doc_id, (pos - 1)::INT AS pos, id, token FROM (SELECT doc_id, unnest(l) AS token, "
         "generate_subscripts(l, 1) AS pos FROM enc) JOIN ids USING (token)"
     ),
     "next_token_pairs": (

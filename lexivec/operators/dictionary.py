@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexivec.functions.greedy import CHUNKS, GreedyEncoder
 from lexivec.operators import codec
@@ -85,7 +86,7 @@ def _referring(hot: dict[bytes, bytes]):
                     parts.append(known)
                 coded.append(np.frombuffer(b"".join(parts), np.int32))
                 rare.append(list(own))
-            missing = pa.array([d is None for d in batch.column(batch.num_columns - 1)])
+            missing = batch.column(batch.num_columns - 1).is_null()
             ids = pc.if_else(missing, pa.nulls(len(batch), pa.list_(pa.int32())), _lists(coded))
             rows = pa.array(row + np.arange(len(batch)))
             row += len(batch)
@@ -116,7 +117,7 @@ def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(size)
             inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
             owner = np.repeat(which, size)
-            coded.append(np.where(owner >= 0, flat[begins[owner] + np.where(owner >= 0, inner, 0)], np.repeat(ids, size)).astype(np.int32))
+            coded.append(np.where(owner >= 0, flat[np.where(owner >= 0, begins[owner] + inner, 0)], np.repeat(ids, size)).astype(np.int32))
         ids = pc.if_else(batch.column(place).is_null(), pa.nulls(len(batch), pa.list_(pa.int32())), _lists(coded))
         yield pa.RecordBatch.from_arrays([*batch.columns[:place], ids], batch.schema.names[: place + 1])
 
@@ -126,10 +127,9 @@ def encode_by_dictionary(docs: DataFrame, tokenizer: DataFrame, text: str = "tex
 
     Where a ranked token spans whitespace chunks do not stand alone, and the narrow form is taken.
     """
-    tokens = tokenizer.filter("rank is not null").select(F.unhex("token").alias("t"))
-    # A ranked token stands within a chunk if it has no whitespace byte, or is one.
-    crossing = F.expr("length(t) > 1 and translate(cast(t as string), ' \\t\\n\\u000b\\f\\r', '') <> cast(t as string)")
-    if not tokens.filter(crossing).isEmpty():
+    # A ranked token stands within a chunk if it has no whitespace byte, or is one; tokens are in hex.
+    crossing = F.col("rank").isNotNull() & (F.length("token") > 2) & F.rlike("token", F.lit("^(?:..)*(?:20|0[9A-D])"))
+    if not tokenizer.filter(crossing).isEmpty():
         return codec.encode_corpus(docs, tokenizer, text)
     scratch = Scratch(docs.sparkSession, "dictionary")
     docs = spread(docs)
@@ -137,14 +137,14 @@ def encode_by_dictionary(docs: DataFrame, tokenizer: DataFrame, text: str = "tex
     first = table.filter(F.octet_length("chunk") <= HOT_BYTES).orderBy(F.desc("n"), "chunk").limit(hot).toArrow()
     chosen = dict(zip(first.column("chunk").to_pylist(), (np.array(i, np.int32).tobytes() for i in first.column("ids").to_pylist()), strict=True))
     kept = [c for c in docs.columns if c != text]
-    shape = docs.select(*kept).schema.add("ids", "array<int>")
+    shape = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType()))
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _referring(shared.value)(batches)
 
     parts = docs.select(*kept, F.col(text).cast("binary").alias("_text")).mapInArrow(
-        refer, docs.select(*kept).schema.add("ids", "array<int>").add("_row", "bigint").add("_rare", "array<binary>")
+        refer, docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("_row", T.LongType()).add("_rare", T.ArrayType(T.BinaryType()))
     )
     parts = scratch.write(parts, "parts")
     asked = parts.select("_row", F.posexplode("_rare").alias("pos", "chunk"))

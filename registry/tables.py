@@ -254,11 +254,11 @@ ORACLES = {
     ),
     "keyed_store": (
         "WITH held AS (SELECT c_custkey AS key, c_acctbal AS value FROM customer WHERE c_mktsegment = 'BUILDING'), "
-        "both AS (SELECT key, value FROM held UNION ALL SELECT key, value FROM (SELECT o_custkey AS key, o_totalprice AS value, "
+        "joined AS (SELECT key, value FROM held UNION ALL SELECT key, value FROM (SELECT o_custkey AS key, o_totalprice AS value, "
         "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) "
         "WHERE rn = 1 AND key NOT IN (SELECT key FROM held)) "
         "SELECT c_custkey AS key, c_nationkey, CASE WHEN c_acctbal >= 0 THEN value END AS value "
-        "FROM customer LEFT JOIN both ON key = c_custkey"
+        "FROM customer LEFT JOIN joined ON key = c_custkey"
     ),
     "counting_upsert": (
         f"SELECT word, sum(freq)::BIGINT AS freq FROM ({words_sql('documents')} UNION ALL "

@@ -121,8 +121,8 @@ w AS (SELECT r, doc_id, n, k, l || CASE WHEN k < n OR t LIKE '%' || chr(10) THEN
       trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	
 
 ]+', ' ', 'g')) AS s FROM u),
-p AS (SELECT *, s <> '' AS some, sum(strlen(raw)) OVER (PARTITION BY r ORDER BY k) AS until FROM w),
-q AS (SELECT *, some AND row_number() OVER (PARTITION BY s, some ORDER BY doc_id, k) > 1 AS gone FROM p),
+p AS (SELECT *, s <> '' AS filled, sum(strlen(raw)) OVER (PARTITION BY r ORDER BY k) AS until FROM w),
+q AS (SELECT *, filled AND row_number() OVER (PARTITION BY s, filled ORDER BY doc_id, k) > 1 AS gone FROM p),
 g AS (SELECT r, max(n) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
       sum(strlen(raw)) FILTER (WHERE gone) AS bytes_removed, string_agg(raw, '' ORDER BY k) FILTER (WHERE NOT gone) AS kept,
       string_agg((until - strlen(raw))::BIGINT || '-' || until::BIGINT, ',' ORDER BY k) FILTER (WHERE gone) AS spans

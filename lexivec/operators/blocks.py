@@ -213,7 +213,8 @@ class _Leaders:
     """The best ``k`` rows of each query of a block, smaller keys first on ties."""
 
     def __init__(self, names: pa.Array, queries: np.ndarray, k: int, key: str):
-        self.names, self.queries, self.k, self.key = names, queries, k, key
+        # Copies: a slice would keep the whole Arrow batch that it came in.
+        self.names, self.queries, self.k, self.key = names.take(pa.array(np.arange(len(names)))), queries.copy(), k, key
         self.norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         self.best: list[pa.Table | None] = [None] * len(names)
         self.mark = np.full(len(names), -np.inf)  # score of the k-th row, once there are k
@@ -243,14 +244,20 @@ class _Leaders:
         return len(self.mark) - len(wanted)
 
     def batches(self, query: str) -> Iterator[pa.RecordBatch]:
-        for n, best in enumerate(self.best):
-            if best is not None:
-                best = best.combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [self.names.take(pa.array([n] * len(best))), *(c.combine_chunks() for c in best.columns),
-                     pa.nulls(len(best), pa.int64()), pa.nulls(len(best), pa.int64())],
-                    [query, self.key, "score", "met", "skipped"],
-                )
+        found = [(n, best) for n, best in enumerate(self.best) if best is not None]
+        if found:
+            names = self.names.take(pa.array(np.repeat([n for n, _ in found], [len(best) for _, best in found])))
+            rows = pa.concat_tables([best for _, best in found]).combine_chunks()
+            none = pa.nulls(len(names), pa.int64())
+            columns = [names, *(c.combine_chunks() for c in rows.columns), none, none]
+            yield pa.RecordBatch.from_arrays(columns, [query, self.key, "score", "met", "skipped"])
+
+
+def _counted(met: int, skipped: int, key: str, query: str, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, pa.float64()), pa.array([met]), pa.array([skipped])],
+        [query, key, "score", "met", "skipped"],
+    )
 
 
 def _scorer(number: str, k: int, key: str, query: str, kinds: list[pa.DataType]):
@@ -276,10 +283,70 @@ def _scorer(number: str, k: int, key: str, query: str, kinds: list[pa.DataType])
         for one in held.values():
             yield from one.batches(query)
         if met:
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(1, kinds[0]), pa.nulls(1, kinds[1]), pa.nulls(1, pa.float64()), pa.array([met]), pa.array([skipped])],
-                [query, key, "score", "met", "skipped"],
-            )
+            yield _counted(met, skipped, key, query, kinds)
+
+    return run
+
+
+def _deal(x: DataFrame, q: DataFrame, bundles: int) -> DataFrame:
+    """A bundle of query blocks in one place per salt, and behind it the vectors' blocks of that salt, longest first."""
+    tasks = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-tasks // bundles))
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    share = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    none = {c: F.lit(None).cast(d.schema[c].dataType).alias(c) for d, c in ((x, "keys"), (q, "names"))}
+    asked = q.select(
+        share("asked", bundles).alias("bundle"), number(salts).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("double").alias("norm"),
+        F.col("asked").alias("block"), none["keys"], "names", F.col("m").alias("n"), F.col("q").alias("x"),
+    )
+    rows = x.select(
+        number(bundles).alias("bundle"), share("block", salts).alias("salt"), F.lit(1).alias("kind"), "norm", "block", "keys", none["names"], "n", "x"
+    )
+    place = ["bundle", "salt"]
+    return asked.unionByName(rows).repartition(*place).sortWithinPartitions(*place, "kind", F.desc("norm"), "block")
+
+
+def _dealt_scorer(number: str, k: int, key: str, query: str, kinds: list[pa.DataType]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows of ``_deal``: the leaders of one place at a time, which take in small blocks of vectors together."""
+        here, held, ids, rows, longest = None, [], [], [], 0.0
+        met = skipped = 0
+
+        def take_in() -> None:
+            nonlocal met, skipped, longest
+            if rows:
+                whole = np.concatenate(rows)
+                for leaders in held:
+                    if whole.shape[1] != leaders.queries.shape[1]:
+                        raise ValueError(f"vectors of {whole.shape[1]} elements meet queries of {leaders.queries.shape[1]}")
+                    skipped += leaders.meet(pa.concat_arrays(ids), whole, longest)
+                    met += len(leaders.mark)
+            ids.clear(), rows.clear()
+            longest = 0.0
+
+        for batch in batches:
+            for row in range(len(batch)):
+                bundle, salt, kind, norm, _, keys, names, n, x = (batch.column(c)[row] for c in range(9))
+                now = (bundle.as_py(), salt.as_py())
+                if now != here:
+                    take_in()
+                    for leaders in held:
+                        yield from leaders.batches(query)
+                    here, held = now, []
+                if kind.as_py() == 0:
+                    held.append(_Leaders(names.values, np.frombuffer(x.as_buffer(), "<f8").reshape(n.as_py(), -1), k, key))
+                elif held:
+                    block = np.frombuffer(x.as_buffer(), number).reshape(n.as_py(), -1).astype(np.float64)
+                    if rows and (rows[0].shape[1] != block.shape[1] or sum(r.size for r in rows) + block.size > BLOCK_CELLS):
+                        take_in()
+                    ids.append(keys.values)
+                    rows.append(block)
+                    longest = max(longest, norm.as_py())
+        take_in()
+        for leaders in held:
+            yield from leaders.batches(query)
+        if met:
+            yield _counted(met, skipped, key, query, kinds)
 
     return run
 
@@ -291,7 +358,8 @@ def block_scores(
     """``(query, key, score, met, skipped)``: per task the best ``k`` rows of each query, and a last row of counts.
 
     ``wanted`` is the vector column of ``queries``, which hold ``total`` numbers. Every block of vectors meets every
-    block of queries. Vectors come longest first, and a query skips a block whose largest norm times its own
+    block of queries: at most ``broadcast_cells`` numbers go to every task, more of them are dealt in bundles, of which a
+    task holds one, and every block of vectors goes once to each bundle. Vectors come longest first, and a query skips a block whose largest norm times its own
     cannot reach the score of its k-th row: ``met`` and ``skipped`` count these meetings of a query and a block.
     """
     kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, query), (table, key))]
@@ -301,9 +369,10 @@ def block_scores(
     q = vector_blocks(asked, query, wanted, cells=cells).select(
         F.col("block").alias("asked"), F.col("keys").alias("names"), F.col("n").alias("m"), F.col("x").alias("q")
     )
-    bundles = max(1, -(-total // (cells * BUNDLE)))
-    met = meet(x, q, [], F.pmod(F.xxhash64("asked"), F.lit(bundles)).cast("int"), bundles, 1, total <= broadcast_cells)
-    met = met.select("keys", "n", "norm", "x", "asked", "names", "m", "q")
-    run = _scorer(_number(table, vec), k, key, query, arrow)
-    return met.mapInArrow(run, f"{query} {kinds[0]}, {key} {kinds[1]}, score double, met bigint, skipped bigint")
-
+    out = f"{query} {kinds[0]}, {key} {kinds[1]}, score double, met bigint, skipped bigint"
+    number = _number(table, vec)
+    if total > broadcast_cells:
+        bundles = -(-total // max(cells * BUNDLE, BLOCK_CELLS))
+        return _deal(x, q, bundles).mapInArrow(_dealt_scorer(number, k, key, query, arrow), out)
+    met = meet(x, q, [], F.lit(0), 1, 1, True).select("keys", "n", "norm", "x", "asked", "names", "m", "q")
+    return met.mapInArrow(_scorer(number, k, key, query, arrow), out)

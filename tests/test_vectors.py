@@ -1,12 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexivec.functions import formats as fm
 from lexivec.functions import vectors as vx
-from lexivec.operators import learn, linear, quant
+from lexivec.operators import blocks, learn, linear, quant
 from lexivec.operators import random as rd
 
 PROBE = [0.0, 1.0, 0.1, -1.5, 65504.0, 65536.0, 70000.0, 1e-6]
@@ -123,6 +124,20 @@ def test_scoring_blocks_agree(spark):
         assert [v for i, _, v in small if i == q] == best.tolist()
 
 
+def test_dealt_scoring_agrees_and_keeps_no_batches(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    data = np.concatenate([rng.normal(size=(290, 6)), np.ones((10, 6))]).astype(np.float32)  # with ties
+    frame = vectors(spark, *data.tolist()).repartition(5)
+    queries = spark.createDataFrame([(f"q{i}", data[i].tolist()) for i in range(0, 300, 7)], "qid string, embedding array<double>")
+    read = lambda d: sorted((r["qid"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in d.collect())
+    small = read(linear.tied_scoring(frame, queries, "vec_id", "embedding", "qid", 4))
+    monkeypatch.setattr(blocks, "BLOCK_CELLS", 100)  # several bundles
+    assert read(linear.tied_scoring(frame, queries, "vec_id", "embedding", "qid", 4, block_cells=12, broadcast_cells=0)) == small
+    batch = pa.array(np.zeros(1 << 17))
+    leaders = blocks._Leaders(batch.slice(5, 2), np.zeros((4, 3))[1:3], 4, "k")
+    assert leaders.names.get_total_buffer_size() < 1000 and leaders.queries.base is None  # of a batch of 1 MB, two rows
+
+
 @pytest.mark.parametrize("block", [1, 4, 8, 100])
 def test_attention_over_blocks_and_brute_force(spark, block):
     rng = np.random.default_rng(2)

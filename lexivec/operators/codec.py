@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexivec.functions.greedy import GreedyEncoder
+from lexivec.operators.blocks import BROADCAST_CELLS
 from lexivec.operators.keyed import lookup
 from lexivec.sources.sizing import spread
 
@@ -19,6 +21,7 @@ BROADCAST_TOKENS = 2_000_000  # above any table of this package: merges are limi
 INLINE_TOKENS = 100_000  # the most tokens a decode plan carries as a constant
 BOS, EOS, UNKNOWN = 0, 1, "<|unk|>"
 ID_BYTES = 4
+SLICE_BYTES = 1 << 20  # of text that a task encodes at a time
 DECODE_SEGMENT = 4096  # ids of a row that one list holds
 _ENCODERS: dict[str, GreedyEncoder] = {}  # per Python worker: the encoder last used, with its memo
 
@@ -38,6 +41,18 @@ def shared_tokens(tokenizer: DataFrame) -> tuple[Broadcast, bytes | None]:
     return tokenizer.sparkSession.sparkContext.broadcast(tokens), unknown
 
 
+def _slices(texts: pa.Array, size: int | None = None) -> Iterator[pa.Array]:
+    """The texts in parts of about ``size`` bytes, a longer one by itself: ids take four times the room of their text."""
+    size = size or SLICE_BYTES
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < len(texts):
+        begin = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, begin + size, "right")))
+        yield texts.slice(at, stop - at)
+        at = stop
+
+
 def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     """A column function from text to token ids.
 
@@ -45,21 +60,23 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     the id of the unknown token, or -1 when the table has none.
 
     Encoding is narrow: the token table, whose size is checked, goes to every task once, and
-    texts are never exploded or shuffled.
+    texts are never exploded or shuffled. A task holds the ids of a few texts at a time, whatever Spark's batches hold.
     """
     shared, unknown = shared_tokens(tokenizer)
     name = uuid.uuid4().hex
 
-    def encode(texts: pa.Array) -> pa.Array:
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         greedy = _ENCODERS.get(name)
         if greedy is None:
             _ENCODERS.clear()
             greedy = _ENCODERS[name] = GreedyEncoder(shared.value, unknown)
-        missing = np.asarray(texts.is_null().to_numpy(zero_copy_only=False))
-        coded = [greedy.text(t.split(b"\0", 1)[0]) if t else b"" for t in texts.to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(c) // ID_BYTES for c in coded])]).astype(np.int32)
-        ids = np.frombuffer(b"".join(coded), dtype=np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array(missing))
+        for texts in batches:
+            for part in _slices(texts):
+                missing = np.asarray(part.is_null().to_numpy(zero_copy_only=False))
+                coded = [greedy.text(t.split(b"\0", 1)[0]) if t else b"" for t in part.to_pylist()]
+                ends = np.concatenate([[0], np.cumsum([len(c) // ID_BYTES for c in coded])]).astype(np.int32)
+                ids = np.frombuffer(b"".join(coded), dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array(missing))
 
     ids = F.arrow_udf(encode, "array<int>")
     return lambda text: ids(text.cast("binary"))
@@ -118,6 +135,12 @@ def _decode_by_join(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) ->
     return whole.select(*key, F.when(~F.col("bad"), F.col("text")).alias("decoded"))
 
 
+def _shared(table: DataFrame, size: Column, most: int) -> DataFrame:
+    """A table of checked size goes to every task: dealt by id, all tokens of a corpus would be shuffled to few ids."""
+    total = table.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(table) if total <= most else table
+
+
 def token_listing(encoded: DataFrame, tokenizer: DataFrame, by: str) -> DataFrame:
     """How often each token occurs per group, named after counting.
 
@@ -135,7 +158,8 @@ def token_listing(encoded: DataFrame, tokenizer: DataFrame, by: str) -> DataFram
 def token_sequences(encoded: DataFrame, tokenizer: DataFrame, key: list[str]) -> DataFrame:
     """Every token of every sequence: ``(key, pos, id, token)``; an id without a token has NULL."""
     rows = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "id")).filter("id is not null")
-    return lookup(rows, tokenizer.select("id", "token"), "id").select(*key, "pos", "id", "token")
+    table = _shared(tokenizer.select("id", "token"), F.lit(1), INLINE_TOKENS)
+    return lookup(rows, table, "id").select(*key, "pos", "id", "token")
 
 
 def next_token_pairs(encoded: DataFrame) -> DataFrame:
@@ -151,4 +175,5 @@ def next_token_pairs(encoded: DataFrame) -> DataFrame:
 def embedding_lookup(encoded: DataFrame, table: DataFrame, key: list[str]) -> DataFrame:
     """Rows of an embedding table ``(id, vec)`` in token order: ``(key, pos, id, vec)``."""
     rows = encoded.select(*key, F.posexplode_outer("ids").alias("pos", "id")).filter("id is not null")
-    return lookup(rows, table.select("id", "vec"), "id").select(*key, "pos", "id", "vec")
+    table = _shared(table.select("id", "vec"), F.greatest(F.size("vec"), F.lit(1)), BROADCAST_CELLS)
+    return lookup(rows, table, "id").select(*key, "pos", "id", "vec")

@@ -1,7 +1,9 @@
 import math
 
+import pyarrow as pa
 import pytest
 from brute import encode, train
+from pyspark.sql import functions as F
 
 from lexivec.functions import symbols as sy
 from lexivec.operators import bpe, codec, tokens, vocab
@@ -145,3 +147,38 @@ def test_embedding_lookup_keeps_positions(spark, model):
     vectors = model.selectExpr("id", "array(cast(id as double)) as vec")
     rows = codec.embedding_lookup(encoded, vectors, ["doc_id"]).orderBy("pos").collect()
     assert [r["id"] for r in rows] == encoded.first()["ids"] and all(r["vec"] == [float(r["id"])] for r in rows)
+
+
+def test_texts_are_encoded_in_slices(spark, docs, model, monkeypatch):
+    """Ids of a few texts at a time, whatever the batch; every text whole, once and in order."""
+    texts = pa.array([b"ab", None, b"", b"c" * 50, b"de", b"f" * 9, None])
+    parts = [p.to_pylist() for p in codec._slices(texts[1:], 10)]
+    assert parts == [[None, b""], [b"c" * 50], [b"de"], [b"f" * 9], [None]] and list(codec._slices(texts[:0])) == []
+    assert [len(p) for p in codec._slices(texts)] == [7]
+    whole = codec.encode_corpus(docs, model).orderBy("doc_id").collect()
+    monkeypatch.setattr(codec, "SLICE_BYTES", 8)
+    assert codec.encode_corpus(docs, model).orderBy("doc_id").collect() == whole
+
+
+def test_tokens_stay_where_they_are(spark, docs, model, monkeypatch):
+    """No token is shuffled to look up a table of checked size, and a larger one gives the same rows."""
+    encoded = docs.select("doc_id", F.array(F.lit(3), F.lit(-7), F.lit(5), F.lit(5)).alias("ids"))
+    vectors = model.selectExpr("id", "array(cast(id as double)) as vec")
+    planned = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        for name, run in (
+            ("INLINE_TOKENS", lambda: codec.token_sequences(encoded, model, ["doc_id"])),
+            ("BROADCAST_CELLS", lambda: codec.embedding_lookup(encoded, vectors, ["doc_id"])),
+        ):
+            near = run()
+            monkeypatch.setattr(codec, name, 5)
+            far = run()
+            assert "(strategy=broadcast)" in planned(near) and "(strategy=broadcast)" not in planned(far)
+            assert sorted(map(str, near.collect())) == sorted(map(str, far.collect())) and near.count() == 4 * docs.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

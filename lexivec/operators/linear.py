@@ -179,40 +179,54 @@ def _turn(x: np.ndarray, pos: np.ndarray, base: float) -> np.ndarray:
     )
 
 
-ATTENTION_BLOCK = 256  # positions of a block
-ATTENTION_GROUP = 16  # blocks of queries in one place
+ATTENTION_BLOCK = 256  # positions of a block, and of the keys that are taken in together
+ATTENTION_POSITIONS = 2048  # positions of queries in one place
 
 
-class _Query:
-    """A block of query positions with its running softmax over blocks of keys."""
+class _Queries:
+    """The query positions of a group with their running softmax over stretches of keys."""
 
-    def __init__(self, rows: pa.Array, heads: int, share: int, base: float):
-        self.keys, self.pos, (q,) = _block_parts(rows, ("q",))
+    def __init__(self, blocks_of: list[pa.Array], heads: int, share: int, base: float):
         self.heads, self.share, self.base = heads, share, base
+        parts = [_block_parts(rows, ("q",)) for rows in blocks_of]
+        self.keys = pa.concat_arrays([keys.take(pa.array(np.arange(len(keys)))) for keys, _, _ in parts])
+        self.pos = np.concatenate([pos for _, pos, _ in parts])
+        q = np.concatenate([q for _, _, (q,) in parts])
         q = _turn(q.reshape(len(q), heads, -1), self.pos, base)
-        self.q = q / np.sqrt(q.shape[2])
-        self.peak = np.full((len(q), heads), -np.inf)
-        self.sum = np.zeros((len(q), heads))
+        self.q = self._rows(q / np.sqrt(q.shape[2]))
+        self.peak = np.full((*self.q.shape[:2], 1), -np.inf)
+        self.sum = np.zeros(self.peak.shape)
         self.out: np.ndarray | None = None
 
-    def meet(self, rows: pa.Array) -> None:
-        """Take in one block of keys and values."""
-        _, pos, (k, v) = _block_parts(rows, ("k", "v"))
-        k = np.repeat(_turn(k.reshape(len(k), self.heads // self.share, -1), pos, self.base), self.share, axis=1)
-        v = np.repeat(v.reshape(len(v), self.heads // self.share, -1), self.share, axis=1)
-        scores = np.einsum("ihd,jhd->ihj", self.q, k)
-        scores = np.where((pos[None, :] <= self.pos[:, None])[:, None, :], scores, -np.inf)
-        peak = np.maximum(self.peak, scores.max(axis=2))
-        with np.errstate(invalid="ignore"):
-            keep = np.where(np.isneginf(self.peak), 0.0, np.exp(self.peak - peak))
-            power = np.where(np.isneginf(scores), 0.0, np.exp(scores - peak[:, :, None]))
-        gain = np.einsum("ihj,jhd->ihd", power, v)
-        self.sum = self.sum * keep + power.sum(axis=2)
-        self.out = gain if self.out is None else self.out * keep[:, :, None] + gain
+    def _rows(self, x: np.ndarray) -> np.ndarray:
+        """``(row, head, d)`` as ``(key head, share of it and row, d)``."""
+        return np.ascontiguousarray(x.reshape(len(x), -1, self.share, x.shape[2]).transpose(1, 2, 0, 3)).reshape(self.heads // self.share, -1, x.shape[2])
+
+    def meet(self, pos: np.ndarray, k: np.ndarray, v: np.ndarray) -> None:
+        """Take in a stretch of keys and values."""
+        k = _turn(k.reshape(len(k), self.heads // self.share, -1), pos, self.base).transpose(1, 2, 0)
+        v = v.reshape(len(v), self.heads // self.share, -1).transpose(1, 0, 2)
+        with np.errstate(invalid="ignore", over="ignore"):
+            scores = self.q @ k
+            seen = None if pos.max() <= self.pos.min() else np.tile(pos[None, :] <= self.pos[:, None], (self.share, 1))
+            if seen is not None:
+                scores = np.where(seen, scores, -np.inf)
+            peak = np.maximum(self.peak, scores.max(axis=2, keepdims=True))
+            level = np.where(np.isneginf(peak), 0.0, peak)
+            keep = np.exp(self.peak - level)
+            power = np.exp(np.subtract(scores, level, out=scores), out=scores)
+            odd = np.flatnonzero(~np.isfinite(v).all(axis=(0, 2)))  # 0 times these is no 0 for a position before them
+            gain = power @ (v if not len(odd) else np.where(np.isfinite(v).all(axis=(0, 2))[None, :, None], v, 0.0))
+            for at in odd.tolist():
+                own = power[:, :, at, None] * v[:, at, None, :]
+                gain = gain + (own if seen is None else np.where(seen[:, at][None, :, None], own, 0.0))
+            self.sum = self.sum * keep + power.sum(axis=2, keepdims=True)
+            self.out = gain if self.out is None else self.out * keep + gain
         self.peak = peak
 
     def rows(self, key: str) -> pa.RecordBatch:
-        out = (self.out / self.sum[:, :, None]).reshape(len(self.pos), -1)
+        out = (self.out / self.sum).reshape(self.heads // self.share, self.share, len(self.pos), -1)
+        out = out.transpose(2, 0, 1, 3).reshape(len(self.pos), -1)
         return pa.RecordBatch.from_arrays([self.keys, ragged(out, np.zeros(len(out), bool), pa.float64())], [key, "out"])
 
 
@@ -224,16 +238,17 @@ def _block_parts(rows: pa.Array, names: tuple[str, ...]) -> tuple[pa.Array, np.n
 
 def causal_attention(
     table: DataFrame, sequence: list[str], key: str, heads: int, kv_heads: int, base: float = vx.ROTARY_BASE,
-    block: int = ATTENTION_BLOCK, group: int = ATTENTION_GROUP,
+    block: int = ATTENTION_BLOCK, group: int | None = None,
 ) -> DataFrame:
     """Grouped causal attention within each sequence: ``(key, out)``.
 
     ``table`` has the sequence columns, ``pos`` from 0, the key and vectors ``q``, ``k``, ``v``. A sequence
-    of any length is cut into blocks of ``block`` positions, and ``group`` blocks of queries go to one place, where
-    every block of keys not after them arrives once, sorted. A running maximum, sum and weighted sum per position
-    and head are all that stays, so a task holds the queries of a group and one block of keys. The work is quadratic in
+    of any length is cut into blocks of ``block`` positions, and ``group`` blocks of queries (those of ``ATTENTION_POSITIONS``)
+    go to one place, where every block of keys not after them arrives once, sorted. A running maximum, sum and weighted sum
+    per position and head are all that stays, so a task holds the queries of a group and a stretch of keys. The work is quadratic in
     the length, as attention is; what is shuffled is the queries once and the keys once per later group.
     """
+    group = group or max(1, ATTENTION_POSITIONS // block)
     part = F.floor(F.col("pos") / block).cast("bigint")
     items = table.select(*sequence, part.alias("_block"), F.struct("pos", F.col(key).alias("key"), "q", "k", "v").alias("r"))
     rows = items.groupBy(*sequence, "_block").agg(F.array_sort(F.collect_list("r")).alias("rows"))
@@ -254,23 +269,34 @@ def causal_attention(
     met = queries.unionByName(keys).repartition(*place).sortWithinPartitions(*place, "_kind", "_block")
 
     def attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held = None, {}
+        here, asked, held, near = None, [], None, []
+
+        def take_in() -> None:
+            if near:
+                held.meet(np.concatenate([p for p, _, _ in near]), np.concatenate([k for _, k, _ in near]), np.concatenate([v for _, _, v in near]))
+                near.clear()
+
         for batch in batches:
             for n in range(len(batch)):
-                *now, is_keys, number = (batch.column(c)[n].as_py() for c in range(len(place) + 2))
+                *now, is_keys = (batch.column(c)[n].as_py() for c in range(len(place) + 1))
                 if now != here:
-                    for state in held.values():
-                        yield state.rows(key)
-                    here, held = now, {}
+                    take_in()
+                    if held is not None:
+                        yield held.rows(key)
+                    here, asked, held = now, [], None
                 values = batch.column(len(place) + 2)[n].values
                 if not is_keys:
-                    held[number] = _Query(values, heads, heads // kv_heads, base)
+                    asked.append(values)
                     continue
-                for queries_at, state in held.items():
-                    if queries_at >= number:
-                        state.meet(values)
-        for state in held.values():
-            yield state.rows(key)
+                if held is None:
+                    held, asked = _Queries(asked, heads, heads // kv_heads, base), []
+                _, pos, (k, v) = _block_parts(values, ("k", "v"))
+                near.append((pos, k, v))
+                if sum(len(p) for p, _, _ in near) >= ATTENTION_BLOCK:
+                    take_in()
+        take_in()
+        if held is not None:
+            yield held.rows(key)
 
     return met.mapInArrow(attend, f"{key} {kind}, out array<double>")
 

@@ -160,6 +160,19 @@ def test_attention_over_blocks_and_brute_force(spark, block):
             assert np.allclose(out, found[i][2 * h : 2 * h + 2])
 
 
+def test_attention_of_groups_keeps_later_values_out(spark):
+    """Several groups of queries give what one gives, and a value that is not finite reaches no position before it."""
+    data = np.random.default_rng(5).normal(size=(23, 8))
+    data[20, 5] = np.inf
+    frame = spark.createDataFrame([(i, i, 0, data[i].tolist()) for i in range(23)], "vec_id int, pos long, g int, x array<double>")
+    finite = F.transform("x", lambda x: F.when(F.abs(x) < 1e9, x).otherwise(0.0))
+    rows = frame.select("g", "pos", "vec_id", finite.alias("q"), F.slice("x", 1, 4).alias("k"), F.slice("x", 5, 4).alias("v"))
+    read = lambda **k: np.array([r["out"] for r in linear.causal_attention(rows, ["g"], "vec_id", 4, 2, **k).orderBy("vec_id").collect()])
+    one, more = read(block=3), read(block=3, group=2)
+    assert np.isfinite(one[:20]).all() and np.isinf(one[20:, 1]).all() and np.isfinite(one[20:, 0]).all()
+    assert np.allclose(one, more)
+
+
 def test_softmax_by_group_sums_to_one(spark):
     frame = spark.range(1000).select("id", (F.col("id") % 3).alias("g"), F.sin("id").alias("v"))
     sums = linear.softmax_by_group(frame, "g", "id", "v").groupBy("g").agg(F.sum("p").alias("s"), F.count("p").alias("n"))

@@ -3,57 +3,35 @@
 ``codec.encode_corpus`` merges a distinct chunk once per task. Here the chunks (runs without whitespace, and single
 whitespace bytes) are counted first, each is merged once, and the results go back to the texts in two ways: the
 most frequent ones, a fixed number, go to every task; the others are joined, where by that choice no chunk is
-hot. Only references to rare chunks and the sequences that hold them are shuffled. It pays where merging is
+hot. Each text is shuffled once, to the entries of its rare chunks, and ids are made after that. It pays where merging is
 the cost, with many merges or long chunks; for few merges the narrow form is faster.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexivec.functions.greedy import CHUNKS, GreedyEncoder
+from lexivec.functions.chunks import chunks_of, spelled_out, text_slices
+from lexivec.functions.greedy import GreedyEncoder
 from lexivec.operators import codec
+from lexivec.operators.vocab import chunk_counts
 from lexivec.scratch import Scratch
 from lexivec.sources.sizing import spread
 
 HOT = 1 << 16  # chunks that go to every task
 HOT_BYTES = 64  # and their longest
-HELD = 1 << 18  # distinct chunks that a task counts before it hands them on
 
 
-def chunk_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(chunk, n)``: how often each chunk occurs, counted per task before the shuffle."""
-
-    def table(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["chunk", "n"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                if data:
-                    held.update(CHUNKS.findall(data.split(b"\0", 1)[0]))
-                if len(held) > HELD:
-                    yield table(held)
-                    held = Counter()
-        yield table(held)
-
-    found = docs.select(F.col(text).cast("binary")).mapInArrow(count, "chunk binary, n bigint")
-    return found.groupBy("chunk").agg(F.sum("n").alias("n"))
-
-
-def _lists(coded: list[np.ndarray]) -> pa.Array:
-    ends = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*coded, np.zeros(0, np.int32)]).astype(np.int32)))
+def _lists(coded: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
 
 def chunk_dictionary(counts: DataFrame, tokenizer: DataFrame) -> DataFrame:
@@ -63,63 +41,57 @@ def chunk_dictionary(counts: DataFrame, tokenizer: DataFrame) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         greedy = GreedyEncoder(shared.value, unknown)
         for batch in batches:
-            ids = _lists([np.array(greedy.merge(c), np.int32) for c in batch.column(0).to_pylist()])
+            ids = _lists([array("i", greedy.merge(c)).tobytes() for c in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], ["chunk", "n", "ids"])
 
     return counts.select("chunk", "n").mapInArrow(encode, "chunk binary, n bigint, ids array<int>")
 
 
-def _referring(hot: dict[bytes, bytes]):
-    """Texts to ids, with the number -2 - k in place of the k-th of the row's distinct rare chunks."""
+def _asking(hot: dict[bytes, bytes]):
+    """``(key, chunk)``: the distinct chunks of every text that are not in ``hot``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            coded, rare = [], []
-            for data in batch.column(batch.num_columns - 1).to_pylist():
-                own: dict[bytes, bytes] = {}
-                parts = []
-                for chunk in CHUNKS.findall(data.split(b"\0", 1)[0]) if data else ():
-                    known = hot.get(chunk)
-                    if known is None and (known := own.get(chunk)) is None:
-                        known = own[chunk] = np.int32(-2 - len(own)).tobytes()
-                    parts.append(known)
-                coded.append(np.frombuffer(b"".join(parts), np.int32))
-                rare.append(list(own))
-            missing = batch.column(batch.num_columns - 1).is_null()
-            ids = pc.if_else(missing, pa.nulls(len(batch), pa.list_(pa.int32())), _lists(coded))
-            rows = pa.array(row + np.arange(len(batch)))
-            row += len(batch)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], ids, rows, pa.array(rare, pa.list_(pa.binary()))], [*batch.schema.names[:-1], "ids", "_row", "_rare"]
-            )
+            at = 0
+            for texts in text_slices(batch.column(1), codec.SLICE_BYTES):
+                chunks, bounds = chunks_of(texts)
+                chunks = chunks.dictionary_encode()
+                rare = np.array([c not in hot for c in chunks.dictionary.to_pylist()], bool)
+                which = chunks.indices.to_numpy()
+                asked = np.flatnonzero(rare[which])
+                row = np.searchsorted(bounds, asked, "right") - 1
+                own = np.unique(row * len(rare) + which[asked])
+                row, chunk = np.divmod(own, max(1, len(rare)))
+                keys = batch.column(0).take(pa.array(at + row))
+                yield pa.RecordBatch.from_arrays([keys, chunks.dictionary.take(pa.array(chunk)).cast(pa.binary())], ["key", "chunk"])
+                at += len(texts)
 
     return run
 
 
-def _filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """References replaced by the ids of their chunks; ``_found`` is the last column."""
-    for batch in batches:
-        place = batch.num_columns - 2
-        coded = []
-        for row in range(len(batch)):
-            ids, found = batch.column(place)[row].values, batch.column(place + 1)[row].values
-            if found is None or len(found) == 0:
-                coded.append(np.zeros(0, np.int32) if ids is None else ids.to_numpy())
-                continue
-            ids = ids.to_numpy()
-            order = np.argsort(found.field("pos").to_numpy())
-            lists = found.field("ids").take(pa.array(order))
-            widths = lists.value_lengths().to_numpy().astype(np.int64)
-            flat, begins = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(widths)])
-            which = np.where(ids <= -2, -2 - ids, -1)
-            size = np.where(which >= 0, widths[which], 1)
-            ends = np.cumsum(size)
-            inner = np.arange(ends[-1]) - np.repeat(ends - size, size)
-            owner = np.repeat(which, size)
-            coded.append(np.where(owner >= 0, flat[np.where(owner >= 0, begins[owner] + inner, 0)], np.repeat(ids, size)).astype(np.int32))
-        ids = pc.if_else(batch.column(place).is_null(), pa.nulls(len(batch), pa.list_(pa.int32())), _lists(coded))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:place], ids], batch.schema.names[: place + 1])
+def _encoding(hot: dict[bytes, bytes]):
+    """Texts to ids by ``hot`` and the entries in the last column, which hold the rows' other chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, kept = 0, batch.num_columns - 2
+            for texts in text_slices(batch.column(kept), codec.SLICE_BYTES):
+                others = [c.slice(at, len(texts)) for c in batch.columns[:kept]]
+                found = batch.column(kept + 1).slice(at, len(texts)).flatten()
+                lists = found.field("ids")
+                ends = np.cumsum([0, *lists.value_lengths().to_numpy()]) * 4
+                packed = lists.flatten().to_numpy().tobytes()
+                own = {c: packed[x:y] for c, x, y in zip(found.field("chunk").to_pylist(), ends, ends[1:])}
+                chunks, bounds = chunks_of(texts)
+                chunks = chunks.dictionary_encode()
+                coded = [own[c] if (known := hot.get(c)) is None else known for c in chunks.dictionary.to_pylist()]
+                ids, begins = spelled_out(chunks.indices.to_numpy(), coded, bounds)
+                missing = pa.array(np.asarray(texts.is_null().to_numpy(zero_copy_only=False)))
+                ids = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(ids), mask=missing)
+                yield pa.RecordBatch.from_arrays([*others, ids], [*batch.schema.names[:kept], "ids"])
+                at += len(texts)
+
+    return run
 
 
 def encode_by_dictionary(docs: DataFrame, tokenizer: DataFrame, text: str = "text", hot: int = HOT) -> DataFrame:
@@ -140,17 +112,18 @@ def encode_by_dictionary(docs: DataFrame, tokenizer: DataFrame, text: str = "tex
     shape = docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType()))
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
-    def refer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _referring(shared.value)(batches)
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _asking(shared.value)(batches)
 
-    parts = docs.select(*kept, F.col(text).cast("binary").alias("_text")).mapInArrow(
-        refer, docs.select(*kept).schema.add("ids", T.ArrayType(T.IntegerType())).add("_row", T.LongType()).add("_rare", T.ArrayType(T.BinaryType()))
-    )
-    parts = scratch.write(parts, "parts")
-    asked = parts.select("_row", F.posexplode("_rare").alias("pos", "chunk"))
-    found = asked.join(table.select("chunk", F.col("ids").alias("c")), "chunk").groupBy("_row").agg(
-        F.collect_list(F.struct("pos", F.col("c").alias("ids"))).alias("_found")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _encoding(shared.value)(batches)
+
+    # Texts of one key get each other's entries as well, which are the same for all texts.
+    texts = docs.select(*kept, F.col(text).cast("binary").alias("_text"), F.xxhash64(F.col(text).cast("binary")).alias("_key"))
+    asked = texts.select("_key", "_text").mapInArrow(ask, "key bigint, chunk binary")
+    found = asked.join(table.select("chunk", "ids"), "chunk").groupBy("key").agg(
+        F.collect_set(F.struct("chunk", "ids")).alias("_found")
     )
-    whole = parts.filter(F.size("_rare") == 0).select(*kept, "ids")
-    rest = parts.filter(F.size("_rare") > 0).join(found, "_row").select(*kept, "ids", "_found").mapInArrow(_filled, shape)
-    return whole.unionByName(rest)
+    none = F.array().cast("array<struct<chunk:binary,ids:array<int>>>")
+    rows = texts.join(found, texts["_key"] == found["key"], "left").select(*kept, "_text", F.coalesce("_found", none).alias("_found"))
+    return rows.mapInArrow(encode, shape)

@@ -158,6 +158,16 @@ def test_dictionary_gives_the_narrow_encoding(spark, docs, hot, monkeypatch):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_dictionary_stores_no_half_made_ids(spark, docs, monkeypatch):
+    """Texts are shuffled to the entries of their rare chunks and encoded then; nothing but the dictionary is stored."""
+    tokenizer = learn_tokenizer(docs, 25)
+    copies = docs.unionByName(docs)  # equal texts share their entries
+    want, stored, write = codec.encode_corpus(copies, tokenizer), [], Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name: stored.append(name) or write(self, df, name))
+    got = dictionary.encode_by_dictionary(copies, tokenizer, hot=2)
+    assert stored == ["chunks"] and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_dictionary_without_chunks(spark):
     """A token over a blank is no chunk's: the narrow form is taken."""
     rows = [(0, "61", None), (1, "20", None), (2, "612061", 1), (3, "6120", 0)]

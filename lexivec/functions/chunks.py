@@ -36,14 +36,23 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0] : ends[-1]], ends.astype(np.int64) - ends[0]
 
 
-def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The chunks of all texts, each read up to its first NUL, and the number of the first chunk of every text, and the end.
+def bytes_read(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, each read up to its first NUL, one after the other, and where each begins, and the end.
 
-    A null has no chunks.
+    A null has no bytes.
     """
     data, ends = _bytes_of(pc.fill_null(texts, b"") if texts.null_count else texts)
     if not data.all():
         data, ends = _bytes_of(pa.array([(t or b"").split(b"\0", 1)[0] for t in texts.to_pylist()], pa.large_binary()))
+    return data, ends
+
+
+def chunks_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts, each read up to its first NUL, and the number of the first chunk of every text, and the end.
+
+    A null has no chunks.
+    """
+    data, ends = bytes_read(texts)
     space = _IS_SPACE[data]
     fresh = space.copy()
     fresh[1:] |= space[:-1]

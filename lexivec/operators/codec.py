@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexivec.functions.greedy import GreedyEncoder
+from lexivec.functions.greedy import TextEncoder
 from lexivec.operators.blocks import BROADCAST_CELLS
 from lexivec.operators.keyed import lookup
 from lexivec.sources.sizing import spread
@@ -20,10 +20,9 @@ from lexivec.sources.sizing import spread
 BROADCAST_TOKENS = 2_000_000  # above any table of this package: merges are limited by their symbols
 INLINE_TOKENS = 100_000  # the most tokens a decode plan carries as a constant
 BOS, EOS, UNKNOWN = 0, 1, "<|unk|>"
-ID_BYTES = 4
 SLICE_BYTES = 1 << 20  # of text that a task encodes at a time
 DECODE_SEGMENT = 4096  # ids of a row that one list holds
-_ENCODERS: dict[str, GreedyEncoder] = {}  # per Python worker: the encoder last used, with its memo
+_ENCODERS: dict[str, TextEncoder] = {}  # per Python worker: the encoder last used
 
 
 def _bounded(tokenizer: DataFrame, limit: int) -> list | None:
@@ -66,17 +65,13 @@ def encoder(tokenizer: DataFrame) -> Callable[[Column], Column]:
     name = uuid.uuid4().hex
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        greedy = _ENCODERS.get(name)
-        if greedy is None:
+        coder = _ENCODERS.get(name)
+        if coder is None:
             _ENCODERS.clear()
-            greedy = _ENCODERS[name] = GreedyEncoder(shared.value, unknown)
+            coder = _ENCODERS[name] = TextEncoder(shared.value, unknown)
         for texts in batches:
             for part in _slices(texts):
-                missing = np.asarray(part.is_null().to_numpy(zero_copy_only=False))
-                coded = [greedy.text(t.split(b"\0", 1)[0]) if t else b"" for t in part.to_pylist()]
-                ends = np.concatenate([[0], np.cumsum([len(c) // ID_BYTES for c in coded])]).astype(np.int32)
-                ids = np.frombuffer(b"".join(coded), dtype=np.int32)
-                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array(missing))
+                yield coder.lists(part)
 
     ids = F.arrow_udf(encode, "array<int>")
     return lambda text: ids(text.cast("binary"))

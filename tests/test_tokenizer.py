@@ -1,10 +1,13 @@
 import math
+import random
+import tracemalloc
 
 import pyarrow as pa
 import pytest
 from brute import encode, train
 from pyspark.sql import functions as F
 
+from lexivec.functions import greedy
 from lexivec.functions import symbols as sy
 from lexivec.operators import bpe, codec, tokens, vocab
 from lexivec.plans import tokenizer as plan
@@ -160,6 +163,52 @@ def test_texts_are_encoded_in_slices(spark, docs, model, monkeypatch):
     assert codec.encode_corpus(docs, model).orderBy("doc_id").collect() == whole
 
 
+def table_of(merges, unknown=True):
+    """A token table over the printable bytes; the rank of a token is its place in ``merges``."""
+    specials = [t.encode() for t in tokens.SPECIALS] if unknown else []
+    core = sorted({bytes([b]) for b in range(32, 127)} | set(merges))
+    return [*((i, t, None) for i, t in enumerate(specials)),
+            *((i + len(specials), t, merges.index(t) if t in merges else None) for i, t in enumerate(core))]
+
+
+def test_arrays_of_texts_are_encoded_as_single_ones(monkeypatch):
+    """Random tables, also with ranks out of order and tokens over whitespace, against a scan of each whole text."""
+    rng = random.Random(5)
+    for trial in range(120):
+        letters = rng.choice(["ab", "abc ", "abé\n", "a<|unk>b"])
+        pool, merges = [c.encode() for c in letters if " " <= c < "\x7f"], []
+        for _ in range(rng.randrange(25)):
+            token = rng.choice(pool) + rng.choice(pool)
+            if token not in merges:
+                merges.append(token)
+                pool.append(token)
+        if trial % 3 == 0:
+            rng.shuffle(merges)
+        monkeypatch.setattr(greedy, "STRETCH", rng.choice([1, 5, 64, 1 << 18]))
+        monkeypatch.setattr(greedy, "SCAN_SYMBOLS", rng.choice([2, 128]))
+        table = table_of(merges)
+        ids, ranks = {t: i for i, t, _ in table}, {t: r for _, t, r in table if r is not None}
+        texts = [None if k == 3 else "".join(rng.choices(letters, k=rng.choice([0, 1, 2, 9, 60]))) for k in range(8)]
+        found = greedy.TextEncoder(table, UNKNOWN).lists(pa.array(["x", *texts, "a\0b"], pa.binary())[1:]).to_pylist()
+        assert found == [None if t is None else encode(t, ids, ranks, UNKNOWN) for t in [*texts, "a"]], (merges, texts)
+    assert greedy.TextEncoder(table_of([b"ab"], False), None).lists(pa.array([b"\xe9ab"])).to_pylist() == [[-1, 66]]
+
+
+def test_encoding_keeps_no_words(docs, model):
+    """What a task holds does not follow the different words that it has met."""
+    rows = [(r["id"], bytes.fromhex(r["token"]), r["rank"]) for r in model.collect()]
+    coder, rng = greedy.TextEncoder(rows, UNKNOWN), random.Random(1)
+    texts = [b" ".join(rng.randbytes(6).hex().encode() for _ in range(20_000)) for _ in range(4)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            coder.lists(pa.array([text]))
+        kept, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert kept < 1 << 18 and most < 64 * len(texts[0]) < 20 << 20
+
+
 def test_tokens_stay_where_they_are(spark, docs, model, monkeypatch):
     """No token is shuffled to look up a table of checked size, and a larger one gives the same rows."""
     encoded = docs.select("doc_id", F.array(F.lit(3), F.lit(-7), F.lit(5), F.lit(5)).alias("ids"))

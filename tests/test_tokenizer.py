@@ -209,6 +209,29 @@ def test_encoding_keeps_no_words(docs, model):
     assert kept < 1 << 18 and most < 64 * len(texts[0]) < 20 << 20
 
 
+@pytest.mark.parametrize("query", ["decode_corpus"])
+def test_a_task_of_new_words_holds_a_slice(spark, model, monkeypatch, query):
+    """Batches of words that were not met before: what a task keeps does not follow them, and the query finds them whole."""
+    taken, rng = [], random.Random(2)
+    with monkeypatch.context() as patch:
+        patch.setattr(codec.F, "arrow_udf", lambda run, kind: taken.append(run))
+        codec.encoder(model)
+    texts = [b" ".join(rng.randbytes(6).hex().encode() for _ in range(5_000)) for _ in range(12)]
+    assert list(taken[0](iter([pa.array([b"low"])])))  # the token table is read
+    ids = None
+    tracemalloc.start()
+    try:
+        for ids in taken[0](pa.array([t]) for t in texts):
+            pass
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert kept < 2 << 20
+    encoded = spark.createDataFrame([("a", ids[0].as_py())], "lang string, ids array<int>")
+    if query == "decode_corpus":
+        assert bytes.fromhex(codec.decode_corpus(encoded, model, ["lang"]).first()["decoded"]) == texts[-1]
+
+
 def test_tokens_stay_where_they_are(spark, docs, model, monkeypatch):
     """No token is shuffled to look up a table of checked size, and a larger one gives the same rows."""
     encoded = docs.select("doc_id", F.array(F.lit(3), F.lit(-7), F.lit(5), F.lit(5)).alias("ids"))

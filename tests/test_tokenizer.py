@@ -209,7 +209,7 @@ def test_encoding_keeps_no_words(docs, model):
     assert kept < 1 << 18 and most < 64 * len(texts[0]) < 20 << 20
 
 
-@pytest.mark.parametrize("query", ["decode_corpus", "token_listing"])
+@pytest.mark.parametrize("query", ["decode_corpus", "token_listing", "embedding_lookup"])
 def test_a_task_of_new_words_holds_a_slice(spark, model, monkeypatch, query):
     """Batches of words that were not met before: what a task keeps does not follow them, and the query finds them whole."""
     taken, rng = [], random.Random(2)
@@ -233,6 +233,10 @@ def test_a_task_of_new_words_holds_a_slice(spark, model, monkeypatch, query):
     if query == "token_listing":
         listed = {r["token"]: r["n"] for r in codec.token_listing(encoded, model, "lang").collect()}
         assert sum(len(bytes.fromhex(t)) * n for t, n in listed.items()) == len(texts[-1]) and sum(listed.values()) == len(ids[0])
+    if query == "embedding_lookup":
+        vectors = model.selectExpr("id", "array(cast(id as double)) as vec")
+        rows = codec.embedding_lookup(encoded, vectors, ["lang"]).orderBy("pos").collect()
+        assert [r["vec"] for r in rows] == [[float(i)] for i in ids[0].as_py()]
 
 
 def test_tokens_stay_where_they_are(spark, docs, model, monkeypatch):
